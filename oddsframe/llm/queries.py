@@ -19,11 +19,27 @@ def _table(name: str, module: str, function: str) -> Query:
     return query
 
 
+def _with(second: str, module: str, function: str) -> Query:
+    """A query that applies one operator to all documents and a second table."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", second)]
+        return getattr(import_module(f"oddsframe.llm.{module}"), function)(*tables)
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
+    "op1_html_extract": _table("pages", "extract", "extract_main_text"),
     "op2_exact_dedup": _table("documents", "exact_dedup", "exact_groups"),
+    "op3_decontaminate": _with("benchmark", "decontaminate", "find_leaks"),
     "op4_simhash": _table("documents", "simhash", "simhash_components"),
     "op5_url_filter": _table("pages", "url_filter", "judge_urls"),
+    "op6_language_id": _table("documents", "langid", "identify"),
     "op7_chat_format": _table("conversations", "chat", "format_chats"),
+    "op8_toxicity": _with("labels", "toxicity", "score_toxicity"),
+    "op9_packing": _table("documents", "packing", "pack"),
+    "op10_secrets": _table("documents", "secrets", "find_secrets"),
 }
 
 ORACLES: dict[str, str] = {
