@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import fraction_of
+from oddsframe.llm.common import bounded_batches, fraction_of
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -233,6 +233,7 @@ def all_spans(text: str, model) -> tuple[list[tuple[int, int, int]], list[tuple[
 
 def find_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = rows.sparkSession.sparkContext.broadcast(train(rows, sample_docs))
     join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
