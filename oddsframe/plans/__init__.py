@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from oddsframe.plans import core, domain  # noqa: F401  (domain registers with core)
+
 
 def queries() -> dict:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.ORACLES)
