@@ -1,0 +1,48 @@
+import re
+
+from oddsframe.llm import url_filter as U
+
+
+def brute(url):
+    u = url or ""
+    if "://" not in u:
+        host = path = ""
+    else:
+        rest = u.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest, re.S)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :], re.S)[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    best = None
+    for verdict, rule in U.RULES:
+        name, _, tail = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + tail) and (best is None or len(rule) > len(best[1])):
+            best = (verdict, rule)
+    return host, path, best
+
+
+URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1", "http://example.org/es", "http://xexample.org/es/", "http://a.example.org/en/12?x#y", "http://org", "http://org/", "http://a.com/fr/", "http://a.com/de/1#z",
+        "http://a.net/x://b.org/", "http://a.com?x=/de/", "http://a\n.org/\nb", "https://ÀB.org/", "ftp://a.b.com/de/1/2"] + [f"http://h{i}.net/{'de' if i % 2 else 'fr'}/{i}" for i in range(30)] + [f"http://h{i}.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(30)]
+
+
+def test_hosts_paths_and_rules_equal_brute_force(spark):
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate([*URLS, *URLS])], "page_id long, url string, verdict string")
+    out = {r.page_id: r for r in U.judge_urls(df).collect()}
+    assert len(out) == 2 * len(URLS)
+    for i, u in enumerate([*URLS, *URLS]):
+        host, path, best = brute(u)
+        r = out[i]
+        assert (r.host, r.path, r.rule) == (host, path, best[1] if best else None)
+        assert r.verdict == best[0] if best else r.verdict in ("allow", "block")
+
+
+def test_trees_learn_the_section_from_rules(spark):
+    rows = [(i, f"http://h{i % 9}.{'com' if i < 200 else 'net'}/{'de' if i % 2 else 'fr'}/{i}") for i in range(300)]
+    out = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all((out[i].verdict == "block") == (i % 2 == 1) for i in range(300)) and out[250].rule is None
+
+
+def test_without_labels_and_empty(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    assert U.judge_urls(df).first().verdict == "allow"
+    assert U.judge_urls(df.where("false")).count() == 0
+    assert U.allowed_pages(df).columns == ["page_id", "url"]
