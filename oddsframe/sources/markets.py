@@ -75,13 +75,13 @@ def upsert(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return with_derived(rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__batch"))
 
 
-def select_markets(markets: DataFrame, event: str | None = None, category: str | None = None, clean_only: bool = False) -> DataFrame:
-    """Markets of an event (id or slug), of a category, or clean ones only."""
+def select_markets(markets: DataFrame, events: list[str] | None = None, categories: list[str] | None = None, clean_only: bool = False) -> DataFrame:
+    """Markets of some events (ids or slugs), of some categories, or clean ones only."""
     out = markets
-    if event:
-        out = out.where((F.col("event_id") == event) | (F.col("event_slug") == event))
-    if category:
-        out = out.where(F.col("category") == category)
+    if events:
+        out = out.where(F.col("event_id").isin(events) | F.col("event_slug").isin(events))
+    if categories:
+        out = out.where(F.col("category").isin(categories))
     return out.where("clean") if clean_only else out
 
 
