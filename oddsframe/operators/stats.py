@@ -29,7 +29,7 @@ def _cells(clusters: DataFrame, keys: list[str], extra: list[Column] | None = No
     g = g.withColumn("se", F.when(F.col("events") > 1, F.sqrt(divide(k, k - 1) * square) / F.col("n")))
     z = F.when(F.col("se") > 0, divide(F.col("diff"), F.col("se"))).when(F.col("se") == 0, F.when(F.col("diff") > 0, F.lit(float("inf"))).when(F.col("diff") < 0, F.lit(float("-inf"))).otherwise(0.0))
     g = g.withColumns({"z": z, "ci_lo": F.col("diff") - 1.96 * F.col("se"), "ci_hi": F.col("diff") + 1.96 * F.col("se")})
-    p = F.when(F.col("se").isNotNull(), F.least(F.lit(1.0), 2 * F.expr(norm_sf_sql("least(abs(z), 38e0)"))))
+    p = F.when(F.abs("z") >= 38, 0.0).when(F.col("se").isNotNull(), F.least(F.lit(1.0), 2 * F.expr(norm_sf_sql("abs(z)"))))
     return g.withColumn("pval", p).drop("__p", "__y", "__rr", "__rn", "__nn")
 
 

@@ -1,0 +1,26 @@
+"""Small builders for the tests."""
+
+from datetime import datetime, timedelta
+
+T0 = datetime(2026, 3, 1)
+
+
+def at(hours=0.0, **kw):
+    return T0 + timedelta(hours=hours, **kw)
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+
+
+def markets(spark, specs):
+    """specs: dicts over the defaults below."""
+    base = {
+        "event_id": "1", "event_slug": "e", "event_title": "t", "series_slug": None, "category": "other", "neg_risk": False, "market_id": "a", "condition_id": "c", "question": "q", "group_item_title": None,
+        "outcome0": "Yes", "outcome1": "No", "n_outcomes": 2, "token0": "t0", "token1": "t1", "created_ts": T0, "start_ts": T0, "end_ts": at(240), "closed_ts": at(242), "uma_end_ts": None, "closed": True,
+        "outcome_prices": '["1","0"]', "winner": 0, "disputed": False, "archived_copy": False, "volume": 1000.0, "fees_enabled": False, "fee_rate": 0.0, "fee_exponent": 1.0,
+    }
+    from oddsframe.schemas import MARKETS, names
+    from oddsframe.sources.markets import with_derived
+
+    return with_derived(spark.createDataFrame([tuple((base | s)[n] for n in names(MARKETS)) for s in specs], MARKETS))

@@ -1,0 +1,69 @@
+from datetime import timedelta
+
+import pytest
+
+from oddsframe.functions.exprs import parse_duration
+from oddsframe.operators import snapshots as S
+from tests.frames import at, markets, rows
+
+
+def test_durations():
+    assert parse_duration("90m") == timedelta(minutes=90) and parse_duration(" 1.5h ") == timedelta(minutes=90) and parse_duration("7d") == timedelta(days=7)
+    for bad in ("", "7", "7w", "d7"):
+        with pytest.raises(ValueError, match="duration"):
+            parse_duration(bad)
+
+
+def test_targets_keep_to_the_guard(spark):
+    m = markets(spark, [{"market_id": "a"}, {"market_id": "b", "closed_ts": at(100)}, {"market_id": "c", "created_ts": None}, {"market_id": "d", "end_ts": None}])
+    out = {(r.market_id, r.snapshot): r.target_ts for r in S.snapshot_targets(m).collect()}
+    assert out["a", "1h"] == at(239) and out["a", "7d"] == at(72) and out["a", "life50"] == at(120)
+    assert ("a", "30d") not in out  # before creation
+    assert {k for i, k in out if i == "b"} == {"7d", "life10"}  # known at 100 h, less the buffer
+    assert {k for i, k in out if i == "c"} == {"30d", "7d", "1d", "6h", "1h"} and not any(i == "d" for i, _ in out)
+    assert S.snapshot_targets(m, {}, {}).count() == 0
+
+
+def test_guard_bound_is_inclusive(spark):
+    m = markets(spark, [{"end_ts": at(2), "closed_ts": None}])
+    assert rows(S.snapshot_targets(m, {"x": timedelta(hours=1)}, {}), "target_ts") == [(at(1),)]
+    assert S.snapshot_targets(m, {"x": timedelta(minutes=59)}, {}).count() == 0
+
+
+def test_grid_starts_at_the_next_full_step(spark):
+    m = markets(spark, [{"created_ts": at(0), "start_ts": None, "end_ts": at(4), "closed_ts": None}, {"event_id": "2", "market_id": "z", "created_ts": at(0.5), "start_ts": None, "end_ts": at(3.5), "closed_ts": None}, {"event_id": "3", "market_id": "y", "end_ts": at(0.5), "closed_ts": None}])
+    out = rows(S.decision_grid(m), "event_id", "decision_time")
+    assert [t for e, t in out if e == "1"] == [at(1), at(2), at(3)] and [t for e, t in out if e == "2"] == [at(1), at(2)] and not any(e == "3" for e, _ in out)
+
+
+def test_market_rows_apply_each_markets_own_guard(spark):
+    m = markets(spark, [{"market_id": "a"}, {"market_id": "b", "closed_ts": at(5)}])
+    ev = spark.createDataFrame([("1", at(3)), ("1", at(4.5))], "event_id string, decision_time timestamp")
+    assert rows(S.market_rows(ev, m), "market_id", "decision_time") == [("a", at(3)), ("a", at(4.5)), ("b", at(3))]
+
+
+def probe(spark, *hours):
+    return spark.createDataFrame([("a", at(h)) for h in hours], "market_id string, decision_time timestamp")
+
+
+def test_price_at_is_backward_and_bounded(spark):
+    px = spark.createDataFrame([("a", at(1), 0.4), ("a", at(2), None), ("a", at(5), 0.6), ("b", at(0), 0.9)], "market_id string, ts timestamp, p double")
+    for chunk in (None, timedelta(hours=1), timedelta(hours=7)):
+        out = {r.decision_time: (r.p, r.price_ts) for r in S.price_at(probe(spark, 0.9, 1, 1.5, 2.5, 5.999, 6, 6.001), px, chunk=chunk).collect()}
+        assert out[at(0.9)] == (None, None) and out[at(1)] == (0.4, at(1)) and out[at(1.5)] == (0.4, at(1))
+        assert out[at(2.5)] == (None, at(2))  # a null price is still the last one
+        assert out[at(6)] == (0.6, at(5)) and out[at(6.001)] == (None, None)  # exactly an hour old is kept
+
+
+def test_normalize_and_overround(spark):
+    data = [("1", "a", at(1), True, 0.5, 2), ("1", "b", at(1), True, 0.6, 2), ("1", "a", at(2), True, 0.5, 2), ("1", "b", at(2), True, None, 2), ("2", "c", at(1), False, 0.3, 1), ("2", "d", at(1), None, None, 1), ("3", "e", at(1), True, 0.0, 2)]
+    df = spark.createDataFrame(data, "event_id string, market_id string, decision_time timestamp, neg_risk boolean, p double, markets_in_event int")
+    out = {r.market_id: (round(r.p_sum, 9), round(r.q_market, 9)) for r in S.normalize_event(df).collect()}
+    assert out == {"a": (1.1, round(0.5 / 1.1, 9)), "b": (1.1, round(0.6 / 1.1, 9)), "c": (0.3, 0.3), "e": (0.0, 0.0)}
+    assert [(r.event_id, round(r.sum_p, 9)) for r in S.overround(df, "decision_time").where("decision_time = timestamp '2026-03-01 01:00:00'").collect()] == [("1", 1.1)]
+
+
+def test_windows_to_fetch(spark):
+    m = markets(spark, [{"end_ts": at(24 * 40), "closed_ts": None}])
+    t = spark.createDataFrame([("a", at(24 * 39)), ("a", at(24 * 30)), ("a", at(24))], "market_id string, target_ts timestamp")
+    assert rows(S.fetch_windows(m, t), "window_start", "window_end") == sorted([(at(24 * 25), at(24 * 40)), (at(22), at(24))], key=str)

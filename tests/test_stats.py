@@ -1,0 +1,122 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from oddsframe.functions import exprs as X
+from oddsframe.operators import stats as S
+
+
+def phi(z):
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def test_normal_distribution(spark):
+    z = [-40.0, -8.5, -7.2, -5.0, -1.96, -0.1, 0.0, 0.3, 2.5, 7.07, 7.08, 9.0]
+    df = spark.createDataFrame([(x,) for x in z], "z double")
+    for x, (got, tail) in zip(z, (tuple(r) for r in df.select(X.norm_cdf("z"), F.expr(X.norm_sf_sql("z"))).collect()), strict=True):
+        assert got == pytest.approx(phi(x), rel=1e-5, abs=1e-15) and tail == pytest.approx(phi(-x), rel=1e-5, abs=1e-15)
+
+
+def test_crps_is_the_integral(spark):
+    y, mu, s = 1.3, 0.4, 0.8
+    grid = np.linspace(mu - 12, mu + 12, 200_001)
+    f = np.array([phi((g - mu) / s) for g in grid[::100]])
+    real = np.trapezoid((f - (grid[::100] >= y)) ** 2, grid[::100])
+    assert spark.range(1).select(F.expr(X.crps_gaussian_sql(str(y), str(mu), str(s)))).first()[0] == pytest.approx(real, abs=1e-2)
+
+
+def test_interval_probabilities_sum_to_one(spark):
+    df = spark.createDataFrame([(None, -1e9, 2.0), (None, 2.0, 3.0), (None, 3.0, 1e9), (2.5, -1e9, 2.0), (2.5, 2.0, 3.0), (2.5, 3.0, 1e9)], "m double, a double, b double")
+    out = df.select("m", F.expr(X.interval_prob_sql("a", "b", "2.2e0", "0.7e0", "m")).alias("q")).collect()
+    assert sum(r.q for r in out if r.m is None) == pytest.approx(1) and sum(r.q for r in out if r.m) == pytest.approx(1) and out[3].q == 0
+
+
+def test_clip_and_mean_keep_nulls(spark):
+    df = spark.createDataFrame([(None, 2.0), (5.0, None), (None, None)], "a double, b double")
+    assert [tuple(r) for r in df.select(X.clip(F.col("a"), 0, 1), X.mean_of(F.col("a"), F.col("b"))).collect()] == [(None, 2.0), (1.0, 5.0), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(-0.5,), (0.5,), (1.49,)], "x double").select(X.round_half_up(F.col("x"))).collect()] == [0, 1, 1]
+
+
+def test_benjamini_hochberg(spark):
+    def passed(ps, q=0.05):
+        df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, pval double")
+        return [r.i for r in S.benjamini_hochberg(df, q=q).where("bh_pass").orderBy("i").collect()]
+
+    ps = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216]
+    assert passed(ps) == [0, 1] and passed([0.9, 1.0]) == [] and passed([None, float("nan"), 0.001]) == [2] and passed([]) == []
+    rng = np.random.default_rng(1)
+    p = np.round(rng.beta(0.4, 2, 200), 2)
+    order = np.argsort(p, kind="stable")
+    below = np.nonzero(p[order] * 200 / np.arange(1, 201) <= 0.1)[0]
+    assert passed(p.tolist(), 0.1) == sorted(order[: below.max() + 1].tolist())
+    assert S.bonferroni_threshold(0.05, 10) == pytest.approx(0.005) and S.bonferroni_threshold(0.05, 0) == 0.05
+
+
+def brute_cell(rows):
+    p, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    d = y.mean() - p.mean()
+    by = {}
+    for e, pi, yi in rows:
+        r, n = by.get(e, (0, 0))
+        by[e] = (r + yi - pi, n + 1)
+    k = len(by)
+    return d, math.sqrt(k / (k - 1) * sum((r - d * n) ** 2 for r, n in by.values())) / len(rows) if k > 1 else None
+
+
+def test_cells_equal_the_formula_and_copies_dont_help(spark):
+    rng = np.random.default_rng(2)
+    base = [(f"e{i}", float(p), int(rng.random() < p - 0.05)) for i, p in enumerate(rng.uniform(0.3, 0.5, 200))]
+    df = spark.createDataFrame([(*r, "g") for r in base], "event_id string, p double, y int, g string")
+    one, three = S.cell_stats(df, ["g"]).first(), S.cell_stats(df.union(df).union(df), ["g"]).first()
+    d, se = brute_cell(base)
+    assert one.diff == pytest.approx(d) and one.se == pytest.approx(se) and one.pval == pytest.approx(2 * phi(-abs(d / se)), rel=1e-6)
+    assert three.se == pytest.approx(one.se) and three.n == 600 and three.events == 200
+
+
+def test_cells_of_one_cluster_and_without_spread(spark):
+    df = spark.createDataFrame([("e", 0.4, 1, "one"), ("e", 0.4, 0, "one"), ("a", 0.5, 1, "same"), ("b", 0.5, 1, "same"), ("a", 1.0, 1, "none"), ("b", 1.0, 1, "none")], "event_id string, p double, y int, g string")
+    out = {r.g: r for r in S.cell_stats(df, ["g"]).collect()}
+    assert out["one"].se is None and out["one"].pval is None
+    assert out["same"].se == 0 and out["same"].z == math.inf and out["same"].pval == 0 and out["none"].pval == 1
+
+
+def test_grouping_sets_equal_separate_cells(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"e{rng.integers(40)}", ["x", "y"][rng.integers(2)], ["b1", "b2"][rng.integers(2)], ["1d", "7d"][rng.integers(2)], float(rng.random()), int(rng.integers(2))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "event_id string, category string, band string, snapshot string, p double, y int")
+    got = {(r.category, r.band, r.snapshot): (r.n, r.events, round(r.se, 12)) for r in S.grouping_cells(df, ["category", "snapshot"], ["band"]).collect()}
+    want = {}
+    for keys in (["category", "band", "snapshot"], ["category", "band"], ["band", "snapshot"], ["band"]):
+        for r in S.cell_stats(df, keys).collect():
+            want[tuple(r[k] if k in keys else "ALL" for k in ("category", "band", "snapshot"))] = (r.n, r.events, round(r.se, 12))
+    assert got == want
+
+
+def test_block_bootstrap(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"d{b:02}", float(rng.normal(b % 3, 1)), 10.0) for b in range(50) for _ in range(20)]
+    df = spark.createDataFrame(rows, "day string, pnl double, spend double")
+    r = S.ratio_ci(df, "pnl", "spend", "day").first()
+    assert r.lo < r.point < r.hi and r.point == pytest.approx(sum(x[1] for x in rows) / 10_000)
+    assert tuple(S.ratio_ci(df.repartition(7), "pnl", "spend", "day").first()) == pytest.approx(tuple(r))
+    total = S.sum_ci(df, "pnl", "day").first()
+    assert total.point == pytest.approx(sum(x[1] for x in rows)) and S.mean_ci(df, "pnl", "day").first().point == pytest.approx(total.point / 1000)
+    assert S.sum_ci(df.where("day = 'd01'"), "pnl", "day").first().lo is None
+    assert S.ratio_ci(df, "pnl", "spend", "day", group=["day"], n_boot=10).count() == 50
+
+
+def test_losses_and_head_to_head(spark):
+    data = [("1", 1, True, 0, 0.5, 0.4, 0.8, 1), ("1", 1, True, 1, 0.6, 0.6, 0.2, 1), ("2", 1, False, 0, 0.3, 0.3, 0.6, 2), ("3", 1, False, 1, 0.3, 0.3, 0.1, 3), ("4", 1, None, 0, 0.3, 0.3, 0.1, 3)]
+    df = spark.createDataFrame(data, "event_id string, decision_time int, neg_risk boolean, winner int, p double, q_market double, p_model double, block int")
+    out = {r.event_id: (r.ll_market, r.ll_model) for r in S.outcome_losses(df).collect()}
+    want = {"1": (0.4, 0.8), "2": (0.3, 0.6), "3": (0.7, 0.9)}
+    assert out.keys() == want.keys() and all(np.allclose(out[k], -np.log(v)) for k, v in want.items())
+    h = S.head_to_head(S.outcome_losses(df), n_boot=100).first()
+    assert h.n == 3 and h.events == 3 and h.model_minus_market == pytest.approx(np.mean([out[k][1] - out[k][0] for k in out]))
+
+
+def test_side_view(spark):
+    df = spark.createDataFrame([("a", 0.3, 1)], "m string, p double, y int")
+    assert sorted((r.side, round(r.p, 9), r.y) for r in S.side_view(df).collect()) == [("NO", 0.7, 0), ("YES", 0.3, 1)]
