@@ -86,12 +86,12 @@ class Store:
             try:
                 got = fetch(pdf).assign(event_id=pdf["event_id"].iloc[0])
             except (OSError, ValueError, KeyError):
-                got = pd.DataFrame()
-            return got.reindex(columns=names(schema))
+                got = pd.DataFrame({c: pd.Series([], dtype=object) for c in names(schema)})
+            return got.reindex(columns=names(schema)) if len(got) else got
 
-        self.append(kind, left.groupBy("event_id").applyInPandas(run, schema))
         n, before = todo.select("event_id").distinct().count(), left.select("event_id").distinct().count()
-        failed = left.join(self.stored_event_ids(kind), "event_id", "left_anti").select("event_id").distinct().count()
+        self.append(kind, left.groupBy("event_id").applyInPandas(run, schema))
+        failed = missing_events(todo, self.stored_event_ids(kind)).count()
         return {"events": n, "fetched": before - failed, "failed": failed, "skipped": n - before}
 
 

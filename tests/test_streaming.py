@@ -1,0 +1,40 @@
+from datetime import timedelta
+
+from oddsframe.streaming import live
+from tests.frames import at
+
+
+def drain(df, name, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return df.sparkSession.table(name).collect()
+
+
+def test_rolling_volume_closes_windows_behind_the_watermark(spark, tmp_path):
+    schema = "event_id string, market_id string, ts timestamp, side string, outcome_index int, price double, size double, tx string, truncated boolean"
+    for k, h in enumerate((0.1, 0.5, 5.0)):
+        spark.createDataFrame([("1", "a", at(h), "BUY", 0, 0.5, 10.0, "t", False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    out = drain(live.rolling_volume(live.read_trades(spark, str(tmp_path / "t"), 1), timedelta(hours=1), timedelta(hours=1)), "volume")
+    assert [(r.market_id, r.window_end, r.shares, r.prints) for r in out] == [("a", at(1), 20.0, 2)]
+
+
+def test_running_maximum(spark, tmp_path):
+    schema = "station_icao string, local_date date, obs_time timestamp, temp_c double, temp_c_precise double"
+    rows = [("A", at(0).date(), at(h), t, p) for h, t, p in ((1, 5.0, None), (2, 7.0, 7.4), (3, None, None))]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "o"))
+    out = drain(live.running_day_max(spark.readStream.schema(schema).parquet(str(tmp_path / "o"))), "maximum", "complete")
+    assert [(r.obs_max, r.obs_n) for r in out] == [(7.4, 2)]
+
+
+def test_last_price_with_state(spark, tmp_path):
+    px = "event_id string, market_id string, ts timestamp, p double"
+    pr = "market_id string, decision_time timestamp"
+    spark.createDataFrame([("1", "a", at(0), 0.4), ("1", "a", at(1), 0.5), ("1", "b", at(0), 0.9), ("1", "z", at(9), 0.1)], px).write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([("a", at(0.5)), ("a", at(1)), ("b", at(3)), ("c", at(1))], pr).write.parquet(str(tmp_path / "q"))
+    prices, probes = live.read_prices(spark, str(tmp_path / "p")), spark.readStream.schema(pr).parquet(str(tmp_path / "q"))
+    out = drain(live.last_price(prices, probes), "last")
+    got = {(r.market_id, r.decision_time): r.p for r in out}
+    assert got == {("a", at(0.5)): 0.4, ("a", at(1)): 0.5, ("b", at(3)): None, ("c", at(1)): None}
