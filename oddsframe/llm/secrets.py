@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import bounded_batches, fraction_of
+from oddsframe.llm.common import bounded_batches, fraction_of, materialise
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -186,12 +186,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[Automat
             best = sorted(values, key=lambda v: hashlib.md5(v.encode()).digest())[:VALUES]
             yield pa.record_batch([pa.array([kind] * len(best), pa.string()), pa.array(best, pa.string())], names=["kind", "value"])
 
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.md5("value"), "value"))
-    rows = sample.select("text").mapInArrow(gather, "kind string, value string").distinct().withColumn("r", rank).where(F.col("r") <= VALUES).collect()
+    found = materialise(sample.select("text").mapInArrow(gather, "kind string, value string").distinct(), "credentials")
+    rows = [r for kind in (*KINDS[:3], "ordinary") for r in found.where(F.col("kind") == kind).orderBy(F.md5("value"), "value").limit(VALUES).collect()]
     by_kind = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r.kind, r.r)):
+    for r in rows:
         by_kind[r.kind].append(classes(r.value))
     automata, held = [], []
     for kind in KINDS[:3]:
