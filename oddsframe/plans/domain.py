@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsframe.operators.temporal import asof_join
 from oddsframe.plans.core import query, r6
 from oddsframe.plans.views import Tables
 from oddsframe.sources import markets as M
@@ -90,10 +93,12 @@ def parse_labels(t: Tables) -> DataFrame:
     "runs",
 )
 def latest_available_run(t: Tables) -> DataFrame:
+    """The last run by availability, as an as-of join; a run's availability follows its time by a fixed delay."""
     q = t.lineitem.select((F.col("l_partkey") % 20).alias("station_icao"), F.date_add("l_shipdate", 17).alias("decision_date")).distinct()
-    c = q.join(t.runs, "station_icao").where("available_date <= decision_date and init_date > decision_date - interval 60 days")
-    best = c.groupBy("station_icao", "decision_date", "model").agg(F.max_by(F.struct("init_date", "fc_max"), F.struct("init_date", "fc_max")).alias("r"))
-    return best.select("station_icao", "decision_date", "model", "r.init_date", F.round("r.fc_max", 4).alias("fc_max"))
+    q = q.withColumns({"model": F.explode(F.array(*[F.lit(m) for m in features.MODELS])), "at": F.col("decision_date").cast("timestamp")})
+    runs = t.runs.select("station_icao", "model", F.col("available_date").cast("timestamp").alias("available"), "init_date", "fc_max")
+    out = asof_join(q, runs, ["station_icao", "model"], "at", "available", {"init_date": "init_date", "fc_max": "fc_max"}, tolerance=timedelta(days=54), ties=["init_date", "fc_max"])
+    return out.where("init_date is not null").select("station_icao", "decision_date", "model", "init_date", F.round("fc_max", 4).alias("fc_max"))
 
 
 @query("select station_icao, init_date, max(case when model = 'ecmwf_ifs025' then fc_max end) as fc_max_ecmwf_ifs025, max(case when model = 'gfs_050' then fc_max end) as fc_max_gfs_050 from runs group by 1, 2", "runs")
