@@ -36,23 +36,27 @@ FIXED_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[a-zA-Z/][^>]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "canvas", "select", "button", "audio", "video"}
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+#: Elements within a line that are never text.
+_GADGETS = {"noscript", "template", "object", "svg", "math", "canvas", "select", "button", "audio", "video", "map", "progress", "meter", "datalist"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "output", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "center"}
 #: Elements never part of a main text; header only outside an article.
 _BOILER = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "header"}
+#: Names of a page's header; within an article they are the article's.
+_HEADER_NAMES = {"header", "hdr", "top", "topbar", "top-bar", "site-top"}
 _BOILER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar"}
-_BOILER_NAME = re.compile(r"(?:^|[^a-z])(ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|comments?|comment-?list|disqus|respond|replies|social|share|sharing|related|recommended|popup|modal|overlay|toolbar|pagination|pager|skip-?link|widget|copyright|legal)(?:$|[^a-z])")
+_BOILER_NAME = re.compile(r"(?:^|[^a-z])(ads?|adverts?|advertis(?:ements?|ing)|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|sidebars?|side-?bar|aside|rail|menus?|dropdown|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|comments?|comment-?list|discussions?|disqus|respond|replies|social|share|sharing|related|recommended|popup|modal|overlay|toolbar|pagination|pager|skip-?link|widget|copyright|legal)(?:$|[^a-z])")
 #: A start of the left element ends an open element of the right kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 
 class Element:
-    __slots__ = ("children", "drop", "key", "name")
+    __slots__ = ("children", "drop", "inline", "key", "name")
 
-    def __init__(self, name: str, key: str, drop: bool):
-        self.name, self.key, self.drop, self.children = name, key, drop, []
+    def __init__(self, name: str, key: str, drop: bool, inline: bool = False):
+        self.name, self.key, self.drop, self.inline, self.children = name, key, drop, inline, []
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -109,8 +113,14 @@ def parse(text: str) -> Element:
             if name == "hr":
                 stack[-1].children.append(("|", ""))
             continue
+        if name in _GADGETS:
+            if not m[3].rstrip().endswith("/"):
+                e = Element(name, name, True, True)
+                stack[-1].children.append(e)
+                stack.append(e)
+            continue
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in _SCOPE.get(name, ()):
+            if stack[k].inline or stack[k].name in _SCOPE.get(name, ()):
                 break
             if stack[k].name in _ENDS.get(name, ()) or stack[k].name == "p":
                 del stack[k:]
@@ -122,8 +132,11 @@ def parse(text: str) -> Element:
             stack[-1].children.append(("|", ""))
             continue
         key, drop = _kind(name, m[3])
-        if name == "header" and any(e.name in ("article", "main") for e in stack):
-            drop = bool(_BOILER_NAME.search(key.partition(".")[2]))
+        label = key.partition(".")[2]
+        if any(e.name in ("article", "main") for e in stack):
+            drop = drop and (name != "header" or bool(_BOILER_NAME.search(label)))
+        elif name not in ("html", "body", "article", "main"):
+            drop = drop or not _HEADER_NAMES.isdisjoint(label.split("."))
         e = Element(name, key, drop)
         stack[-1].children.append(e)
         stack.append(e)
@@ -147,6 +160,8 @@ def wrapper_of(e: Element) -> list:
 
     for c in e.children:
         if isinstance(c, Element):
+            if c.inline:
+                continue
             close()
             if not c.drop:
                 children.append(wrapper_of(c))
@@ -311,7 +326,8 @@ def read(root: Element, reading: dict | None) -> str:
             if isinstance(c, Element):
                 here = f"{path}/{c.key}"
                 if c.drop:
-                    yield None
+                    if not c.inline:
+                        yield None
                     continue
                 yield None
                 yield from texts(c, here, inside or here in mains, need)

@@ -38,6 +38,12 @@ def test_what_never_is_main_text(spark):
     assert texts(spark, [(1, "http://a.b/1", template(1, ["Body"], extra))])[1] == "Title 1\nBody\none\ntwo"
 
 
+def test_gadgets_in_a_line_and_headers_by_name(spark):
+    page = "<div class='header'>Site <p>slogan</p></div><div id='sidebar-left'>s</div><article><div class='header'><h1>T</h1></div><p>press <button>OK <b>now</b></button>to <svg><text>x</text></svg>go<p>unclosed <select><option>a<p>still in it</article><div class='reader-comments'>c</div>"
+    assert texts(spark, [(1, "http://a.b/1", page)])[1] == "T\npress to go\nunclosed"
+    assert texts(spark, [(1, "http://a.b/1", "<p>a<video src=x />b<canvas>no</canvas></p><div class='notice'>n</div><p>c")])[1] == "ab\nc"
+
+
 def test_white_space_references_and_broken_markup(spark):
     rows = [
         (1, "http://x/1", "<article><p>a&nbsp;&nbsp;b\n\t c<br>d &lt;e&gt; &#233; &#x1F600; &amp;amp; &copy g <b>bold<i>it</p><p>next"),
