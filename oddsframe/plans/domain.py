@@ -68,7 +68,7 @@ def flag_routine(t: Tables) -> DataFrame:
 
 @query(
     r"""select event_id, cast(case when event_id % 3 = 0 then -(event_id % 40) else event_id % 40 end as double) as temp_c, case when event_id % 4 = 0 then case when event_id % 2 = 1 then -1 else 1 end * (event_id % 400) / 10.0 end as temp_c_precise,
-        case event_id % 5 when 0 then 1.5 / 8 when 1 then 6.0 / 8 when 2 then 0.0 when 3 then 8.0 / 8 end as cloud, event_id % 5 = 1 as convective, round((event_id % 30) * case when event_id % 2 = 0 then 1.0 else 1.943844 end, 6) as wind_kt from reports""",
+        case event_id % 5 when 0 then 1.5 / 8 when 1 then 6.0 / 8 when 2 then 0.0 when 3 then 8.0 / 8 end as cloud, event_id % 5 = 1 as convective, round(cast((event_id % 30) * case when event_id % 2 = 0 then 1.0 else 1.943844 end as double), 6) as wind_kt from reports""",
     "reports",
 )
 def decode_reports(t: Tables) -> DataFrame:
