@@ -2,8 +2,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from oddsframe.llm import decontaminate, exact_dedup, queries, simhash  # noqa: E402
-from oddsframe.llm.common import components, materialise  # noqa: E402
+from oddsframe.llm import queries  # noqa: E402
+from oddsframe.llm.common import clear_scratch, components, materialise  # noqa: E402
 from tests.llm.helpers import documents, union_find, words  # noqa: E402
 
 
@@ -56,5 +56,9 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert out == union_find({x for e in edges for x in e}, edges)
 
 
-def test_modules_are_the_ones_the_stages_call():
-    assert {m.__name__.rsplit(".", 1)[1] for m in (decontaminate, exact_dedup, simhash)} == {"decontaminate", "exact_dedup", "simhash"}
+def test_scratch_tables_can_be_cleared(spark):
+    t = materialise(spark.range(5), "t")
+    path = t.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert os.path.isdir(path) and clear_scratch(spark) >= 1 and not os.path.exists(path) and clear_scratch(spark) == 0
