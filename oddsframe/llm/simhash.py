@@ -142,9 +142,9 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
     """Rows (doc_id, keep_id) of the documents that are linked to others; keep_id is the least doc_id of the group.
 
     Texts with equal shingle sets are one class. Each class is looked up in a multi-index of band fingerprints; in a
-    bucket every class is compared with the LEADERS first ones, so a bucket of n makes at most LEADERS * n pairs: all pairs of a
-    small bucket, and a connected star for a hot one. Pairs are verified by the Jaccard similarity of whole shingle sets.
-    A text without words is linked to none.
+    bucket every class is compared with the LEADERS first ones: all pairs of a small bucket, and a star for a hot one. Where a
+    hot bucket's classes aren't all connected by these, the rest of its pairs are found by `across`. Pairs are verified by the
+    Jaccard similarity of whole shingle sets, so all pairs of a bucket are either connected or known to be apart. A text without words is linked to none.
     """
     spark_rows = materialise(_sketches(docs.where("doc_id is not null"), words), "sketches")
     rows = spark_rows.withColumn("whole", F.xxhash64("shingles")).where(F.size("shingles") > 0)
@@ -152,8 +152,8 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
     first = classes.select(F.col("whole"), F.col("least").alias("doc_id"))
     one = rows.join(first, ["whole", "doc_id"], "left_semi").dropDuplicates(["whole"]).select("whole", "keys", "shingles")
     posted = materialise(one.select("whole", F.posexplode("keys").alias("band", "value"), F.size("shingles").alias("n")), "postings")
-    shared = posted.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1").select("band", "value")
-    busy = materialise(posted.join(shared, ["band", "value"], "left_semi"), "busy")
+    shared = posted.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
+    busy = materialise(posted.join(shared, ["band", "value"]), "busy")
     leaders = first_of_bucket(busy, LEADERS)
     pairs = (
         busy.join(leaders, ["band", "value"])
@@ -163,16 +163,46 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
         .distinct()
     )
     side = one.select("whole", "shingles")
-    both = pairs.join(side.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a").join(side.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = materialise(verified(pairs, side, similarity), "links")
     found = components(links)
+    hot = busy.where(F.col("members") > LEADERS + 1).join(found, F.col("whole") == found.node, "left").select("band", "value", "whole", F.coalesce("component", "whole").alias("component"))
+    open_buckets = hot.groupBy("band", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "value")
+    unsettled = hot.join(open_buckets, ["band", "value"], "left_semi").select("whole", "component").distinct()
+    more = materialise(verified(across(side.join(unsettled, "whole"), similarity), side, similarity), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
     groups = found.join(classes, found.node == classes.whole).groupBy("component").agg(F.min("least").alias("keep_id"))
     of_class = found.join(groups, "component").select(F.col("node").alias("whole"), "keep_id")
     keep = classes.join(of_class, "whole", "left").select("whole", F.coalesce("keep_id", "least").alias("keep_id"))
     return rows.select("doc_id", "whole").join(keep, "whole").where("doc_id <> keep_id").select("doc_id", "keep_id")
 
 
+def verified(pairs: DataFrame, side: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets in side (whole, shingles) are similar enough."""
+    both = pairs.join(side.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a").join(side.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def across(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components of sets (whole, component, shingles) that hold all that are similar enough.
+
+    Sets of such a pair share at least one of their n - similarity * n + 1 rarest shingles, so pairs meet at these. At each
+    shingle the heaviest component stays out of one side: a large connected group makes no pairs of its own.
+    """
+    sets = materialise(sets.select("whole", "component", "shingles"), "unsettled")
+    tokens = sets.select("whole", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("seen")), "token")
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("seen", "token"))), F.lit(1), F.first("n") - F.ceil(similarity * F.first("n") - F.lit(1e-6)).cast("int") + 1)
+    prefix = counted.groupBy("whole", "component").agg(F.first("n").alias("n"), rarest.alias("rarest")).select("whole", "component", "n", F.explode("rarest").alias("r"))
+    posted = materialise(prefix.where("r.seen > 1").select("whole", "component", "n", "r.token"), "prefixes")
+    heavy = posted.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).component.alias("heavy"), F.count("*").alias("parts")).where("parts > 1").select("token", "heavy")
+    left = posted.join(heavy, "token").where("component <> heavy").select("token", F.col("whole").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    right = posted.select("token", F.col("whole").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    met = left.join(right, "token").where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def first_of_bucket(busy: DataFrame, most: int) -> DataFrame:
     """The `most` least classes of each bucket: (band, value, leader, leader_n). The rank limit is applied before the shuffle too."""
     from pyspark.sql import Window

@@ -86,6 +86,20 @@ def test_a_hot_group_of_near_copies_leaves_one(spark):
     assert sorted(r.doc_id for r in left.collect()) == [0, *range(1000, 1020)] and left.columns == df.columns
 
 
+def test_families_in_shared_hot_buckets_equal_brute_force(spark):
+    # texts of one long passage: buckets hold many families, most of whose members are apart from all leaders
+    common, rows = words(1, 165), []
+    for f in range(130):
+        text = f"{common} {words(10_000 + f, 33)}"
+        rows += [(2 * f, text), (2 * f + 1, edited(text, 4, f))]
+    text = dict(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in text.items() for w in [t.split()]}
+    links = [(a, b) for a in text for b in text if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    real = {i: k for i, k in union_find(list(text), links).items() if i != k}
+    found = {r.doc_id: r.keep_id for r in S.near_duplicates(documents(spark, rows)).collect()}
+    assert found == real and len(real) > 80
+
+
 def test_code_of_long_lists_is_counted_in_blocks():
     h = [xxhash.xxh64_intdigest(str(i).encode()) for i in range(150_000)]
     bits = sum(np.unpackbits(np.array(h[i : i + 1000], dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=int) for i in range(0, len(h), 1000))
