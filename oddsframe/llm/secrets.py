@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and credential formats inferred by state merging.
 
-The base patterns find assignments, access keys and hexadecimal keys. Their values in a bounded sample are the labelled
-credentials: for each kind a prefix tree of symbol classes is built, and statistically compatible states (Hoeffding's bound
+The base patterns find assignments, access keys and hexadecimal keys. Their values over all documents, VALUES of each kind by
+hash, are the labelled credentials: for each kind a prefix tree of symbol classes is built, and statistically compatible states (Hoeffding's bound
 on stop and step frequencies, checked down the tree) are merged into a probabilistic automaton. Every candidate - a run of credential characters
 that mixes letters and digits and isn't in a base span - is scored by its log-likelihood under the automata against the ordinary runs
 of the sample; those whose ratio reaches the threshold of held-out credentials are added as spans of kind `format`.
@@ -14,6 +14,7 @@ labelled credentials of a kind it has no automaton, and none at all adds no span
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -21,18 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import bounded_batches, fraction_of, materialise
+from oddsframe.llm.common import bounded_batches, materialise
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: Runs are matched whole, so the least lengths may stand in the patterns.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Documents that the formats are learned from, about; values a kind and ordinary runs among them, at most.
-SAMPLE_DOCS, VALUES = 20_000, 400
+ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{8,64}")
+#: Values a kind and ordinary runs that the formats are learned from, those of least hash among all documents.
+VALUES = 400
 #: Of the Hoeffding bound; and log-likelihood ratio a symbol that a candidate needs at least.
 ALPHA, LEAST_RATIO = 0.05, 0.25
 LEAST_VALUES = 20
@@ -167,27 +170,35 @@ class Background:
         return sum(self.log.get(c, self.rare) for c in s) + len(s) * self.go + self.halt
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[Automaton], Background, float] | None:
-    """Automata, background and threshold from a sample of at most about sample_docs documents."""
-    n = docs.count()
-    sample = docs.where(fraction_of(F.col("text")) < min(1.0, sample_docs / n)) if n else docs
+def train(docs: DataFrame) -> tuple[list[Automaton], Background, float] | None:
+    """Automata, background and threshold from the values of all documents, VALUES a kind, and as many ordinary runs of whole texts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, set] = defaultdict(set)
+        kept: dict[str, dict[str, int]] = defaultdict(dict)
+        bound: dict[str, int] = {}
+
+        def keep(kind: str, value: str) -> None:
+            h, values = xxhash.xxh64_intdigest(value, 0), kept[kind]
+            if h <= bound.get(kind, h):
+                values[value] = h
+                if len(values) > 4 * VALUES:
+                    best = heapq.nsmallest(VALUES, values.items(), key=lambda x: (x[1], x[0]))
+                    kept[kind], bound[kind] = dict(best), best[-1][1]
+
         for b in batches:
             for t in b.column("text"):
                 text = t.as_py() or ""
                 for start, kind, end in base_spans(text):
                     m = ASSIGN.match(text, start) if kind == 0 else None
-                    kept[KINDS[kind]].add((m[2] if m else text[start:end])[:256])
-                if len(kept["ordinary"]) < VALUES:
-                    kept["ordinary"].update(w for w in re.findall(r"[A-Za-z0-9+/_=-]{8,64}", text[:4096])[:5])
-        for kind, values in kept.items():
-            best = sorted(values, key=lambda v: hashlib.md5(v.encode()).digest())[:VALUES]
-            yield pa.record_batch([pa.array([kind] * len(best), pa.string()), pa.array(best, pa.string())], names=["kind", "value"])
-
-    found = materialise(sample.select("text").mapInArrow(gather, "kind string, value string").distinct(), "credentials")
-    rows = [r for kind in (*KINDS[:3], "ordinary") for r in found.where(F.col("kind") == kind).orderBy(F.md5("value"), "value").limit(VALUES).collect()]
+                    keep(KINDS[kind], (m[2] if m else text[start:end])[:256])
+                for w in set(ORDINARY.findall(text)):
+                    keep("ordinary", w)
+        rows = [(kind, v, f"{h:016x}") for kind, values in kept.items() for v, h in heapq.nsmallest(VALUES, values.items(), key=lambda x: (x[1], x[0]))]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+        yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["kind", "value", "hash"])
+
+    found = materialise(docs.select("text").mapInArrow(gather, "kind string, value string, hash string").distinct(), "credentials")
+    rows = [r for kind in (*KINDS[:3], "ordinary") for r in found.where(F.col("kind") == kind).orderBy("hash", "value").limit(VALUES).collect()]
     by_kind = defaultdict(list)
     for r in rows:
         by_kind[r.kind].append(classes(r.value))
@@ -229,11 +240,11 @@ def all_spans(text: str, model) -> tuple[list[tuple[int, int, int]], list[tuple[
     return base, sorted(base + added)
 
 
-def find_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = rows.sparkSession.sparkContext.broadcast(train(rows, sample_docs))
+    model = rows.sparkSession.sparkContext.broadcast(train(rows))
     join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +259,9 @@ def find_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with each span of the text replaced by the mask; overlapping spans are one."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("text").cast("string").alias("text")), sample_docs))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("text").cast("string").alias("text"))))
 
     @F.pandas_udf("string")
     def masked(texts):

@@ -63,6 +63,22 @@ def test_learned_format_is_found_without_its_keyword(spark):
     assert not any("format" in out[950 + i] for i in range(20))
 
 
+def test_a_kind_rare_among_many_documents_has_its_automaton(spark):
+    r = random.Random(3)
+    key = lambda: "AKIA" + "".join(r.choice("ABCDEFGH234567") for _ in range(16))
+    rare = spark.createDataFrame([(key(),) for _ in range(40)], "text string")
+    plain = spark.range(60_000).selectExpr("concat('plain words of text number ', id) as text")
+    model = S.train(plain.union(rare))
+    assert model is not None and len(model[0]) == 1
+
+
+def test_ordinary_runs_come_from_whole_texts(spark):
+    r = random.Random(4)
+    rows = [(f"token={r.getrandbits(64):016x} " + "short of " * 700 + "UPPERCASE_" + "".join(r.choice("QRSTUVW") for _ in range(10)),) for _ in range(60)]
+    ordinary = S.train(spark.createDataFrame(rows, "text string"))[1]
+    assert "A" in ordinary.log and "_" in ordinary.log
+
+
 def test_masking_and_empty(spark):
     df = documents(spark, [(1, "a token=abcdef1 b"), (2, None)])
     assert {r.doc_id: r.text for r in S.mask_secrets(df).collect()} == {1: "a [SECRET] b", 2: None}
