@@ -2,9 +2,10 @@
 
 The base patterns find assignments, access keys and hexadecimal keys. Their values over all documents, VALUES of each kind by
 hash, are the labelled credentials: for each kind a prefix tree of symbol classes is built, and statistically compatible states (Hoeffding's bound
-on stop and step frequencies, checked down the tree) are merged into a probabilistic automaton. Every candidate - a run of credential characters
-that mixes letters and digits and isn't in a base span - is scored by its log-likelihood under the automata against the ordinary runs
-of the sample; those whose ratio reaches the threshold of held-out credentials are added as spans of kind `format`.
+on stop and step frequencies, checked down the tree) are merged into a probabilistic automaton. Every candidate - a run of SHORTEST
+credential characters or more that isn't in a base span - is scored by its log-likelihood under the automata against ordinary runs;
+those whose ratio reaches the threshold of their length are added as spans of kind `format`. The threshold is that of held-out credentials of
+about the length, and at least the log odds of ordinary runs to credentials in the documents, which short runs seldom outweigh.
 
 Defined results: a null text counts as empty; spans are in code points, end exclusive, ordered by start, then assign, access, hex,
 format; ends of whole matches, not values. Repeated rows come out as they are; an empty table gives an empty result; other columns are ignored. Without
@@ -32,13 +33,15 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: Runs are matched whole, so the least lengths may stand in the patterns.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{8,64}")
+SHORTEST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 #: Values a kind and ordinary runs that the formats are learned from, those of least hash among all documents.
 VALUES = 400
 #: Of the Hoeffding bound; and log-likelihood ratio a symbol that a candidate needs at least.
 ALPHA, LEAST_RATIO = 0.05, 0.25
 LEAST_VALUES = 20
+#: Lengths from which thresholds are taken apart; decisions on runs that a task remembers.
+LENGTHS, REMEMBERED = (SHORTEST, 10, 15, 20), 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,7 +54,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def classes(value: str) -> str:
     """Symbol classes of a value: digits 0, a-f h, other small letters z, capitals A, the rest as they are."""
-    return re.sub(r"[A-Z]", "A", re.sub(r"[g-z]", "z", re.sub(r"[a-f]", "h", re.sub(r"[0-9]", "0", value))))
+    return value.translate(_CLASSES)
+
+
+_CLASSES = {ord(c): k for k, cs in (("0", "0123456789"), ("h", "abcdef"), ("z", "ghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for c in cs}
 
 
 class Automaton:
@@ -170,12 +176,14 @@ class Background:
         return sum(self.log.get(c, self.rare) for c in s) + len(s) * self.go + self.halt
 
 
-def train(docs: DataFrame) -> tuple[list[Automaton], Background, float] | None:
+def train(docs: DataFrame) -> tuple[list[Automaton], Background, list[tuple[float, float]]] | None:
     """Automata, background and threshold from the values of all documents, VALUES a kind, and as many ordinary runs of whole texts."""
+    from pyspark import TaskContext
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, dict[str, int]] = defaultdict(dict)
         bound: dict[str, int] = {}
+        n_ordinary = n_base = 0
 
         def keep(kind: str, value: str) -> None:
             h, values = xxhash.xxh64_intdigest(value, 0), kept[kind]
@@ -188,13 +196,18 @@ def train(docs: DataFrame) -> tuple[list[Automaton], Background, float] | None:
         for b in batches:
             for t in b.column("text"):
                 text = t.as_py() or ""
-                for start, kind, end in base_spans(text):
+                base = base_spans(text)
+                n_base += len(base)
+                for start, kind, end in base:
                     m = ASSIGN.match(text, start) if kind == 0 else None
                     keep(KINDS[kind], (m[2] if m else text[start:end])[:256])
-                for w in set(ORDINARY.findall(text)):
-                    keep("ordinary", w)
+                runs = [m[0] for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)] if base else CANDIDATE.findall(text)
+                n_ordinary += len(runs)
+                for w in set(runs):
+                    keep("ordinary", w[:64])
         rows = [(kind, v, f"{h:016x}") for kind, values in kept.items() for v, h in heapq.nsmallest(VALUES, values.items(), key=lambda x: (x[1], x[0]))]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+        part = str(TaskContext.get().partitionId())
+        cols = list(zip(*rows, ("count ordinary", str(n_ordinary), part), ("count base", str(n_base), part), strict=True))
         yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["kind", "value", "hash"])
 
     found = materialise(docs.select("text").mapInArrow(gather, "kind string, value string, hash string").distinct(), "credentials")
@@ -213,8 +226,14 @@ def train(docs: DataFrame) -> tuple[list[Automaton], Background, float] | None:
     if not automata:
         return None
     ordinary = Background(by_kind["ordinary"] or ["z" * 12])
-    ratios = [x for s in held if len(s) >= 20 and math.isfinite(x := ratio(s, automata, ordinary))]
-    return automata, ordinary, max(LEAST_RATIO, float(np.percentile(ratios, 2)) if ratios else LEAST_RATIO)
+    counts = {r.kind: r.n for r in found.where("kind like 'count %'").groupBy("kind").agg(F.sum(F.col("value").cast("long")).alias("n")).collect()}
+    odds = math.log(max(1, counts["count ordinary"]) / max(1, counts["count base"]))
+    ratios = [(len(s), x) for s in held if math.isfinite(x := ratio(s, automata, ordinary))]
+    least = []
+    for low, high in zip(LENGTHS, (*LENGTHS[1:], math.inf), strict=True):
+        of_length = [x for n, x in ratios if low <= n < high]
+        least.append((max(LEAST_RATIO, float(np.percentile(of_length, 2)) if of_length else LEAST_RATIO), odds))
+    return automata, ordinary, least
 
 
 def ratio(symbols: str, automata: list[Automaton], ordinary: Background) -> float:
@@ -222,20 +241,29 @@ def ratio(symbols: str, automata: list[Automaton], ordinary: Background) -> floa
     return (max(a.log_likelihood(symbols) for a in automata) - ordinary.log_likelihood(symbols)) / len(symbols)
 
 
-def all_spans(text: str, model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and all spans with those that the automata add."""
+def credible(run: str, model) -> bool:
+    """If the run's ratio reaches the threshold of its length."""
+    automata, ordinary, least = model
+    a_symbol, in_all = least[sum(len(run) >= n for n in LENGTHS[1:])]
+    return ratio(classes(run), automata, ordinary) >= max(a_symbol, in_all / len(run))
+
+
+def all_spans(text: str, model, known: dict[str, bool] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The base spans, and all spans with those that the automata add. known: decisions on runs, filled here."""
     base = base_spans(text)
     if model is None:
         return base, base
-    automata, ordinary, least = model
+    known = {} if known is None else known
     added = []
     for m in CANDIDATE.finditer(text):
         v = m[0]
-        if v.isalpha() or v.isdigit() or not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if ratio(classes(v), automata, ordinary) >= least:
+        if (found := known.get(v)) is None:
+            found = credible(v, model)
+            if len(v) <= 64:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[v] = found
+        if found and not any(s < m.end() and m.start() < e for s, _, e in base):
             added.append((m.start(), 3, m.end()))
     return base, sorted(base + added)
 
@@ -248,10 +276,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for b in batches:
             out = []
             for t in b.column("text"):
-                base, spans = all_spans(t.as_py() or "", model.value)
+                base, spans = all_spans(t.as_py() or "", model.value, known)
                 out.append((*(sum(k == x for _, k, _ in base) for x in range(3)), hashlib.sha256(join(base).encode()).hexdigest(), join(spans)))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
@@ -265,11 +294,13 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     @F.pandas_udf("string")
     def masked(texts):
+        known: dict[str, bool] = {}
+
         def one(text):
             if text is None:
                 return None
             out, at = [], 0
-            for s, _, e in all_spans(text, model.value)[1]:
+            for s, _, e in all_spans(text, model.value, known)[1]:
                 if s >= at:
                     out += [text[at:s], mask]
                 at = max(at, e)

@@ -79,6 +79,16 @@ def test_ordinary_runs_come_from_whole_texts(spark):
     assert "A" in ordinary.log and "_" in ordinary.log
 
 
+def test_short_and_all_letter_or_all_digit_formats_are_found(spark):
+    r = random.Random(5)
+    for letters, n in (("QRSTUVWXYZ", 10), ("0123456789", 12), ("QRSTUVWXYZ", 24)):
+        code = lambda: "".join(r.choice(letters) for _ in range(n))  # noqa: B023, E731
+        rows = [(i, f"{words(i, 30)} token={code()} {words(i + 500, 10)}") for i in range(300)] + [(900 + i, f"{words(i, 8)} {code()} {words(i, 4)}") for i in range(20)] + [(950 + i, words(i, 200)) for i in range(20)]
+        out = {x.doc_id: x.spans for x in S.find_secrets(documents(spark, rows)).collect()}
+        assert sum("format" in out[900 + i] for i in range(20)) >= 15
+        assert not any("format" in out[950 + i] for i in range(20))
+
+
 def test_masking_and_empty(spark):
     df = documents(spark, [(1, "a token=abcdef1 b"), (2, None)])
     assert {r.doc_id: r.text for r in S.mask_secrets(df).collect()} == {1: "a [SECRET] b", 2: None}
