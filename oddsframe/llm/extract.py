@@ -7,7 +7,7 @@ text outside links) and which texts outside it are the host's own; the page is t
 
 Wrappers are merged in a tree of partial merges, FAN of them at most in one task, after equal page trees of a host are counted as one: a host that
 holds a third of all pages is dealt to many tasks. A wrapper's size is bounded: an element with more than WIDE kinds of
-children keeps them as one wildcard.
+children keeps them as a bag, in which the commoner kinds stand as they are and the rarer ones are one kind a tag name, subtrees included.
 
 Defined results: null or empty html gives an empty text and length 0; a null url counts as a host of its own name, empty; markup that ends
 early is read as far as it goes; repeated rows come out as they are; an empty table gives an empty result; other columns are ignored.
@@ -144,7 +144,7 @@ def parse(text: str) -> Element:
 
 
 # Wrappers are JSON lists: an element is [key, flag, pages, children], flag one of "1?+*"; a text [ "#", flag, pages, fixed hash or null, characters, characters in links];
-# a group of elements [ "(", flag, pages, children ].
+# a group of elements [ "(", flag, pages, children ]; a bag of kinds without order, the only child then, [ "{", "*", pages, children ]. The key "div.*" stands for the rarer div kinds of a bag.
 
 
 def wrapper_of(e: Element) -> list:
@@ -217,10 +217,37 @@ def folded(children: list) -> list:
                 done.append(out[i])
                 i += 1
         out = done
-    if len(out) > WIDE:
-        chars, linked = _volume(["", "1", 1, out])
-        out = [["#", "*", 1, None, chars, linked]]
-    return out
+    return [_bag(out)] if len(out) > WIDE else out
+
+
+def _bag(children: list) -> list:
+    """Children as a bag; a bag alone stays as it is."""
+    if len(children) == 1 and children[0][0] == "{":
+        return children[0]
+    return _bagged([children], max((x[2] for x in children), default=0), True)
+
+
+def _bagged(lists: list[list], pages: int, repeat: bool) -> list:
+    """One bag of child lists, of one page or of different ones: texts by hash and elements by key, the rarer ones by tag name."""
+
+    def add(kinds: dict[str, list], key: str, x: list, repeat: bool) -> None:
+        x = [x[0] if x[0] == "#" else key, "*", *x[2:]]
+        kinds[key] = merged(kinds[key], x, repeat) if key in kinds else x
+
+    total: dict[str, list] = {}
+    for children in lists:
+        kinds: dict[str, list] = {}
+        for x in _flat(["", "1", 1, children]):
+            add(kinds, f"#{x[3] or ''}" if x[0] == "#" else x[0], x, True)
+        for key, x in kinds.items():
+            add(total, key, x, repeat)
+    if len(total) > WIDE:
+        order = sorted(total, key=lambda k: (-total[k][2], k))
+        few: dict[str, list] = {k: total[k] for k in order[: WIDE // 2]}
+        for k in order[WIDE // 2 :]:
+            add(few, "#" if k[0] == "#" else k.partition(".")[0] + ".*", total[k], False)
+        total = few
+    return ["{", "*", pages, [total[k] for k in sorted(total)]]
 
 
 def _grouped(children: list, groups: list[list]) -> list:
@@ -241,6 +268,9 @@ def _grouped(children: list, groups: list[list]) -> list:
 
 def aligned(a: list, b: list, repeat: bool) -> list:
     """Two child lists as one: the longest common subsequence is merged, what one lacks becomes optional."""
+    if any(len(x) == 1 and x[0][0] == "{" for x in (a, b)):
+        a, b = _bag(a), _bag(b)
+        return [_bagged([a[3], b[3]], max(a[2], b[2]) if repeat else a[2] + b[2], repeat)]
     groups = [x for x in a + b if x[0] == "("]
     a, b = (folded(_grouped(x, groups)) for x in (a, b)) if groups else (a, b)
     n, m = len(a), len(b)
@@ -285,17 +315,17 @@ def reading_of(wrapper: list) -> dict:
     own: list[str] = []
     mains: list[tuple[str, int]] = []
 
-    def walk(x: list, path: str) -> None:
+    def walk(x: list, path: str, least: float = FIXED_PAGES) -> None:
         if x[0] == "#":
-            if x[3] is not None and x[2] >= FIXED_PAGES:
+            if x[3] is not None and x[2] >= least:
                 own.append(x[3])
             return
-        here = path if x[0] in ("(", "") else f"{path}/{x[0]}"
+        here = path if x[0] in ("(", "{", "") else f"{path}/{x[0]}"
         if re.match(r"(article|main)(\.|$)", x[0]):
             mains.append((here, sum(_volume(x))))
             return
         for c in x[3]:
-            walk(c, here)
+            walk(c, here, max(FIXED_PAGES, x[2] / 2) if x[0] == "{" else FIXED_PAGES)  # texts of a bag are the host's if on half of its pages
 
     walk(wrapper, "")
     if mains:
@@ -309,28 +339,48 @@ def reading_of(wrapper: list) -> dict:
         if not parts or max(weight) < 0.8 * total or parts[weight.index(max(weight))][0].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table", "blockquote", "pre"):
             return {"main": [path] if path else [], "own": own[:2000]}
         x = parts[weight.index(max(weight))]
-        path += f"/{x[0]}"
+        # the rarer kinds of a bag are those that don't stand in it by name
+        path += f"/{x[0]}" + "".join(sorted({f"!{c[0]}" for c in parts if c[0] != x[0] and c[0].partition(".")[0] == x[0][:-2]}) if x[0].endswith(".*") else ())
 
 
 def _flat(x: list) -> list:
-    return [y for c in x[3] for y in (_flat(c) if c[0] == "(" else [c])]
+    return [y for c in x[3] for y in (_flat(c) if c[0] in ("(", "{") else [c])]
+
+
+def _ways(mains: list[str]) -> dict:
+    """The paths of main elements as a tree by key; "" marks an end."""
+    out: dict = {}
+    for path in mains:
+        at = out
+        for key in path.split("/")[1:]:
+            at = at.setdefault(key, {})
+        at[""] = {}
+    return out
+
+
+def _step(ways: list[dict], key: str) -> list[dict]:
+    """Where paths go on with an element of this key: by the key itself, and as one of a bag's rarer kinds."""
+    if not ways:
+        return ways
+    rare = key.partition(".")[0] + ".*"
+    return [w for at in ways for k, w in at.items() if k and (k == key or k.split("!")[0] == rare and key not in k.split("!")[1:])]
 
 
 def read(root: Element, reading: dict | None) -> str:
     """The main text of a page along its host's reading; where the page lacks the main element, all but what is never main text."""
-    mains = set(reading["main"]) if reading else set()
+    mains = _ways(reading["main"]) if reading else {}
     own = set(reading["own"]) if reading else set()
 
-    def texts(e: Element, path: str, inside: bool, need: bool) -> Iterator[str | None]:
+    def texts(e: Element, ways: list[dict], inside: bool, need: bool) -> Iterator[str | None]:
         for c in e.children:
             if isinstance(c, Element):
-                here = f"{path}/{c.key}"
                 if c.drop:
                     if not c.inline:
                         yield None
                     continue
                 yield None
-                yield from texts(c, here, inside or here in mains, need)
+                here = [] if inside else _step(ways, c.key)
+                yield from texts(c, here, inside or any("" in w for w in here), need)
                 yield None
             elif c[0] == "|":
                 yield None
@@ -339,7 +389,7 @@ def read(root: Element, reading: dict | None) -> str:
 
     def blocks(need: bool) -> list[str]:
         out, now = [], []
-        for t in (*texts(root, "", False, need), None):
+        for t in (*texts(root, [mains], False, need), None):
             if t is not None:
                 now.append(t)
             elif now:
@@ -348,11 +398,15 @@ def read(root: Element, reading: dict | None) -> str:
                 now = []
         return out
 
-    return "\n".join((blocks(True) if mains and _has(root, mains) else None) or blocks(False))
+    return "\n".join((blocks(True) if mains and _has(root, [mains]) else None) or blocks(False))
+
+
+def _has(e: Element, ways: list[dict]) -> bool:
+    return any("" in w for w in ways) or any(isinstance(c, Element) and not c.drop and (here := _step(ways, c.key)) and _has(c, here) for c in e.children)
 
 
-def _has(e: Element, mains: set[str], path: str = "") -> bool:
-    return any(isinstance(c, Element) and not c.drop and (f"{path}/{c.key}" in mains or _has(c, mains, f"{path}/{c.key}")) for c in e.children)
+def _names_main(e: Element) -> bool:
+    return any(isinstance(c, Element) and not c.drop and (c.name in ("article", "main") or _names_main(c)) for c in e.children)
 
 
 def _own_articles(root: Element) -> dict | None:
@@ -416,7 +470,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                     known[r] = json.loads(r)
                 page = t.as_py()
                 root = parse(page) if page else None
-                out.append("" if root is None else read(root, known.get(r)) if r is None or not known[r]["main"] or _has(root, set(known[r]["main"])) else read(root, _own_articles(root)))
+                main = known[r]["main"] if r is not None else []
+                alone = root is not None and r is not None and (not _has(root, [_ways(main)]) if main else _names_main(root))
+                out.append("" if root is None else read(root, _own_articles(root) if alone else known.get(r)))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.join(readings, "host", "left").select("page_id", "url", "html", "reading").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

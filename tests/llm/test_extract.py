@@ -93,3 +93,12 @@ def test_groups_of_elements_repeat_together():
 def test_wrappers_stay_bounded():
     w = tree("".join(f"<div class='k{chr(97 + i // 26)}{chr(97 + i % 26)}'>t</div>" for i in range(600)))
     assert len(w[3]) == 1 and w[3][0][1] == "*"
+
+
+def test_a_host_with_many_kinds_of_pages_keeps_its_article_and_own_texts(spark):
+    name = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    page = lambda i: f"<html><body class='category-{name(i)}'><div class='box'><p>From the host</p></div><div class='story'><article><p>Text {i}</p></article></div></body></html>"
+    assert texts(spark, [(i, "http://many.example/p", page(i)) for i in range(49)]) == {i: f"Text {i}" for i in range(49)}
+    plain = lambda i: f"<div class='box'>From the host</div><div class='k-{name(i)}'>{i}</div><div class='story'><p>A text of some length, number {i}, in many words that weigh more</p></div>"
+    out = texts(spark, [(i, "http://plain.example/p", plain(i)) for i in range(48)])
+    assert not any("From the host" in x for x in out.values()) and all(f"number {i}, in" in x for i, x in out.items())
