@@ -53,11 +53,11 @@ _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 
 class Element:
-    __slots__ = ("children", "drop", "inline", "key", "name")
+    __slots__ = ("children", "drop", "inline", "inner", "key", "level", "name")
 
     def __init__(self, name: str, key: str, drop: bool, inline: bool = False):
         self.name, self.key, self.drop, self.inline, self.children = name, key, drop, inline, []
-
+        self.level, self.inner = 0, False  # elements around it in the tree; in an article or main element
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\n\t") else {}
@@ -74,9 +74,30 @@ def _kind(name: str, raw: str) -> tuple[str, bool]:
 
 
 def parse(text: str) -> Element:
-    """The tree of block elements; strings among the children are text (links as ("a", text)). Inline elements leave no trace but their text."""
+    """The tree of block elements; strings among the children are text (links as ("a", text)). Inline elements leave no trace but their text.
+
+    What stands deeper than DEEP elements is opened and closed like any other, but its texts are children of the last one (articles have DEEP more).
+    """
     root = Element("", "", False)
     stack, pos, link = [root], 0, 0
+    opened: Counter = Counter()
+
+    def shut(k: int) -> None:
+        nonlocal link
+        opened.subtract(e.name for e in stack[k:])
+        flat = stack[k].level > DEEP
+        del stack[k:]
+        link = 0
+        if flat:
+            stack[-1].children.append(("|", ""))
+
+    def push(e: Element, seen: bool = True) -> None:
+        if seen:
+            stack[-1].children.append(e)
+        e.level, e.inner = stack[-1].level + 1, stack[-1].inner or e.name in ("article", "main")
+        stack.append(e)
+        opened[e.name] += 1
+
     n = len(text)
     while pos < n:
         m = _TOKEN.match(text, pos)
@@ -92,11 +113,8 @@ def parse(text: str) -> Element:
             if name == "a":
                 link = max(0, link - 1)
             elif name not in _INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        del stack[k:]
-                        link = 0
-                        break
+                if opened[name] > 0:
+                    shut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
                 else:
                     stack[-1].children.append(("|", ""))
             continue
@@ -115,31 +133,30 @@ def parse(text: str) -> Element:
             continue
         if name in _GADGETS:
             if not m[3].rstrip().endswith("/"):
-                e = Element(name, name, True, True)
-                stack[-1].children.append(e)
-                stack.append(e)
+                push(Element(name, name, True, True))
             continue
-        for k in range(len(stack) - 1, 0, -1):
+        ends = any(opened[x] > 0 for x in ("p", *_ENDS.get(name, ())))
+        for k in range(len(stack) - 1, 0, -1) if ends else ():
             if stack[k].inline or stack[k].name in _SCOPE.get(name, ()):
                 break
             if stack[k].name in _ENDS.get(name, ()) or stack[k].name == "p":
-                del stack[k:]
-                link = 0
+                shut(k)
                 break
             if name == "p":
                 break
-        if len(stack) > DEEP:
-            stack[-1].children.append(("|", ""))
-            continue
         key, drop = _kind(name, m[3])
         label = key.partition(".")[2]
-        if any(e.name in ("article", "main") for e in stack):
+        if stack[-1].inner:
             drop = drop and (name != "header" or bool(_BOILER_NAME.search(label)))
         elif name not in ("html", "body", "article", "main"):
             drop = drop or not _HEADER_NAMES.isdisjoint(label.split("."))
-        e = Element(name, key, drop)
-        stack[-1].children.append(e)
-        stack.append(e)
+        e, level = Element(name, key, drop), stack[-1].level
+        if drop or level < DEEP or name in ("article", "main") and level < 2 * DEEP and not stack[-1].inner:
+            push(e)
+        else:
+            stack[-1].children.append(("|", ""))
+            e.children = stack[-1].children
+            push(e, False)
     return root
 
 

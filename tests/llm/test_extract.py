@@ -102,3 +102,14 @@ def test_a_host_with_many_kinds_of_pages_keeps_its_article_and_own_texts(spark):
     plain = lambda i: f"<div class='box'>From the host</div><div class='k-{name(i)}'>{i}</div><div class='story'><p>A text of some length, number {i}, in many words that weigh more</p></div>"
     out = texts(spark, [(i, "http://plain.example/p", plain(i)) for i in range(48)])
     assert not any("From the host" in x for x in out.values()) and all(f"number {i}, in" in x for i, x in out.items())
+
+
+def test_deep_elements_are_closed_and_dropped(spark):
+    deep = "<div>" * 80 + "<p>in</p><nav>menu</nav><section id='comments'><div>c</div></section>between" + "</div>" * 80
+    rows = [(1, "http://d/1", f"<body><article><p>first</p>{deep}<p>last</p></article><p>outside</p></body>"), (2, "http://e/2", "<div>" * 90 + "<p>no</p><article><p>yes</p><aside>no</aside></article>" + "</div>" * 90 + "<p>no</p>")]
+    assert texts(spark, rows) == {1: "first\nin\nbetween\nlast", 2: "yes"}
+
+
+def test_very_deep_pages_take_linear_time():
+    root = X.parse("<div>" * 100_000 + "x" + "</b></section>" * 10 + "</div>" * 100_000)
+    assert X.read(root, None) == "x"
