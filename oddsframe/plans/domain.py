@@ -176,6 +176,13 @@ def clim_baseline(t: Tables) -> DataFrame:
     return r6(model.clim_baseline(truth.where(F.year("local_date") == 1995), truth, 3), "clim_mu", "clim_sigma")
 
 
+@query()
+def clim_baseline_all(t: Tables) -> DataFrame:
+    """All days of all stations by the operator's own least count; clim_baseline and its SQL hold one year of half of them, so rows only."""
+    truth = t.errors.select("station_icao", "local_date", F.col("e").alias("y_c"))
+    return r6(model.clim_baseline(truth, truth), "clim_mu", "clim_sigma")
+
+
 @query(
     """select event_id, case when h > 0 and h < 24 and n > 0 then 'intra_' || lpad(cast(cast(floor(lh) as int) as varchar), 2, '0') when h > 0 and h < 24 then 'pre_24' when h >= 24 and h < 36 then 'pre_24' when h >= 36 and h < 48 then 'pre_36' when h >= 48 and h < 60 then 'pre_48' when h >= 60 and h < 200 then 'pre_60' end as hbin,
        case when h >= 48 then 'a: >=48h' when h >= 36 then 'b: 36-48h' when h >= 24 then 'c: 24-36h' when lh < 10 then 'd: day D 00-10' when lh < 16 then 'e: day D 10-16' else 'f: day D 16-24' end as hgroup
