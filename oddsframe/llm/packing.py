@@ -1,10 +1,10 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Documents are tokenised and cut into pieces of at most SIZE tokens. The pieces are dealt at random to shards of about SHARD pieces, each
-a packing problem of its own; a shard's islands evolve populations of packings apart, their elites migrate to the next island, and
-the best packing of the shard is taken. Crossover injects whole well-filled bins of one packing into another, removes the bins
-that hold injected pieces a second time, and best-fits the displaced pieces. A piece matters by its length alone, so packings are over
-counts by length: at most SIZE numbers whatever the shard's size.
+a packing problem of its own. A shard has ISLANDS islands, each a population that starts from randomised packings. In each of EPOCHS
+epochs the islands evolve apart, then their elites migrate to the next island; the best packing of the shard is taken. Crossover injects whole
+well-filled bins of one packing into another, removes the bins that hold injected pieces a second time, and best-fits the displaced
+pieces. An island rests once it holds a packing at the bound that none can beat, but never before its first generation.
 
 Defined results: a null text counts as empty; an empty text is one piece, the closing id alone; texts longer than SIZE tokens are cut
 into pieces of SIZE and a last one; repeated rows are packed as often as they are there; an empty table gives an empty result;
@@ -13,12 +13,11 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import random
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -32,8 +31,10 @@ from pyspark.sql import functions as F
 from oddsframe.llm.common import materialise, parts_for
 
 SIZE, CLOSING_ID = 4096, 1
-#: Pieces a shard, about; islands, packings an island and generations between migrations.
-SHARD, ISLANDS, POPULATION, GENERATIONS = 20_000, 3, 4, 6
+#: Pieces a shard, about; islands, packings an island, generations between migrations, and epochs (one migration fewer).
+SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 20_000, 3, 4, 8, 4
+#: Partitions that islands are dealt to, at most; more islands share a task.
+MOST_PARTS = 20_000
 #: Words whose ids a worker keeps.
 CACHE = 300_000
 #: Texts of these characters alone are split here; in them no other rule of the tokenizer's normaliser applies than lower case and white space.
@@ -41,9 +42,27 @@ _PLAIN = re.compile(r"[\t\n\r -~¡¿«»À-ÖØ-öø-ÿŒœ–—‘’“”…
 _WORD = re.compile(r"[a-zß-öø-ÿœ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
 
 
+#: How a file that _WORD serves normalises and splits (fixed values of the public tokenizer).
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_as_here(path: str) -> bool:
+    """If the file's own rules are those that _WORD follows."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (rules.get("normalizer") or {}).get("normalizers") == _NORMALISER and steps[0].get("pattern") == {"Regex": _SPLITTER}
+        and steps[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        and rules["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
 class Tokenizer:
-    """Ids of a word-level BPE file, as bytes of little-endian 32-bit numbers. The ids of a text are those of its words, one after the
-    other, so words are looked up once and kept; texts with a special token or with characters beyond _PLAIN go to the tokenizer whole."""
+    """Ids of a tokenizer file, as bytes of little-endian 32-bit numbers. Under the rules of splits_as_here the ids of a text are those of its words,
+    one after the other, so words are looked up once and kept; texts with a special token or with characters beyond _PLAIN, and all texts under other rules, go to
+    the tokenizer whole."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -54,6 +73,7 @@ class Tokenizer:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.loaded = Loaded.from_file(path)
+        self.by_words = splits_as_here(path)
         self.words: dict[str, bytes] = {}
         vocabulary = self.loaded.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # ids that end a word
@@ -80,7 +100,7 @@ class Tokenizer:
         known = self.words
         if len(known) > CACHE:
             known.clear()
-        split = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        split = [_WORD.findall(t.lower()) if self.by_words and _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         new = list(set(chain.from_iterable(s for s in split if s)) - known.keys())
         for at in range(0, len(new), 2_000):
             self._learn(new[at : at + 2_000])
@@ -118,87 +138,138 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, keep_ids:
     return rows.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id())
 
 
-Packing = list[tuple[int, ...]]
+def bound_of(lengths: np.ndarray, size: int) -> int:
+    """Sequences that no packing can do without: all tokens, and pieces of over half a sequence."""
+    return max(-(-int(lengths.sum()) // size), int((2 * lengths > size).sum()))
 
 
-def best_fit(lengths: list[int], open_bins: Packing, size: int) -> Packing:
-    """Put each length, in the order given, into the fullest bin that takes it."""
-    bins = [list(b) for b in open_bins]
-    free = sorted((size - sum(b), i) for i, b in enumerate(bins) if sum(b) < size)
-    for x in lengths:
-        at = bisect_left(free, (x, -1))
+def best_fit(order: np.ndarray, lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
+    """Put the pieces `order` (places in lengths), one after the other, into the fullest bin that takes each.
+
+    bins: the bin of each piece; those of `order` are set here, in a copy whose bins are numbered from 0."""
+    apart = np.ones(len(lengths), dtype=bool)
+    apart[order] = False
+    out = np.empty(len(lengths), dtype=np.int64)
+    _, out[apart] = np.unique(bins[apart], return_inverse=True)
+    rooms = size - np.bincount(out[apart], weights=lengths[apart]).astype(np.int64) if apart.any() else np.zeros(0, dtype=np.int64)
+    free = np.sort((rooms << 24) + np.arange(len(rooms)))[np.count_nonzero(rooms == 0) :].tolist()
+    n, found = len(rooms), []
+    for x in lengths[order].tolist():
+        at = bisect_left(free, x << 24)
         if at < len(free):
-            room, i = free.pop(at)
+            slot = free.pop(at) - (x << 24)
         else:
-            room, i = size, len(bins)
-            bins.append([])
-        bins[i].append(x)
-        if room > x:
-            insort(free, (room - x, i))
-    return [tuple(b) for b in bins]
+            slot = (size - x << 24) + n
+            n += 1
+        found.append(slot & 0xFFFFFF)
+        if slot >> 24:
+            insort(free, slot)
+    out[order] = found
+    return out
+
+
+def roughly_decreasing(which: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, spread: float) -> np.ndarray:
+    """Places in the order of their lengths, the longest first, each length times a random number."""
+    return which[np.argsort(-lengths[which] * rng.uniform(1 - spread, 1 + spread, len(which)), kind="stable")]
 
 
-def fitness(p: Packing, size: int) -> tuple[int, float]:
+def fitness(bins: np.ndarray, lengths: np.ndarray, size: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones: the mean of squared fill."""
-    return -len(p), sum((sum(b) / size) ** 2 for b in p) / max(1, len(p))
-
-
-def crossover(a: Packing, b: Packing, size: int, rng: random.Random) -> Packing:
-    """b with well-filled bins of a injected."""
-    full = sorted(a, key=sum, reverse=True)
-    half = full[: max(1, len(full) // 2)]
-    injected = rng.sample(half, max(1, len(half) // 2))
-    surplus = Counter(x for bin_ in injected for x in bin_)
-    kept, displaced = list(injected), []
-    for bin_ in rng.sample(b, len(b)):
-        if not any(surplus.get(x) for x in bin_):
-            kept.append(bin_)
-            continue
-        for x in bin_:  # pieces of the injected bins are there twice; the others are displaced
-            if surplus.get(x):
-                surplus[x] -= 1
-            else:
-                displaced.append(x)
-    return best_fit(sorted(displaced, reverse=True), kept, size)
-
-
-def mutate(p: Packing, size: int, rng: random.Random) -> Packing:
-    """Empty some of the worst-filled bins and best-fit their pieces."""
-    worst = sorted(p, key=sum)
-    n = min(len(p), 1 + rng.randrange(1 + len(p) // 20))
-    freed = [x for b in worst[:n] for x in b]
-    rng.shuffle(freed)
-    return best_fit(freed, worst[n:], size)
-
-
-def evolve(lengths: list[int], seed: int, elites: list[Packing], size: int = SIZE) -> Packing:
-    """The best packing that an island finds; elites: packings that came from other islands."""
-    rng, least = random.Random(seed), -(-sum(lengths) // size)
-    people = [best_fit(sorted(lengths, reverse=True), [], size), *elites]
-    for _ in range(GENERATIONS):
-        people.sort(key=lambda p: fitness(p, size), reverse=True)
-        if len(people[0]) <= least:
-            break
-        while len(people) < POPULATION:
-            order = sorted(lengths, key=lambda x: x * rng.uniform(0.8, 1.2), reverse=True)
-            people.append(best_fit(order, [], size))
-        people = people[:POPULATION]
-        child = crossover(people[0], people[rng.randrange(1, len(people))], size, rng)
-        other = crossover(people[rng.randrange(1, len(people))], people[0], size, rng)
-        people += [child, mutate(other, size, rng), mutate(people[0], size, rng)]
-    return max(people, key=lambda p: fitness(p, size))
-
-
-def _coded(p: Packing) -> bytes:
-    return np.array([y for b in p for y in (len(b), *b)], dtype="<i4").tobytes()
-
-
-def _decoded(raw: bytes) -> Packing:
-    x, out, at = np.frombuffer(raw, dtype="<i4").tolist(), [], 0
-    while at < len(x):
-        out.append(tuple(x[at + 1 : at + 1 + x[at]]))
-        at += 1 + x[at]
-    return out
+    fill = np.bincount(bins, weights=lengths) / size
+    return -len(fill), float((fill**2).mean()) if len(fill) else 0.0
+
+
+def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """b with whole well-filled bins of a injected.
+
+    b's bins that hold an injected piece go; their other pieces are displaced and put by best fit."""
+    fill = np.bincount(a, weights=lengths)
+    fullest = np.argsort(-fill, kind="stable")[: max(1, 2 * len(fill) // 3)]
+    injected = np.zeros(len(fill), dtype=bool)
+    injected[rng.choice(fullest, max(1, int(len(fullest) * rng.uniform(0.4, 0.9))), replace=False)] = True
+    inside = injected[a]
+    hit = np.zeros(int(b.max()) + 1, dtype=bool)
+    hit[b[inside]] = True
+    displaced = np.nonzero(~inside & hit[b])[0]
+    return best_fit(roughly_decreasing(displaced, lengths, rng, 0.1), lengths, np.where(inside, a + len(hit), b), size)
+
+
+def mutate(bins: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Empty some of the worst-filled bins and a few others, and best-fit their pieces."""
+    fill = np.bincount(bins, weights=lengths)
+    worst = np.argsort(fill, kind="stable")[: 1 + rng.integers(1 + len(fill) // 10)]
+    freed = np.isin(bins, np.concatenate([worst, rng.integers(0, len(fill), 1 + len(fill) // 50)]))
+    return best_fit(roughly_decreasing(np.nonzero(freed)[0], lengths, rng, 0.3), lengths, bins, size)
+
+
+class Island:
+    """A population of packings of one shard's pieces; it starts from randomised packings."""
+
+    def __init__(self, lengths: np.ndarray, size: int, seed: int, people: list[np.ndarray] | None = None):
+        self.lengths, self.size, self.rng, self.crossovers = lengths, size, np.random.default_rng(seed), 0
+        everyone = np.arange(len(lengths))
+        start = [] if people else [best_fit(roughly_decreasing(everyone, lengths, self.rng, s), lengths, everyone, size) for s in np.linspace(0.2, 0.9, POPULATION)]
+        self.people = sorted(people or start, key=self._rank)
+
+    def _rank(self, p: np.ndarray) -> tuple[int, float]:
+        bins, fill = fitness(p, self.lengths, self.size)
+        return -bins, -fill
+
+    @property
+    def best(self) -> np.ndarray:
+        return self.people[0]
+
+    def evolve(self, generations: int) -> Island:
+        """The fitter half stays each generation. One at the bound can't be bettered: an island that holds one rests after its first generation."""
+        least = bound_of(self.lengths, self.size)
+        for g in range(generations):
+            if (g or self.crossovers) and int(self.best.max()) < least:
+                break
+            one, two = self.people[0], self.people[self.rng.integers(1, len(self.people))]
+            children = [crossover(x, y, self.lengths, self.size, self.rng) for x, y in ((one, two), (two, one))]
+            self.crossovers += 2
+            children.append(mutate(children[0], self.lengths, self.size, self.rng))
+            self.people = sorted(self.people + children, key=self._rank)[:POPULATION]
+        return self
+
+
+def _coded(bins: np.ndarray) -> bytes:
+    return bins.astype("<i4").tobytes()
+
+
+def _decoded(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<i4").astype(np.int64)
+
+
+_STATE = "shard int, island int, lens array<struct<length:bigint,n:bigint>>, people array<binary>, crossovers long, bins int, fill double"
+
+
+def evolution(cut: DataFrame, size: int = SIZE, epochs: int = EPOCHS) -> DataFrame:
+    """(shard, island, lens, people, crossovers, bins, fill) from pieces (shard, length): what the islands hold in the end, the fittest first.
+
+    A packing gives the bin of each of the shard's pieces in the order of their lengths. Between epochs each island's best goes to the next one."""
+    counts = cut.groupBy("shard", "length").agg(F.count("*").alias("n"))
+    problems = counts.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", "n"))).alias("lens"))  # at most `size` lengths
+    state = problems.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "lens", F.array().cast("array<binary>").alias("people"), F.lit(0).cast("long").alias("crossovers"))
+    shards = int(cut.agg(F.max("shard")).first()[0] or 0) + 1
+
+    def live(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                lengths = np.repeat([x["length"] for x in r.lens], [x["n"] for x in r.lens]).astype(np.int64)
+                here = Island(lengths, size, (int(r.shard) * ISLANDS + int(r.island)) * 1000 + int(r.crossovers), [_decoded(p) for p in r.people])
+                here.crossovers = int(r.crossovers)
+                here.evolve(GENERATIONS)
+                bins, fill = fitness(here.best, lengths, size)
+                yield pd.DataFrame({"shard": [r.shard], "island": [r.island], "lens": [r.lens], "people": [[_coded(p) for p in here.people]], "crossovers": [here.crossovers], "bins": [-bins], "fill": [fill]})
+
+    for _ in range(epochs):
+        # work, not bytes, is to be dealt: a stated number of partitions isn't coalesced
+        dealt = state.repartition(min(shards * ISLANDS, MOST_PARTS), "shard", "island")
+        lived = materialise(dealt.mapInPandas(live, _STATE), "islands")
+        guests = lived.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("people")[0].alias("guest"))
+        state = lived.join(guests, ["shard", "island"]).select("shard", "island", "lens", F.array_append("people", F.col("guest")).alias("people"), "crossovers")
+    return lived
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
@@ -206,39 +277,18 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, keep_ids: b
     cut = materialise(pieces(docs, path, size, keep_ids), "pieces")
     shards = parts_for(cut.count(), SHARD)
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
-    counts = dealt.groupBy("shard", "length").agg(F.count("*").alias("n"))
-    islands = counts.select("shard", "length", "n", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"))
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = np.repeat(pdf["length"], pdf["n"]).tolist()
-        shard, island = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
-        best = evolve(lengths, 1000 * shard + island, [], size)
-        return pd.DataFrame({"shard": [shard], "island": [(island + 1) % ISLANDS], "elite": [_coded(best)]})
-
-    def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        lengths = np.repeat(left["length"], left["n"]).tolist()
-        shard, island = int(left["shard"].iloc[0]), int(left["island"].iloc[0])
-        best = evolve(lengths, 1000 * shard + island + 500, [_decoded(r) for r in right["elite"]], size)
-        bins, fill = fitness(best, size)
-        return pd.DataFrame({"shard": [shard], "bins": [-bins], "fill": [fill], "island": [island], "elite": [_coded(best)]})
-
-    keys = ("shard", "island")
-    migrants = islands.groupBy(*keys).applyInPandas(first, "shard int, island int, elite binary")
-    found = islands.groupBy(*keys).cogroup(migrants.groupBy(*keys)).applyInPandas(second, "shard int, bins int, fill double, island int, elite binary")
-    best = found.groupBy("shard").agg(F.min_by("elite", F.struct("bins", -F.col("fill"), "island")).alias("elite"))
+    found = evolution(dealt, size)
+    best = found.groupBy("shard").agg(F.min_by(F.col("people")[0], F.struct("bins", -F.col("fill"), "island")).alias("elite"))
 
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["length", "uid"]).reset_index(drop=True)
-        rows_of = {k: list(v) for k, v in left.groupby("length").indices.items()}
-        sequence, offset = np.empty(len(left), dtype=np.int64), np.empty(len(left), dtype=np.int64)
-        shard = int(left["shard"].iloc[0])
-        for i, b in enumerate(_decoded(right["elite"].iloc[0])):
-            at = 0
-            for x in b:
-                row = rows_of[x].pop()
-                sequence[row], offset[row] = (shard << 24) + i, at
-                at += x
-        return pd.DataFrame({"uid": left["uid"], "sequence_id": sequence, "offset": offset})
+        left = left.sort_values(["length", "uid"])
+        lengths, bins = left["length"].to_numpy(), _decoded(right["elite"].iloc[0])
+        order = np.argsort(bins, kind="stable")
+        before = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
+        first = np.searchsorted(bins[order], np.arange(int(bins.max()) + 1))
+        offset = np.empty(len(left), dtype=np.int64)
+        offset[order] = before - before[first][bins[order]]
+        return pd.DataFrame({"uid": left["uid"], "sequence_id": (int(left["shard"].iloc[0]) << 24) + bins, "offset": offset})
 
     slots = dealt.select("shard", "uid", "length").groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(place, "uid long, sequence_id long, offset long")
     return cut.join(slots, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

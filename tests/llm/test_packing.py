@@ -72,28 +72,90 @@ def test_ids_can_be_kept_and_empty(spark):
     assert P.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def same(packing, lengths, size):
-    assert Counter(x for b in packing for x in b) == Counter(lengths) and all(sum(b) <= size for b in packing)
+def test_another_file_is_used_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, text = Tokenizer.from_file(path), "It's  A test, Ünï 12"
+    (row,) = P.pack(documents(spark, [(1, text)]), path=path, keep_ids=True).collect()
+    assert list(row.ids) == [*other.encode(text, add_special_tokens=False).ids, 1]
 
 
-def test_crossover_and_mutation_keep_every_piece():
-    import random
+def same(bins, lengths, size):
+    assert len(bins) == len(lengths) and np.bincount(bins, weights=lengths).max() <= size and set(bins) == set(range(bins.max() + 1))
+
+
+def decreasing(lengths, size):
+    return P.best_fit(np.argsort(-lengths, kind="stable"), lengths, np.arange(len(lengths)), size)
+
+
+def islands(lengths, size, epochs=P.EPOCHS):
+    """The island model on one machine."""
+    here = [P.Island(lengths, size, i) for i in range(P.ISLANDS)]
+    for _ in range(epochs):
+        best = [x.evolve(P.GENERATIONS).best for x in here]
+        for i, x in enumerate(here):
+            x.people = sorted([*x.people, best[i - 1]], key=x._rank)
+    return here
 
-    rng = random.Random(1)
-    lengths = [rng.randint(1, 100) for _ in range(200)]
-    a = P.best_fit(sorted(lengths, reverse=True), [], 100)
-    b = P.best_fit(lengths, [], 100)
+
+def test_crossover_and_mutation_keep_every_piece():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 101, 200)
+    a, b = decreasing(lengths, 100), P.best_fit(np.arange(200), lengths, np.arange(200), 100)
     for _ in range(20):
-        c = P.crossover(a, b, 100, rng)
+        c = P.crossover(a, b, lengths, 100, rng)
         same(c, lengths, 100)
-        same(P.mutate(c, 100, rng), lengths, 100)
+        same(P.mutate(c, lengths, 100, rng), lengths, 100)
         a, b = b, c
 
 
-def test_evolution_beats_first_guess_where_it_can():
-    # best-fit decreasing needs four bins here, three are enough
-    lengths = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
-    best = P.evolve(lengths * 6, 3, [], 60)
-    same(best, lengths * 6, 60)
-    assert len(best) <= len(P.best_fit(sorted(lengths * 6, reverse=True), [], 60))
-    assert P._decoded(P._coded(best)) == best
+def test_crossover_keeps_whole_bins_of_its_parent():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(20, 60, 300)
+    a, b = (P.Island(lengths, 100, i).best for i in (1, 2))
+    groups = lambda p: {tuple(np.nonzero(p == k)[0]) for k in range(p.max() + 1)}
+    assert len(groups(P.crossover(a, b, lengths, 100, rng)) & groups(a)) > 20
+
+
+def test_evolution_needs_fewer_bins_than_best_fit():
+    lengths = np.sort(np.random.default_rng(1).integers(1000, 2501, 1500))
+    here = islands(lengths, 4096)
+    for x in here:
+        same(x.best, lengths, 4096)
+        assert x.crossovers == 2 * P.EPOCHS * P.GENERATIONS
+    assert min(x.best.max() + 1 for x in here) <= decreasing(lengths, 4096).max() + 1 - 2
+
+
+def least_bins(lengths, size):
+    """By trying every bin for every piece."""
+    best = len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            put(i + 1, [*rooms[:k], rooms[k] - lengths[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, size - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_small_problems_are_solved_as_by_brute_force():
+    for seed in range(12):
+        lengths = np.random.default_rng(seed).integers(5, 60, 9)
+        assert min(x.best.max() + 1 for x in islands(lengths, 100)) == least_bins(sorted(lengths.tolist(), reverse=True), 100)
+
+
+def test_generations_run_on_every_shard_and_elites_migrate(spark):
+    cut = spark.range(400).selectExpr("cast(id % 2 as int) as shard", "1000 + (id * 7919) % 1500 as length")
+    out = P.evolution(cut, 4096, epochs=2).collect()
+    assert len(out) == 2 * P.ISLANDS and all(r.crossovers >= 2 for r in out)
+    alone = P.evolution(cut, 4096, epochs=1).collect()
+    assert {(r.shard, r.island): r.crossovers for r in out} != {(r.shard, r.island): r.crossovers for r in alone}
+    for r in out:
+        lengths = np.repeat([x.length for x in r.lens], [x.n for x in r.lens])
+        same(P._decoded(r.people[0]), lengths, 4096)
