@@ -2,9 +2,9 @@
 
 The base patterns find assignments, access keys and hexadecimal keys. Their values over all documents, VALUES of each kind by
 hash, are the labelled credentials: for each kind a prefix tree of symbol classes is built, and statistically compatible states (Hoeffding's bound
-on stop and step frequencies, checked down the tree) are merged into a probabilistic automaton. Every candidate - a run of SHORTEST
-credential characters or more that isn't in a base span - is scored by its log-likelihood under the automata against ordinary runs;
-those whose ratio reaches the threshold of their length are added as spans of kind `format`. The threshold is that of held-out credentials of
+on stop and step frequencies, checked down the tree) are merged into a probabilistic automaton. Every candidate - the value of a base span, or a run of
+SHORTEST credential characters or more outside them - is scored by its log-likelihood under the automata against ordinary runs. Base spans stay whatever
+their score; other runs whose ratio reaches the threshold of their length are added as spans of kind `format`. The threshold is that of held-out credentials of
 about the length, and at least the log odds of ordinary runs to credentials in the documents, which short runs seldom outweigh.
 
 Defined results: a null text counts as empty; spans are in code points, end exclusive, ordered by start, then assign, access, hex,
@@ -18,7 +18,7 @@ import hashlib
 import heapq
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 SHORTEST = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-#: Values a kind and ordinary runs that the formats are learned from, those of least hash among all documents.
-VALUES = 400
+#: Values a kind and ordinary runs that the formats are learned from, those of least hash among all documents; longer ones are scored, but not learned from.
+VALUES, LONGEST_LEARNED = 400, 256
 #: Of the Hoeffding bound; and log-likelihood ratio a symbol that a candidate needs at least.
 ALPHA, LEAST_RATIO = 0.05, 0.25
 LEAST_VALUES = 20
@@ -61,104 +61,82 @@ _CLASSES = {ord(c): k for k, cs in (("0", "0123456789"), ("h", "abcdef"), ("z",
 
 
 class Automaton:
-    """A probabilistic automaton from strings, by merging compatible states of their prefix tree in breadth-first order."""
+    """A probabilistic automaton from strings, by merging compatible states of their prefix tree in breadth-first order.
+
+    `seen` counts how often a state was reached, `stop` how often a string ended there, `flow` how often each symbol led on; so seen = stop + all flows,
+    before and after each merge."""
 
     def __init__(self, strings: list[str], alpha: float = ALPHA):
-        self.seen, self.stop, self.step = [len(strings)], [0], [{}]
+        self.seen, self.stop, self.step, self.flow = [0], [0], [{}], [Counter()]
         for s in strings:
             at = 0
+            self.seen[0] += 1
             for c in s:
+                self.flow[at][c] += 1
                 if c not in self.step[at]:
                     self.step[at][c] = len(self.seen)
                     self.seen.append(0)
                     self.stop.append(0)
                     self.step.append({})
+                    self.flow.append(Counter())
                 at = self.step[at][c]
                 self.seen[at] += 1
             self.stop[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        red, blue = [0], sorted(self.step[0].items())
-        blue = [(0, c, s) for c, s in blue]
+        self.red = [0]
+        blue = deque((0, c) for c in sorted(self.step[0]))  # edges from kept states to the roots of what is a tree still
         while blue:
-            parent, c, s = blue.pop(0)
-            if self.step[parent].get(c) != s:
+            parent, c = blue.popleft()
+            s = self.step[parent][c]
+            if s in self.red:
                 continue
-            same = next((r for r in red if self._alike(r, s)), None)
+            same = next((r for r in self.red if self.alike(r, s)), None)
             if same is None:
-                red.append(s)
-            else:
-                self.step[parent][c] = same
-                self._fold(same, s)
-            kept = set(red)
-            blue = sorted({(r, c, t) for r in red for c, t in self.step[r].items() if t not in kept})
-        self.red = red
+                self.red.append(s)
+                blue.extend((s, d) for d in sorted(self.step[s]))
+                continue
+            self.step[parent][c] = same
+            known = {r: set(self.step[r]) for r in self.red}
+            self._fold(same, s)
+            blue.extend((r, d) for r in self.red for d in sorted(set(self.step[r]) - known[r]))
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
+        """Hoeffding's bound on two frequencies."""
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
-    def _flow(self, s: int, c: str) -> int:
-        """How often c followed state s."""
-        return self.count.get((s, c), 0) if hasattr(self, "count") else self.seen[self.step[s][c]] if c in self.step[s] else 0
-
-    def _alike(self, a: int, b: int) -> bool:
-        todo, done = [(a, b)], set()
+    def alike(self, a: int, b: int) -> bool:
+        """If the stop and step frequencies of a and of the tree b are compatible, and so on down the tree."""
+        todo = [(a, b)]
         while todo:
             x, y = todo.pop()
-            if x == y or (x, y) in done:
-                continue
-            done.add((x, y))
-            if self._differ(self.stop[x], self.seen[x], self.stop[y], self.seen[y]):
+            n, m = self.seen[x], self.seen[y]
+            if self._differ(self.stop[x], n, self.stop[y], m) or any(self._differ(self.flow[x][c], n, self.flow[y][c], m) for c in self.step[x].keys() | self.step[y].keys()):
                 return False
-            for c in self.step[x].keys() | self.step[y].keys():
-                fx, fy = self._out(x, c), self._out(y, c)
-                if self._differ(fx, self.seen[x], fy, self.seen[y]):
-                    return False
-                if c in self.step[x] and c in self.step[y]:
-                    todo.append((self.step[x][c], self.step[y][c]))
+            todo += [(self.step[x][c], t) for c, t in self.step[y].items() if c in self.step[x]]
         return True
 
-    def _out(self, s: int, c: str) -> int:
-        """About how often c followed s: the count of the target, at most what s has left over its stops."""
-        return min(self.seen[self.step[s][c]], self.seen[s] - self.stop[s]) if c in self.step[s] else 0
-
     def _fold(self, into: int, tree: int) -> None:
         """Add the tree's counts to a state and below."""
         todo = [(into, tree)]
         while todo:
             x, y = todo.pop()
-            if x == y:
-                continue
             self.seen[x] += self.seen[y]
             self.stop[x] += self.stop[y]
-            for c, t in list(self.step[y].items()):
+            for c, t in self.step[y].items():
+                self.flow[x][c] += self.flow[y][c]
                 if c in self.step[x]:
                     todo.append((self.step[x][c], t))
                 else:
                     self.step[x][c] = t
 
-    def learn(self, strings: list[str]) -> Automaton:
-        """Count the strings' ways through the merged states, for exact step and stop frequencies."""
-        self.way, self.end = Counter(), Counter()
-        self.at = Counter()
-        for s in strings:
-            x = 0
-            for c in s:
-                self.at[x] += 1
-                self.way[x, c] += 1
-                x = self.step[x][c]
-            self.at[x] += 1
-            self.end[x] += 1
-        return self
-
     def log_likelihood(self, s: str) -> float:
         x, out = 0, 0.0
         for c in s:
-            n = self.at[x] + 1.0
-            out += math.log((self.way[x, c] + 0.01) / n)
             if c not in self.step[x]:
                 return -math.inf
+            out += math.log((self.flow[x][c] + 0.01) / (self.seen[x] + 1.0))
             x = self.step[x][c]
-        return out + math.log((self.end[x] + 0.01) / (self.at[x] + 1.0))
+        return out + math.log((self.stop[x] + 0.01) / (self.seen[x] + 1.0))
 
 
 class Background:
@@ -200,11 +178,14 @@ def train(docs: DataFrame) -> tuple[list[Automaton], Background, list[tuple[floa
                 n_base += len(base)
                 for start, kind, end in base:
                     m = ASSIGN.match(text, start) if kind == 0 else None
-                    keep(KINDS[kind], (m[2] if m else text[start:end])[:256])
+                    value = m[2] if m else text[start:end]
+                    if len(value) <= LONGEST_LEARNED:
+                        keep(KINDS[kind], value)
                 runs = [m[0] for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)] if base else CANDIDATE.findall(text)
                 n_ordinary += len(runs)
                 for w in set(runs):
-                    keep("ordinary", w[:64])
+                    if len(w) <= LONGEST_LEARNED:
+                        keep("ordinary", w)
         rows = [(kind, v, f"{h:016x}") for kind, values in kept.items() for v, h in heapq.nsmallest(VALUES, values.items(), key=lambda x: (x[1], x[0]))]
         part = str(TaskContext.get().partitionId())
         cols = list(zip(*rows, ("count ordinary", str(n_ordinary), part), ("count base", str(n_base), part), strict=True))
@@ -221,7 +202,7 @@ def train(docs: DataFrame) -> tuple[list[Automaton], Background, list[tuple[floa
         if len(values) < LEAST_VALUES:
             continue
         fold = len(values) // 5
-        automata.append(Automaton(values[fold:]).learn(values[fold:]))
+        automata.append(Automaton(values[fold:]))
         held += values[:fold]
     if not automata:
         return None
@@ -241,51 +222,69 @@ def ratio(symbols: str, automata: list[Automaton], ordinary: Background) -> floa
     return (max(a.log_likelihood(symbols) for a in automata) - ordinary.log_likelihood(symbols)) / len(symbols)
 
 
-def credible(run: str, model) -> bool:
-    """If the run's ratio reaches the threshold of its length."""
+def judged(run: str, model) -> tuple[float, bool]:
+    """The run's ratio, and if it reaches the threshold of its length."""
     automata, ordinary, least = model
     a_symbol, in_all = least[sum(len(run) >= n for n in LENGTHS[1:])]
-    return ratio(classes(run), automata, ordinary) >= max(a_symbol, in_all / len(run))
+    x = ratio(classes(run), automata, ordinary)
+    return x, x >= max(a_symbol, in_all / len(run))
 
 
-def all_spans(text: str, model, known: dict[str, bool] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and all spans with those that the automata add. known: decisions on runs, filled here."""
+def scored_spans(text: str, model, known: dict[str, tuple[float, bool]] | None = None) -> tuple[list[tuple[int, int, int, float | None]], int]:
+    """All spans (start, kind, end, ratio), the base ones and those that the automata add, and how many candidates were scored.
+
+    Every candidate is scored: the values of base spans, and each run outside them. Without automata there is no ratio. known: scores of runs, filled here."""
     base = base_spans(text)
     if model is None:
-        return base, base
+        return [(*b, None) for b in base], 0
     known = {} if known is None else known
-    added = []
-    for m in CANDIDATE.finditer(text):
-        v = m[0]
+
+    def score(v: str) -> tuple[float, bool]:
         if (found := known.get(v)) is None:
-            found = credible(v, model)
+            found = judged(v, model)
             if len(v) <= 64:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 known[v] = found
-        if found and not any(s < m.end() and m.start() < e for s, _, e in base):
-            added.append((m.start(), 3, m.end()))
-    return base, sorted(base + added)
+        return found
+
+    out = [(s, k, e, score(ASSIGN.match(text, s)[2] if k == 0 else text[s:e])[0]) for s, k, e in base]
+    n = len(base)
+    for m in CANDIDATE.finditer(text):
+        if base and any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        n += 1
+        x, credible = score(m[0])
+        if credible:
+            out.append((m.start(), 3, m.end(), x))
+    return sorted(out, key=lambda o: o[:3]), n
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined)."""
+    """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), scores (of the spans: the log-likelihood
+    ratio a symbol, three digits; -inf for what no format makes, empty without automata), n_scored (candidates scored)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = rows.sparkSession.sparkContext.broadcast(train(rows))
-    join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        known: dict[str, tuple[float, bool]] = {}
         for b in batches:
             out = []
             for t in b.column("text"):
-                base, spans = all_spans(t.as_py() or "", model.value, known)
-                out.append((*(sum(k == x for _, k, _ in base) for x in range(3)), hashlib.sha256(join(base).encode()).hexdigest(), join(spans)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                spans, n = scored_spans(t.as_py() or "", model.value, known)
+                base = [s for s in spans if s[1] < 3]
+                scores = ",".join("" if s[3] is None else f"{s[3]:.3f}" for s in spans)
+                out.append((*(sum(s[1] == x for s in base) for x in range(3)), hashlib.sha256(join(base).encode()).hexdigest(), join(spans), scores, n))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *NAMES])
+
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, scores string, n_scored long")
+
 
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+NAMES = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores", "n_scored")
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -294,13 +293,13 @@ def mask_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     @F.pandas_udf("string")
     def masked(texts):
-        known: dict[str, bool] = {}
+        known: dict[str, tuple[float, bool]] = {}
 
         def one(text):
             if text is None:
                 return None
             out, at = [], 0
-            for s, _, e in all_spans(text, model.value, known)[1]:
+            for s, _, e, _ in scored_spans(text, model.value, known)[0]:
                 if s >= at:
                     out += [text[at:s], mask]
                 at = max(at, e)

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from oddsframe.llm import secrets as S
 from tests.llm.helpers import DOCS, ODD, documents, words
@@ -48,12 +50,96 @@ def test_base_spans_equal_brute_force(spark):
 def test_automaton_merges_states_and_prefers_its_language():
     r = random.Random(1)
     strings = ["k" + "".join(r.choice("0h") for _ in range(30)) for _ in range(300)]
-    a = S.Automaton(strings[50:]).learn(strings[50:])
+    a = S.Automaton(strings[50:])
     assert len(a.red) < 120  # the prefix tree has thousands of states
     own, other = a.log_likelihood(strings[0]), a.log_likelihood("kzzzz" + "z" * 26)
     assert own > other
 
 
+def slow_merge(strings, alpha):
+    """State merging by definition: states are sets of prefixes; counts are taken anew from all strings after every merge."""
+    prefixes = sorted({s[:i] for s in strings for i in range(len(s) + 1)}, key=lambda p: (len(p), p))
+    state = {p: p for p in prefixes}
+
+    def counts():
+        seen, stop, flow = Counter(), Counter(), Counter()
+        for s in strings:
+            for i in range(len(s) + 1):
+                seen[state[s[:i]]] += 1
+                if i < len(s):
+                    flow[state[s[:i]], s[i]] += 1
+            stop[state[s]] += 1
+        return seen, stop, flow
+
+    def after():
+        return {(state[p[:-1]], p[-1]): state[p] for p in prefixes if p}
+
+    def alike(a, b, seen, stop, flow, step):
+        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(seen[a]) + 1 / math.sqrt(seen[b]))
+        letters = {c for s, c in step if s in (a, b)}
+        if abs(stop[a] / seen[a] - stop[b] / seen[b]) > bound or any(abs(flow[a, c] / seen[a] - flow[b, c] / seen[b]) > bound for c in letters):
+            return False
+        return all(alike(step[a, c], step[b, c], seen, stop, flow, step) for c in letters if (a, c) in step and (b, c) in step)
+
+    red, todo = [""], [("", c) for c in sorted({s[0] for s in strings if s})]
+    while todo:
+        (p, c), todo = todo[0], todo[1:]
+        step = after()
+        blue = step[p, c]
+        if blue in red:
+            continue
+        same = next((r for r in red if alike(r, blue, *counts(), step)), None)
+        if same is None:
+            red.append(blue)
+            todo += [(blue, d) for d in sorted(d for s, d in step if s == blue)]
+            continue
+        before = {(s, d) for s, d in step if s in red}
+        for q in prefixes:  # everything below follows the merged state's ways, in order of length
+            if state[q] == blue:
+                state[q] = same
+        changed = True
+        while changed:
+            changed, ways = False, {}
+            for q in prefixes:
+                if q:
+                    way = ways.setdefault((state[q[:-1]], q[-1]), state[q])
+                    if way != state[q]:
+                        old = state[q]
+                        keep = way if way in red or (old not in red and (len(way), way) <= (len(old), old)) else old
+                        gone = old if keep == way else way
+                        state.update({x: keep for x in prefixes if state[x] == gone})
+                        changed = True
+                        break
+        todo += [(s, d) for s in red for s2, d in sorted(after()) if s2 == s and (s, d) not in before]
+    seen, stop, flow = counts()
+    return red, seen, stop, flow, after()
+
+
+def test_automata_equal_merging_by_definition():
+    for seed, letters, alpha in ((1, "ab", 0.05), (2, "abc", 0.05), (3, "ab", 0.8), (4, "a0", 0.5)):
+        r = random.Random(seed)
+        strings = [("k" if r.random() < 0.6 else "") + "".join(r.choice(letters) for _ in range(r.randint(1, 5))) for _ in range(120)]
+        a = S.Automaton(strings, alpha)
+        red, seen, stop, flow, step = slow_merge(strings, alpha)
+        assert len(a.red) == len(red) > 1
+        assert [a.seen[s] for s in a.red] == [seen[s] for s in red] and [a.stop[s] for s in a.red] == [stop[s] for s in red]
+        for x, y in zip(a.red, red, strict=True):
+            assert {c: a.flow[x][c] for c in a.step[x]} == {c: flow[s, c] for s, c in step if s == y}
+            assert {c: a.red.index(t) for c, t in a.step[x].items()} == {c: red.index(t) for (s, c), t in step.items() if s == y}
+            assert a.seen[x] == a.stop[x] + sum(a.flow[x].values())
+
+
+def test_every_candidate_is_scored_base_ones_too(spark):
+    r = random.Random(8)
+    rows = [(i, f"{words(i, 20)} token={r.getrandbits(128):032x} passwd=kk{i}kkk {words(i, 2)}") for i in range(200)]
+    for x in S.find_secrets(documents(spark, rows)).collect():
+        text = rows[x.doc_id][1]
+        base = brute(text)
+        runs = [m for m in S.CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert x.n_scored == len(base) + len(runs) and len(x.scores.split(",")) == len(x.spans.split(","))
+        assert all(float(v) > -math.inf for v in x.scores.split(",")[:1])
+
+
 def test_learned_format_is_found_without_its_keyword(spark):
     r = random.Random(2)
     code = lambda: "gh_" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(32))
