@@ -79,6 +79,29 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
     return docs.mapInArrow(run, docs.schema)
 
 
+#: Rows of one key that may stay together in a join, and keys that are dealt to several parts, at most.
+TOGETHER, MOST_HOT = 1_000, 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row a key, with the rows of a hot key dealt to parts that each get right's row.
+
+    Keys are hot beyond TOGETHER rows, or a MOST_HOT-th part of all rows if that is more: so there are fewer than MOST_HOT of them, and the list of them
+    that is broadcast is bounded. left is read twice: it should be a table."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > TOGETHER)
+    total = left.count()
+    most = max(TOGETHER, total // MOST_HOT)
+    hot = materialise(counts.where(F.col("__n") > most).select("__key", F.ceil(F.col("__n") / most).cast("int").alias("__parts")), "hot") if total > TOGETHER else None
+    if hot is None or hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    others = [c for c in left.columns if c != key] or [key]
+    part = F.coalesce(F.pmod(F.xxhash64(*others), F.col("__parts")), F.lit(0)).cast("int")
+    many = left.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__part", part).drop("__key", "__parts")
+    each = right.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__key", "__parts")
+    return many.join(each, [key, "__part"], how).drop("__part")
+
+
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

@@ -104,3 +104,52 @@ def test_code_of_long_lists_is_counted_in_blocks():
     h = [xxhash.xxh64_intdigest(str(i).encode()) for i in range(150_000)]
     bits = sum(np.unpackbits(np.array(h[i : i + 1000], dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=int) for i in range(0, len(h), 1000))
     assert S.code_of(h) == sum(1 << b for b in range(64) if bits[b] * 2 > len(h))
+
+
+def test_links_are_the_same_however_many_keys_are_split(spark, monkeypatch):
+    r = random.Random(5)
+    centre = [r.getrandbits(64) for _ in range(4)]
+    codes = {c ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for c in centre for _ in range(60)} | {r.getrandbits(64) for _ in range(50)}
+    signed = sorted(S._signed(c) for c in codes)
+    real = union_find(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2])
+    table = spark.createDataFrame([(c,) for c in signed], "code long")
+    for hot in (0, 3, 1000):
+        monkeypatch.setattr(S, "HOT", hot)
+        found = S.link_fingerprints(table).collect()
+        assert union_find(signed, [(e.a, e.b) for e in found]) == real
+        assert all(((e.a ^ e.b) & (1 << 64) - 1).bit_count() <= 2 for e in found)
+
+
+def test_symbols_meet_within_the_ball_of_a_segment_and_not_beyond():
+    h = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one = S.symbols_of(h)
+    two = one.copy()
+    two[:, 0] += np.uint64(1)  # one symbol of each segment differs
+    three = two.copy()
+    three[:, 3] += np.uint64(1)
+    keys = [set(S.symbol_balls(x).tolist()) for x in (one, two, three)]
+    assert len(keys[0]) == S.NEAR_SEGMENTS * S.SYMBOLS
+    assert len(keys[0] & keys[1]) == S.NEAR_SEGMENTS and not keys[0] & keys[2] and len(keys[1] & keys[2]) == S.NEAR_SEGMENTS
+
+
+def test_shared_boilerplate_loses_no_pair_and_null_ids_stay(spark):
+    # texts that are alike by a long common passage, but not enough, and pairs among them that are
+    common, rows = words(3, 100), []
+    rows += [(i, f"{common} {words(20_000 + i, 40)}") for i in range(120)]
+    for k in range(100):
+        text = f"{words(30_000 + k, 120)}"
+        rows += [(1000 + 2 * k, text), (1001 + 2 * k, f"{text} {words(40_000 + k, 20)}")]
+    found = {r.doc_id: r.keep_id for r in S.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {1001 + 2 * k: 1000 + 2 * k for k in range(100)}
+    odd = [(None, rows[0][1]), (1, rows[0][1]), (1, rows[0][1]), (2, rows[0][1])]
+    assert sorted(str(r.doc_id) for r in S.drop_near_duplicates(documents(spark, odd)).collect()) == ["1", "1", "None"]
+
+
+def test_a_spread_join_equals_a_plain_one(spark, monkeypatch):
+    from oddsframe.llm import common
+
+    monkeypatch.setattr(common, "TOGETHER", 10)
+    left = spark.range(500).selectExpr("id as x", "if(id % 3 = 0, 7, if(id % 50 = 1, null, id)) as k")
+    right = spark.range(400).selectExpr("id as k", "id * 2 as y")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.spread_join(left, right, "k", how).select("x", "k", "y").collect())) == sorted(map(str, left.join(right, "k", how).select("x", "k", "y").collect()))
