@@ -3,14 +3,15 @@
 A page is parsed to a tree of block elements and text slots. Trees of one host are aligned child by child: elements that
 one page lacks become optional, runs of like elements repeated groups (of up to PERIOD elements), and texts that differ become slots, texts
 that don't stay fixed. The host's wrapper tells where the article is (an article or main element, else the element whose slots hold most
-text outside links) and which texts outside it are the host's own; the page is then read along the wrapper.
+text outside links) and which texts are fixed, in it or outside: those are the host's own. The page is then read along the wrapper: the texts of
+the main element's slots come out, fixed ones don't, unless they are most of the element (copies of one article).
 
 Wrappers are merged in a tree of partial merges, FAN of them at most in one task, after equal page trees of a host are counted as one: a host that
 holds a third of all pages is dealt to many tasks. A wrapper's size is bounded: an element with more than WIDE kinds of
 children keeps them as a bag, in which the commoner kinds stand as they are and the rarer ones are one kind a tag name, subtrees included.
 
 Defined results: null or empty html gives an empty text and length 0; a null url counts as a host of its own name, empty; markup that ends
-early is read as far as it goes; repeated rows come out as they are; an empty table gives an empty result; other columns are ignored.
+early is read as far as it goes, and a quote without its end doesn't go beyond the tag; long pages are read whole, and elements at any depth; repeated rows come out as they are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import materialise
+from oddsframe.llm.common import bounded_batches, materialise, spread_join
 from oddsframe.llm.url_filter import host_of
 
 FAN, WIDE, PERIOD, DEEP = 256, 48, 4, 60
 #: Pages that a text must be the same on to be a host's own.
 FIXED_PAGES = 3
+#: Bytes of readings that are broadcast, at most.
+SENT = 32_000_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[a-zA-Z/][^>]*\Z|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[a-zA-Z/][^>]*\Z|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 #: Elements within a line that are never text.
 _GADGETS = {"noscript", "template", "object", "svg", "math", "canvas", "select", "button", "audio", "video", "map", "progress", "meter", "datalist"}
@@ -63,14 +66,15 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _kind(name: str, raw: str) -> tuple[str, bool]:
-    """The key of an element in wrappers, and if it is never main text."""
+def _kind(name: str, raw: str) -> tuple[str, bool, str]:
+    """The key of an element in wrappers, if it is never main text, and its names. A key holds long lists of names by a hash."""
     a = _attributes(raw)
     names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
-    label = ".".join(sorted({x for n in names if (x := re.sub(r"[^a-z-]+", "", n))}))[:40]
+    label = ".".join(sorted({x for n in names if (x := re.sub(r"[^a-z-]+", "", n))}))
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
     drop = name in _BOILER or hidden or a.get("role", "").lower() in _BOILER_ROLE or any(_BOILER_NAME.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", n)) for n in names)
-    return (f"{name}.{label}" if label else name), drop and name not in ("html", "body", "article", "main") or drop and bool(re.search("comment", label))
+    short = label if len(label) <= 40 else f"{label[:24]}~{xxhash.xxh64_intdigest(label):016x}"
+    return (f"{name}.{short}" if label else name), drop and name not in ("html", "body", "article", "main") or drop and bool(re.search("comment", label)), label
 
 
 def parse(text: str) -> Element:
@@ -144,8 +148,7 @@ def parse(text: str) -> Element:
                 break
             if name == "p":
                 break
-        key, drop = _kind(name, m[3])
-        label = key.partition(".")[2]
+        key, drop, label = _kind(name, m[3])
         if stack[-1].inner:
             drop = drop and (name != "header" or bool(_BOILER_NAME.search(label)))
         elif name not in ("html", "body", "article", "main"):
@@ -223,11 +226,9 @@ def folded(children: list) -> list:
             ids, j = [_id(x) for x in group], i + period
             if len(group) == period and (period == 1 or len(set(ids)) > 1):
                 while [_id(x) for x in out[j : j + period]] == ids:
-                    group = [merged(x, y, True) for x, y in zip(group, out[j : j + period], strict=True)]
+                    group = [merged(x, y, True) if period == 1 else _same(x, y) for x, y in zip(group, out[j : j + period], strict=True)]
                     j += period
             if j > i + period:
-                for x in group if period > 1 else ():
-                    x[1] = {"+": "1", "*": "?"}.get(x[1], x[1])
                 done.append(group[0] if period == 1 else ["(", "+", group[0][2], group])
                 i = j
             else:
@@ -320,41 +321,50 @@ def _same(x: list, y: list) -> list:
     return out
 
 
+def is_fixed(x: list, least: float = FIXED_PAGES) -> bool:
+    """If a text is the same on all the pages that have it, and these are enough to tell."""
+    return x[3] is not None and x[2] >= least
+
+
 def _volume(x: list) -> tuple[int, int]:
+    """Characters in the slots, and those in links. Fixed texts don't count."""
     if x[0] == "#":
-        return x[4], x[5]
+        return (0, 0) if is_fixed(x) else (x[4], x[5])
     parts = [_volume(c) for c in x[3]]
     return sum(p[0] for p in parts), sum(p[1] for p in parts)
 
 
 def reading_of(wrapper: list) -> dict:
-    """How to read a host's pages: the path of its main element, and the hashes of texts that are its own."""
+    """How to read a host's pages: the path of its main element, and the hashes of the wrapper's fixed texts, which are the host's own.
+
+    Within an article or main element a text is fixed if half of its pages at least have it, outside if FIXED_PAGES do."""
     own: list[str] = []
-    mains: list[tuple[str, int]] = []
+    mains: list[str] = []
 
-    def walk(x: list, path: str, least: float = FIXED_PAGES) -> None:
+    def walk(x: list, path: str, least: float, inside: bool) -> None:
         if x[0] == "#":
-            if x[3] is not None and x[2] >= least:
+            if is_fixed(x, least):
                 own.append(x[3])
             return
         here = path if x[0] in ("(", "{", "") else f"{path}/{x[0]}"
-        if re.match(r"(article|main)(\.|$)", x[0]):
-            mains.append((here, sum(_volume(x))))
-            return
+        if not inside and re.match(r"(article|main)(\.|$)", x[0]):
+            mains.append(here)
+            inside, least = True, max(FIXED_PAGES, x[2] / 2)
         for c in x[3]:
-            walk(c, here, max(FIXED_PAGES, x[2] / 2) if x[0] == "{" else FIXED_PAGES)  # texts of a bag are the host's if on half of its pages
+            walk(c, here, least if inside else max(FIXED_PAGES, x[2] / 2) if x[0] == "{" else FIXED_PAGES, inside)  # texts of a bag are the host's if on half of its pages
 
-    walk(wrapper, "")
+    walk(wrapper, "", FIXED_PAGES, False)
+    own = sorted(set(own))
     if mains:
-        first = [p for p, _ in mains if re.search(r"/article(\.[^/]*)?$", p)] or [p for p, _ in mains]
-        return {"main": sorted(set(first)), "own": []}
+        first = [p for p in mains if re.search(r"/article(\.[^/]*)?$", p)] or mains
+        return {"main": sorted(set(first)), "own": own}
     path, x = "", wrapper
-    while True:  # go down while one child has nearly all text outside links
+    while True:  # go down while one child has nearly all text of slots outside links
         parts = [c for c in _flat(x) if c[0] != "#"]
         weight = [max(0, v[0] - v[1]) for v in map(_volume, parts)]
-        total = max(1, sum(_volume(x)) - 2 * _volume(x)[1] + _volume(x)[1])
-        if not parts or max(weight) < 0.8 * total or parts[weight.index(max(weight))][0].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table", "blockquote", "pre"):
-            return {"main": [path] if path else [], "own": own[:2000]}
+        all_, linked = _volume(x)
+        if not parts or max(weight) < 0.8 * max(1, all_ - linked) or parts[weight.index(max(weight))][0].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table", "blockquote", "pre"):
+            return {"main": [path] if path else [], "own": own}
         x = parts[weight.index(max(weight))]
         # the rarer kinds of a bag are those that don't stand in it by name
         path += f"/{x[0]}" + "".join(sorted({f"!{c[0]}" for c in parts if c[0] != x[0] and c[0].partition(".")[0] == x[0][:-2]}) if x[0].endswith(".*") else ())
@@ -405,15 +415,18 @@ def read(root: Element, reading: dict | None) -> str:
                 yield c[1]
 
     def blocks(need: bool) -> list[str]:
-        out, now = [], []
+        found, now = [], []
         for t in (*texts(root, [mains], False, need), None):
             if t is not None:
                 now.append(t)
             elif now:
-                if (s := " ".join(entities.unescape("".join(now)).split())) and (need or f"{xxhash.xxh64_intdigest(' '.join(' '.join(now).split()).encode('utf-8', 'surrogatepass')):x}" not in own):
-                    out.append(s)
+                if s := " ".join(entities.unescape("".join(now)).split()):
+                    found.append((s, bool(own) and f"{xxhash.xxh64_intdigest(' '.join(' '.join(now).split()).encode('utf-8', 'surrogatepass')):x}" in own))
                 now = []
-        return out
+        slots = [s for s, fixed in found if not fixed]
+        # copies of one article have no slots to speak of: then their texts aren't the wrapper's
+        enough = sum(map(len, slots)) * 2 >= sum(len(s) for s, _ in found) if need else bool(slots)
+        return slots if enough else [s for s, _ in found]
 
     return "\n".join((blocks(True) if mains and _has(root, [mains]) else None) or blocks(False))
 
@@ -468,6 +481,7 @@ def _shape(tree: str) -> str:
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row a page: page_id, url, text, n_chars."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     found = wrappers(rows.where("html is not null").select("host", "html"))
 
@@ -475,7 +489,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column("host"), pa.array([json.dumps(reading_of(json.loads(w.as_py()))) for w in b.column("wrapper")], pa.string())], names=["host", "reading"])
 
-    readings = found.mapInArrow(read_off, "host string, reading string")
+    readings = materialise(found.mapInArrow(read_off, "host string, reading string"), "readings")
+    size = readings.agg(F.coalesce(F.sum(F.length("reading") + F.length("host")), F.lit(0))).first()[0]
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,4 +507,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 out.append("" if root is None else read(root, _own_articles(root) if alone else known.get(r)))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(readings, "host", "left").select("page_id", "url", "html", "reading").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    # whole pages move only where the readings are too many to send
+    both = rows.join(F.broadcast(readings), "host", "left") if size <= SENT else spread_join(rows, readings, "host", "left")
+    return both.select("page_id", "url", "html", "reading").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -1,5 +1,6 @@
 import html
 import random
+import re
 
 from oddsframe.llm import extract as X
 
@@ -113,3 +114,79 @@ def test_deep_elements_are_closed_and_dropped(spark):
 def test_very_deep_pages_take_linear_time():
     root = X.parse("<div>" * 100_000 + "x" + "</b></section>" * 10 + "</div>" * 100_000)
     assert X.read(root, None) == "x"
+
+
+def test_the_wrapper_takes_fixed_texts_out_and_leaves_slots(spark):
+    page = lambda i: f"<article><div class='lead'>Welcome to our corner</div><h1>Head {i}</h1><p>Story number {i} goes on for some words here.</p><div class='end'>Powered by this and that</div></article>"
+    out = texts(spark, [(i, "http://fix.example/p", page(i)) for i in range(10)] + [(99, "http://other.example/p", page(99))])
+    assert all(out[i] == f"Head {i}\nStory number {i} goes on for some words here." for i in range(10))
+    # one page alone can't tell, so its text is whole
+    assert out[99] == "Welcome to our corner\nHead 99\nStory number 99 goes on for some words here.\nPowered by this and that"
+
+
+def test_copies_of_one_article_stay_whole_and_rows_repeat(spark):
+    page = "<body><nav>menu</nav><article><h1>One</h1><p>and the same</p></article></body>"
+    got = X.extract_main_text(spark.createDataFrame([(k // 2, "http://same.example/p", page) for k in range(12)], SCHEMA)).collect()
+    assert len(got) == 12 and {r.text for r in got} == {"One\nand the same"}
+
+
+def test_quotes_in_attributes(spark):
+    rows = [(1, "http://q/1", "<p data-x=it's>one</p><p>two don't</p>"), (2, "http://q2/1", '<p title="a>one</p><p>two</p>'), (3, "http://q3/1", '<p title="a>b" class=x>one</p>'), (4, "http://q4/1", "<p a='>' b=\">\" c = '>'>x</p>")]
+    assert texts(spark, rows) == {1: "one\ntwo don't", 2: "one\ntwo", 3: "one", 4: "x"}
+
+
+def test_long_class_lists_stay_apart(spark):
+    long = "a" * 60
+    page = lambda i: f"<article><div class='{long}x'>Same {i % 2}</div><div class='{long}y'>Fixed words</div><p>Body {i} with enough words to be most of it all</p></article>"
+    assert X._kind("div", f" class='{long}x'")[0] != X._kind("div", f" class='{long}y'")[0]
+    assert texts(spark, [(i, "http://l/1", page(i)) for i in range(6)])[3] == "Same 1\nBody 3 with enough words to be most of it all"
+
+
+def test_a_very_long_page_and_many_readings(spark, monkeypatch):
+    monkeypatch.setattr(X, "SENT", 0)
+    rows = [(1, "http://x/1", "<article>" + "<p>some words</p>" * 100_000 + "</article>"), (2, None, "<p>a"), (3, "http://x/2", "<article><p>b</article>")]
+    out = texts(spark, rows)
+    assert (len(out[1]), out[2], out[3]) == (100_000 * 11 - 1, "a", "b")
+
+
+def expression(children):
+    """A wrapper's children as a regular expression over their names."""
+    one = lambda x: f"(?:{expression(x[3])})" if x[0] == "(" else f"(?:{x[0]};)"
+    return "".join(one(x) + x[1].replace("1", "") for x in children)
+
+
+def common(a, b):
+    """The length of the longest common subsequence, by trying all of a's."""
+    best = 0
+    for mask in range(1 << len(a)):
+        part, rest = [x for i, x in enumerate(a) if mask >> i & 1], iter(b)
+        if len(part) > best and all(x in rest for x in part):
+            best = len(part)
+    return best
+
+
+def test_alignment_equals_brute_force():
+    r = random.Random(11)
+    for _ in range(300):
+        # neighbours differ, so no repetitions: what two pages share is their longest common subsequence
+        a, b = ([x for i, x in enumerate(s) if not i or s[i - 1] != x] for s in ([r.choice("abcdef") for _ in range(r.randint(1, 7))] for _ in range(2)))
+        if any(s[i : i + n] == s[i + n : i + 2 * n] for s in (a, b) for n in (2, 3) for i in range(len(s))):
+            continue
+        lists = [[[x, "1", 1, []] for x in s] for s in (a, b)]
+        got = X.aligned(*lists, False)
+        assert all(re.fullmatch(expression(got), "".join(f"{x};" for x in s)) for s in (a, b))
+        flat = [x for x in got if x[1] == "1"]
+        if not any(x[0] == "(" or x[1] in "+*" for x in got):
+            assert len(flat) == common(a, b) and len(got) == len(a) + len(b) - common(a, b)
+
+
+def test_wrappers_accept_every_page_they_are_made_of():
+    r = random.Random(12)
+    for _ in range(200):
+        pages = [[r.choice(["h1", "p", "ul", "table"]) for _ in range(r.randint(0, 8))] for _ in range(r.randint(2, 5))]
+        out = None
+        for s in pages:
+            w = X.folded([[x, "1", 1, []] for x in s])
+            out = w if out is None else X.aligned(out, w, False)
+        for s in pages:
+            assert re.fullmatch(expression(out), "".join(f"{x};" for x in s)), (pages, out)
