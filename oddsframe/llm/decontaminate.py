@@ -1,19 +1,20 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
 
-Texts are normalised (small letters, runs of other characters one space). A window starts at each anchor, a word whose first letters hash
-to a chosen value; every item also has a forced anchor, its word of the least hash, which is an anchor in documents too. From an anchor the window's
-characters are walked: at each step one character is put out and a random bit of (step, character) says whether to go on, so that
-texts at a small edit distance give outputs at a small Hamming distance. Each of REPEATS independent walks samples some of its
-outputs as a key; a document key found among the items' keys aligns the item with the document, and the item-sized window there is verified by
-exact edit distance, at most EDITS of the item's length. The walk of a window doesn't depend on its length, so one key serves all item
-sizes. With an edit rate e a key of a walk over n characters survives with probability (1 - e)^n at least; an item of a hundred
-characters or more has three anchors and nine keys about, an exact passage is always found.
-
-Items are broadcast in blocks of at most BLOCK characters; a larger benchmark is matched block by block against the documents.
-
-Defined results: null texts count as empty; items of fewer than SHORTEST normalised characters are too short to tell and match
-nothing; repeated items come out under each item_id, a null one is dropped; repeated documents come out as they are; an empty table of either
-kind gives no matches; other columns are ignored.
+Texts are normalised (small letters, runs of other characters one space). An item holds in a document where a window of about the item's size is within
+EDITS of the item's length in edits. The walk that embeds a window puts out a character at each step, and a random bit of (step, character) says whether
+to go on; texts at a small edit distance so give outputs at a small Hamming distance. As errors add up along a walk, the embedding of an
+item-sized window is sampled in stretches of STEPS steps, one from each anchor in it: the start of each word, and each character of scripts without spaces.
+Each of REPEATS walks samples SAMPLES outputs of a stretch as a key. A key that a document shares with an item aligns the two; a window of the item's size in
+which some anchors agree on the alignment, within the edits allowed, is verified by exact edit distance; how many follows from the item's own (VOTES).
+
+The numbers are set for a recall of at least 0.9 at any edit rate up to EDITS (tests and README); an exact passage is always found. Items of fewer than SHORTEST
+normalised characters leave no room for walks: they are found by an exact key, as whole words without edits.
+
+The index of a block of items, BLOCK characters at most, is built once on the driver and broadcast; a larger benchmark takes one pass over the texts a
+block, of which only what is found is kept.
+
+Defined results: null texts count as empty; an item without letters or digits matches nothing; repeated items come out under each item_id, a null
+one is dropped; repeated documents come out as they are; an empty table of either kind gives no matches; other columns are ignored; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,19 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsframe.llm.common import bounded_batches, filter_texts, materialise
 
 EDITS, SHORTEST = 0.2, 20
-#: One word of so many is an anchor; characters of a word that decide.
-ANCHORS, LETTERS = 8, 4
-#: (steps, sampled outputs) of a walk for items with room for it, and for shorter ones; repetitions.
-WALKS, REPEATS = ((64, 12), (24, 8)), 3
-BLOCK = 16_000_000
+#: Steps of a walk from an anchor, outputs sampled, repetitions; anchors of an item from which on two, and three, must agree.
+STEPS, SAMPLES, REPEATS, VOTES = 24, 18, 4, (12, 24)
+#: Characters of items in an index, at most.
+BLOCK = 4_000_000
 #: Characters of documents walked at once, about.
 GROUP = 200_000
+#: Bits of the table that most keys of documents are turned away by.
+SIEVE = 23
 _KNOWN = 0x250
 
 
@@ -60,16 +62,13 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out[at], at - 1
 
 
-def _word_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start, and a hash of each one's first letters."""
-    starts = np.nonzero(codes[:-1] == 32)[0] + 1
-    h, live = np.zeros(len(starts), dtype=np.uint64), np.ones(len(starts), dtype=bool)
-    padded = np.concatenate([codes, np.full(LETTERS, 32, dtype=codes.dtype)])
-    for i in range(LETTERS):
-        c = padded[starts + i]
-        live &= c != 32
-        h = np.where(live, (h ^ c) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i), h)
-    return starts, h ^ (h >> np.uint64(31))
+def anchors(codes: np.ndarray) -> np.ndarray:
+    """Where words start, and each character of scripts written without spaces (from Thai to Khmer, and from U+2E80)."""
+    far = (codes >= 0x2E80) | (codes >= 0x0E00) & (codes < 0x1800)
+    at = codes[:-1] == 32
+    if far.any():
+        at = at | far[1:]
+    return np.nonzero(at)[0] + 1
 
 
 class Walks:
@@ -77,16 +76,15 @@ class Walks:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.bits = [[rng.integers(0, 2, (steps, 256), dtype=np.int64) for _ in range(REPEATS)] for steps, _ in WALKS]
-        self.samples = [[np.sort(rng.choice(steps, size, replace=False)) for _ in range(REPEATS)] for steps, size in WALKS]
+        self.bits = [rng.integers(0, 2, (STEPS, 256), dtype=np.int64) for _ in range(REPEATS)]
+        self.samples = [frozenset(rng.choice(STEPS, SAMPLES, replace=False).tolist()) for _ in range(REPEATS)]
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray, tier: int, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, codes: np.ndarray, starts: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
         """The key of the walk from each start, and where the walk ended."""
-        steps = WALKS[tier][0]
-        bits, sampled = self.bits[tier][repeat], set(self.samples[tier][repeat].tolist())
-        padded = np.concatenate([codes, np.zeros(steps + 1, dtype=codes.dtype)])
-        at, key = starts.astype(np.int64), np.full(len(starts), (tier * REPEATS + repeat + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        for j in range(max(sampled) + 1):
+        bits, sampled = self.bits[repeat], self.samples[repeat]
+        padded = np.concatenate([codes, np.zeros(STEPS + 1, dtype=codes.dtype)])
+        at, key = starts.astype(np.int64), np.full(len(starts), (repeat + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        for j in range(STEPS):
             c = padded[at]
             if j in sampled:
                 key = (key ^ c) * np.uint64(0xFF51AFD7ED558CCD)
@@ -95,40 +93,74 @@ class Walks:
         return key, at
 
 
+def _word_keys(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` characters from each start."""
+    padded = np.concatenate([codes, np.zeros(length, dtype=codes.dtype)])
+    key = np.full(len(starts), length, dtype=np.uint64)
+    for j in range(length):
+        key = (key ^ padded[starts + j]) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+class _Index:
+    """From keys to (item, offset): sorted keys behind a table of bits."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray, offsets: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items, self.offsets = keys[order], items[order].astype(np.int32), offsets[order].astype(np.int32)
+        self.sieve = np.zeros(1 << SIEVE, dtype=bool)
+        self.sieve[(keys >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
+
+    def __getstate__(self):
+        return self.keys, self.items, self.offsets, np.packbits(self.sieve)
+
+    def __setstate__(self, state):
+        self.keys, self.items, self.offsets, packed = state
+        self.sieve = np.unpackbits(packed).astype(bool)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which key, item, offset) of all matches."""
+        may = np.nonzero(self.sieve[(keys >> np.uint64(64 - SIEVE)).astype(np.int64)])[0]
+        low, high = (np.searchsorted(self.keys, keys[may], side) for side in ("left", "right"))
+        n = high - low
+        which = np.repeat(may, n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        return which, self.items[at], self.offsets[at]
+
+
 class Items:
-    """A block of items with their keys, sorted."""
+    """A block of items (id, text) with their keys."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.walks, self.ids, self.codes, self.tiers = Walks(), [], [], set()
-        keys, places, forced = [], [], []
-        for item, text in sorted(rows):
-            codes, _ = normalise(text or "")
-            codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
-            if len(codes) - 1 < SHORTEST:
-                continue
-            k = len(self.ids)
-            self.ids.append(item)
-            self.codes.append(codes[1:])
-            starts, h = _word_hashes(codes)
-            roomy = starts <= max(1, len(codes) - WALKS[-1][0])
-            least = int(h[roomy].min())
-            forced.append(least)
-            starts = starts[(h % np.uint64(ANCHORS) == 0) | (h == np.uint64(least))]
-            for tier in range(len(WALKS)):  # shorter walks serve items that have no room for longer ones
-                found = 0
-                for r in range(REPEATS):
-                    key, end = self.walks.keys(codes, starts, tier, r)
-                    fits = end < len(codes)
-                    found += int(fits.sum())
-                    keys.append(key[fits])
-                    places += [(k, int(s) - 1) for s in starts[fits]]
-                if found:
-                    self.tiers.add(tier)
-                    break
-        self.forced = np.unique(np.array(forced, dtype=np.uint64))
-        flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.places = flat[order], [places[i] for i in order]
+        rows = sorted((item, text or "") for item, text in rows)
+        self.walks, self.ids = Walks(), [item for item, _ in rows]
+        codes, bounds, _ = _joined([t for _, t in rows])
+        self.patterns = [_trimmed(codes[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        size = np.array([len(p) for p in self.patterns], dtype=np.int64)
+        first = bounds[:-1] + np.array([int(a < z and codes[a] == 32) for a, z in zip(bounds[:-1], bounds[1:], strict=True)], dtype=np.int64)
+        starts = anchors(codes)
+        owner = np.searchsorted(bounds, starts, side="right") - 1
+        inside = (owner >= 0) & (owner < len(rows))
+        starts, owner = starts[inside], owner[inside]
+        walked = size[owner] >= SHORTEST
+        keys, items, offsets = [], [], []
+        for r in range(REPEATS):
+            key, end = self.walks.keys(codes, starts, r)
+            fits = walked & (end <= first[owner] + size[owner])
+            keys.append(key[fits])
+            items.append(owner[fits])
+            offsets.append((starts - first[owner])[fits])
+        self.index = _Index(*(np.concatenate(x) for x in (keys, items, offsets)))
+        n = np.max([np.bincount(x, minlength=len(rows)) for x in items], axis=0)
+        self.votes = 1 + np.searchsorted(np.array(VOTES), n, side="right")
+        self.most = (EDITS * size).astype(np.int64)
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, p in enumerate(self.patterns):
+            # an item with room for no walk is found by its exact key like a shorter one
+            if len(p) and (len(p) < SHORTEST or not np.isin(k, self.index.items)):
+                at = np.zeros(1, dtype=np.int64)
+                self.short.setdefault(len(p), {}).setdefault(int(_word_keys(p, at, len(p))[0]), []).append(k)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text the (item_id, start, end, edits) of items in it, places in code points. Texts are walked together, GROUP characters at a time."""
@@ -145,42 +177,80 @@ class Items:
 
     def _find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         out: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
-        if not len(self.keys):
+        if not any(len(p) for p in self.patterns):
             return [[] for _ in texts]
-        codes, origin = normalise("\n".join(texts))
-        lengths = np.array([len(t) for t in texts])
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-        bounds = np.searchsorted(origin, begins)  # of each text among the normalised characters
-        starts, h = _word_hashes(codes)
-        starts = starts[(h % np.uint64(ANCHORS) == 0) | np.isin(h, self.forced)]
-        aligned: set[tuple[int, int, int]] = set()
-        for tier in sorted(self.tiers):
-            for r in range(REPEATS):
-                key, _ = self.walks.keys(codes, starts, tier, r)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                for i in np.nonzero(self.keys[at] == key)[0].tolist():
-                    doc, k = int(np.searchsorted(bounds, starts[i], side="right")) - 1, int(at[i])
-                    while k < len(self.keys) and self.keys[k] == key[i]:
-                        item, offset = self.places[k]
-                        aligned.add((doc, item, int(starts[i]) - offset))
-                        k += 1
-        for doc, item, start in sorted(aligned):
-            got, pattern = out[doc], self.codes[item]
-            if item in got and got[item][3] == 0:
+        codes, bounds, origin = _joined(texts)
+        begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        starts = anchors(codes)
+
+        def put(doc: int, item: int, start: int, end: int, edits: int) -> None:
+            a, z = max(start, int(bounds[doc]), 1), max(min(end, int(bounds[doc + 1])) - 1, int(bounds[doc]), 1)
+            place = lambda i: int(origin[min(i, len(origin) - 1)] - begins[doc])
+            if item not in out[doc] or edits < out[doc][item][3]:
+                out[doc][item] = (self.ids[item], place(a), place(z) + 1, edits)
+
+        for doc, item, low, high in self._aligned(codes, bounds, starts):
+            if item in out[doc] and out[doc][item][3] == 0:
                 continue
+            pattern, most = self.patterns[item], int(self.most[item])
             first, last = int(bounds[doc]), int(bounds[doc + 1])
-            most = int(EDITS * len(pattern))
-            if first <= start and start + len(pattern) <= last and np.array_equal(codes[start : start + len(pattern)], pattern):
-                edits, end = 0, start + len(pattern)
-            else:
-                low = max(first, start - most)
-                edits, end = edit_search(pattern, codes[low : min(last, start + len(pattern) + most)])
-                end += low
-            if edits <= most and (item not in got or edits < got[item][3]):
-                a, z = max(start, first, 1), max(min(end, last) - 1, first, 1)
-                got[item] = (self.ids[item], int(origin[min(a, len(origin) - 1)] - begins[doc]), int(origin[min(z, len(origin) - 1)] - begins[doc]) + 1, edits)
+            exact = next((d for d in {low, high} if first <= d and d + len(pattern) <= last and np.array_equal(codes[d : d + len(pattern)], pattern)), None)
+            if exact is not None:
+                put(doc, item, exact, exact + len(pattern), 0)
+                continue
+            begin = max(first, low - most)
+            edits, end = edit_search(pattern, codes[begin : min(last, high + len(pattern) + most)])
+            if edits <= most:
+                put(doc, item, max(begin, min(low, begin + end - 1)), begin + end, edits)
+        for length, known in self.short.items():
+            wanted = np.array(sorted(known), dtype=np.uint64)
+            keys = _word_keys(codes, starts, length)
+            for i in np.nonzero(np.isin(keys, wanted))[0].tolist():
+                at = int(starts[i])
+                doc = int(np.searchsorted(bounds, at, side="right")) - 1
+                ends = at + length == len(codes) or codes[at + length] == 32 or codes[at + length] >= 0x0E00
+                for item in known[int(keys[i])]:
+                    if ends and doc < len(texts) and at + length <= int(bounds[doc + 1]) and np.array_equal(codes[at : at + length], self.patterns[item]):
+                        put(doc, item, at, at + length, 0)
         return [sorted(x.values()) for x in out]
 
+    def _aligned(self, codes: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, least and largest start) of windows whose anchors agree."""
+        hits = []
+        for r in range(REPEATS):
+            key, _ = self.walks.keys(codes, starts, r)
+            which, item, offset = self.index.look_up(key)
+            hits.append(np.stack([np.searchsorted(bounds, starts[which], side="right") - 1, item, starts[which] - offset, starts[which]]))
+        all_ = np.concatenate(hits, axis=1)
+        if not all_.shape[1]:
+            return []
+        doc, item, start, _ = np.unique(all_, axis=1)  # a place's equal votes count once
+        doc_item = doc * len(self.ids) + item
+        line = doc_item * (1 << 32) + start + (1 << 31)
+        after = np.searchsorted(line, line + self.most[item], side="right")
+        agreed = np.nonzero(after - np.arange(len(line)) >= self.votes[item])[0]
+        marks = np.bincount(agreed, minlength=len(line) + 1) - np.bincount(after[agreed], minlength=len(line) + 1)
+        ok = np.cumsum(marks)[:-1] > 0
+        doc_item, doc, item, start = doc_item[ok], doc[ok], item[ok], start[ok]
+        if not len(doc):
+            return []
+        new = np.concatenate([[True], (doc_item[1:] != doc_item[:-1]) | (start[1:] - start[:-1] > self.most[item[1:]])])
+        first = np.nonzero(new)[0]
+        last = np.concatenate([first[1:], [len(doc)]]) - 1
+        return list(zip(doc[first].tolist(), item[first].tolist(), start[first].tolist(), start[last].tolist(), strict=True))
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The normalised characters of all texts, where each text's begin (and the last ends), and the places of characters in the joined texts."""
+    codes, origin = normalise("\n".join(texts))
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)]).astype(np.int64)
+    return codes, np.searchsorted(origin, begins), origin
+
+
+def _trimmed(codes: np.ndarray) -> np.ndarray:
+    codes = codes[1:] if len(codes) and codes[0] == 32 else codes
+    return codes[:-1] if len(codes) and codes[-1] == 32 else codes
+
 
 def edit_search(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """The least edit distance of the pattern to any part of the text, and where that part ends; bit-parallel."""
@@ -216,30 +286,54 @@ def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int,
     yield now
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row a document: doc_id, contaminated, n_items, item_ids, spans (item:start:end:edits, comma-joined)."""
-    hits = "array<struct<item:bigint,start:bigint,end:bigint,edits:bigint>>"
+_HITS = "array<struct<item:bigint,start:bigint,end:bigint,edits:bigint>>"
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def found_by(docs: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, h, hits) of the rows in which items are found; h tells texts under one id apart."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast(hits).alias("hits"))
-    for k, part in enumerate(blocks(benchmark, block)):
-        rows = materialise(rows, "hits") if k else rows  # one block at a time in a worker
-        shared = rows.sparkSession.sparkContext.broadcast(part)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "start", "end", "edits")]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, kind = Items(shared.value), pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "start", "end", "edits")]))
-            for b in batches:
-                found = items.find([t or "" for t in b.column("text").to_pylist()])
-                more = [[dict(zip(("item", "start", "end", "edits"), y, strict=True)) for y in x] for x in found]
-                yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array([x + y for x, y in zip(b.column("hits").to_pylist(), more, strict=True)], kind)], names=["doc_id", "text", "hits"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [[dict(zip(("item", "start", "end", "edits"), y, strict=True)) for y in x] for x in shared.value.find([t or "" for t in b.column("text").to_pylist()])]
+            at = pa.array([i for i, x in enumerate(hits) if x], pa.int64())
+            yield pa.record_batch([b.column("doc_id").take(at), b.column("h").take(at), pa.array([x for x in hits if x], kind)], names=["doc_id", "h", "hits"])
 
-        rows = rows.mapInArrow(run, f"doc_id long, text string, hits {hits}")
-    spans = F.transform(F.array_sort("hits"), lambda x: F.concat_ws(":", x.item, x.start, x.end, x.edits))
-    return rows.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.array_sort("hits").item.alias("item_ids"), F.array_join(spans, ",").alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, h long, hits {_HITS}")
+
+
+def all_found(docs: DataFrame, benchmark: DataFrame, block: int) -> DataFrame:
+    """(doc_id, h, hits) of all blocks' items, one row for each text of an id: one pass over the texts a block, what is found as a table."""
+    tables = [materialise(found_by(docs, Items(part)), "hits") for part in blocks(benchmark, block)]
+    once = [t.dropDuplicates(["doc_id", "h"]) for t in tables]
+    out = once[0]
+    for t in once[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("doc_id", "h").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row a document: doc_id, contaminated, n_items, item_ids, spans (item:start:end:edits, comma-joined)."""
+    found = all_found(docs, benchmark, block).withColumnsRenamed({"doc_id": "found_id", "h": "found_h"})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("h"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("h") == F.col("found_h")), "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HITS)))
+    spans = F.transform("hits", lambda x: F.concat_ws(":", x.item, x.start, x.end, x.edits))
+    return rows.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.col("hits.item").alias("item_ids"), F.array_join(spans, ",").alias("spans"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs without those that hold a benchmark item; all columns stay."""
-    for k, part in enumerate(blocks(benchmark, block)):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        docs = filter_texts(materialise(docs, "docs") if k else docs, lambda shared=shared: (lambda find: lambda texts: [not x for x in find(texts)])(Items(shared.value).find))
-    return docs
+    """docs without those that hold a benchmark item; all columns stay. One block is a filter; more are passes whose findings leave by an anti-join."""
+    parts = blocks(benchmark, block)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Items(first))
+        return filter_texts(docs, lambda: lambda texts: [not x for x in shared.value.find(texts)])
+    found = all_found(docs, benchmark, block).select(F.col("doc_id").alias("found_id"), F.col("h").alias("found_h"))
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("found_id")) & (_text_hash() == F.col("found_h")), "left_anti")

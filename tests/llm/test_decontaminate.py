@@ -46,15 +46,57 @@ def test_leaks_equal_brute_force(spark):
             assert norm(t[a:z]) == norm(dict(items)[k]) and edits == 0
 
 
-def test_recall_under_edits():
+def edited(text, rate, r):
+    out = []
+    for c in text:
+        k = r.randrange(3) if r.random() < rate else None
+        out.append(c if k is None else "" if k == 0 else r.choice("abcdefghijklmnop ") + (c if k == 2 else ""))
+    return "".join(out)
+
+
+def test_recall_at_every_edit_rate():
     r = random.Random(4)
-    items = [(i, words(i, 40)) for i in range(60)]
+    items = [(i, words(i, 12 + i % 50)) for i in range(200)]
+    table = D.Items(items)
+    for rate in (0, 0.03, 0.06, 0.1, 0.15, 0.18):
+        found = real = 0
+        for i, x in items:
+            text = f"{words(500 + i, 30)} {edited(x, rate, r)} {words(900 + i, 30)}"
+            p, t = D.normalise(x)[0][1:], D.normalise(text)[0]
+            if D.edit_search(p, t)[0] <= int(D.EDITS * len(p)):
+                real += 1
+                found += i in [h[0] for h in table.find([text])[0]]
+        assert real > 100 and found >= 0.9 * real, (rate, found, real)
+        assert rate or found == real == 200
+
+
+def test_what_is_found_is_within_the_edits_allowed():
+    r = random.Random(6)
+    items = [(i, words(i, 10 + i % 20)) for i in range(60)]
     table = D.Items(items)
-    found = 0
     for i, x in items:
-        y = "".join(c if r.random() > 0.02 else r.choice(["", "z", c + "q"]) for c in x)
-        found += i in [h[0] for h in table.find([words(500 + i, 30) + " " + y + " end"])[0]]
-    assert found >= 57
+        for rate in (0.1, 0.2, 0.3):
+            text = f"{words(500 + i, 20)} {edited(x, rate, r)} {words(900 + i, 20)}"
+            for item, _, _, edits in table.find([text])[0]:
+                p, t = D.normalise(dict(items)[item])[0][1:].tolist(), D.normalise(text)[0].tolist()
+                assert brute_edits(p, t) <= edits <= D.EDITS * len(p)
+
+
+def test_short_items_and_scripts_without_spaces():
+    r = random.Random(9)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))
+    table = D.Items([(1, "Tiny one"), (2, "x"), (3, han), (4, han[:8]), (5, "..."), (6, "word")])
+    find = lambda t: [h[:1] + h[3:] for h in table.find([t])[0]]
+    assert find("see a tiny, ONE here") == [(1, 0)] and find("tiny ones, tinyone, swords") == [] and find("") == []
+    assert find("x") == [(2, 0)] and find("... word") == [(6, 0)]
+    assert find("前前" + han + "后后") == [(3, 0), (4, 0)]
+    changed = han[:20] + "龘" + han[21:40] + han[41:]
+    assert (3, 2) in find("前前" + changed + "后后")
+
+
+def test_long_texts_are_read_whole():
+    item = words(3, 30)
+    assert [h[0] for h in D.Items([(7, item)]).find([words(1, 60_000) + " " + item])[0]] == [7]
 
 
 def test_clean_documents_that_share_words_stay(spark):
