@@ -1,13 +1,18 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens get log-odds of toxic against clean labels, smoothed by an informative Dirichlet prior; a token scores as itself or as one of its
-prefixes, whichever is higher; one without either has a small negative score. A linear-time scan (all maximal scoring subsequences) finds every
-passage whose score can't be raised by shortening or lengthening it. Passages are aggregated by extreme-value
-calibration: with the decay of the background's scores, the expected number of passages as good by chance in a text of that length
-follows; a logistic fit on texts that the token scores weren't learned from turns it into a probability.
+Words, and stems of their first STEMS letters, get log-odds of toxic against clean labels, smoothed by an informative Dirichlet prior and less one standard
+error. A token of a text is a word in its likeliest form, the word itself or one of its stems; where no form's log-odds are sure it scores DRIFT. (Inflected words are
+new too often for whole words alone; the README has figures.) A linear-time scan (all maximal scoring subsequences) finds every
+passage whose score can't be raised by shortening or lengthening it.
 
-Scores are learned from labelled texts, TRAIN_DOCS at most, of the rows that may be learned from; of near copies (equal min-wise
-hashes of five-word shingles) one text counts. At most MAX_TOKENS tokens, of the largest log-odds, are kept. Every text is scored whole.
+Passages are aggregated by extreme-value calibration. Among clean texts the best passage of n tokens follows P(S >= s) = 1 - exp(-K n exp(-decay s)); both
+constants are fitted by maximum likelihood on clean texts that the token scores weren't learned from, texts without any passage as
+censored. The r best passages of a text together are as significant as their sum statistic says, and the text as its best r. The significance p becomes the
+probability of a toxic text as one side of a mixture: x = -log p is exponential among clean texts, since p is uniform there, and log(1 + x) is normal among
+toxic ones, with the median and the median deviation of the calibration texts; the mixture's weight is the share of toxic labels.
+
+Scores are learned from labelled texts, TRAIN_DOCS at most, of the rows that may be learned from; of near copies (all SKETCH min-wise
+hashes of five-word shingles equal) one text counts, a toxic one if there is any. The model keeps MAX_TOKENS tokens at most, of the largest log-odds. Every text is scored whole.
 
 Defined results: an empty or null text scores as one without passages; labels that disagree count as toxic if any does; without
 labels of both kinds each score is 0. Null doc_ids are held out. Repeated rows come out as they are; an empty table gives
@@ -18,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,14 @@ from oddsframe.llm.common import filter_texts, fraction_of, materialise
 
 TRAIN_DOCS, MAX_TOKENS = 30_000, 100_000
 #: Weight of the prior in documents; standard errors taken off the log-odds, and what must be left of them for a token to have a score (the
-#: log-odds less one error); what other tokens score; prefixes that back a token up.
-PRIOR, ERRORS, LEAST, DRIFT, PREFIXES = 20.0, 2.0, 1.2, -0.15, (6, 5, 4)
+#: log-odds less one error); what other tokens score; letters of stems.
+PRIOR, ERRORS, LEAST, DRIFT, STEMS = 20.0, 2.0, 1.2, -0.15, (6, 5, 4)
 #: Prediction is 1 from this score.
 THRESHOLD = 0.3
-#: Share of learning texts that the calibration is fitted on, and the Karlin-Altschul constant.
-CALIBRATION, K = 0.25, 0.1
+#: Share of learning texts that the calibration is fitted on; passages that a sum statistic takes together, at most.
+CALIBRATION, SUMMED = 0.25, 12
+#: Least spread of the toxic side: few calibration texts don't make it narrow.
+SPREAD = 0.35
 #: Min-wise hashes that find near copies among learning texts.
 SKETCH = 3
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -49,18 +55,22 @@ def sketch_of(text: str) -> list[int]:
     return [int((x * np.uint64(m)).min().view(np.int64)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[:SKETCH]]
 
 
+def tokens_of(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())
+
+
 def token_scores(learn: DataFrame) -> dict[str, float]:
-    """Log-odds of tokens and prefixes (marked by a hyphen) from rows (text, toxic). A token counts once a text; a prefix once a token, by the token's
-    share of toxic texts, so that no frequent token alone makes its prefix toxic."""
+    """Log-odds of words and stems (marked by a hyphen) from rows (text, toxic). A word counts once a text; a stem once a word, by the word's
+    share of toxic texts, so that no frequent word alone makes its stem toxic."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                if found := set(_TOKEN.findall((text.as_py() or "").lower())):
+                if found := set(tokens_of(text.as_py() or "")):
                     yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["token", "toxic"])
 
     tokens = materialise(learn.select("text", "toxic").mapInArrow(spread, "token string, toxic int").groupBy("token").agg(F.sum("toxic").cast("double").alias("y"), F.count("*").alias("n")), "tokens")
-    marks = F.explode(F.array(*[F.when(F.length("token") > k, F.concat(F.substring("token", 1, k), F.lit("-"))) for k in PREFIXES]))
+    marks = F.explode(F.array(*[F.when(F.length("token") > k, F.concat(F.substring("token", 1, k), F.lit("-"))) for k in STEMS]))
     prefixes = tokens.select(marks.alias("token"), (F.col("y") / F.col("n")).alias("y")).where("token is not null").groupBy("token").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
     out: dict[str, float] = {}
     for table, all_of in ((tokens, learn.agg(F.sum("toxic").cast("double").alias("y"), F.count("*").alias("n"))), (prefixes, tokens.agg(F.sum(F.col("y") / F.col("n")).alias("y"), F.count("*").alias("n")))):
@@ -71,15 +81,15 @@ def token_scores(learn: DataFrame) -> dict[str, float]:
         y1, y0 = F.col("y") + alpha * bad / docs, F.col("n") - F.col("y") + alpha * (docs - bad) / docs
         delta = F.log(y1 / (bad + PRIOR + 1 - F.least(y1, F.lit(bad)))) - F.log(y0 / (docs - bad + PRIOR + 1 - F.least(y0, F.lit(docs - bad))))
         error = F.sqrt(1 / y1 + 1 / y0)
-        kept = table.where("n >= 3").withColumns({"sure": delta - ERRORS * error, "score": delta - error}).where(F.col("sure") >= LEAST).orderBy(F.col("sure").desc(), "token").limit(MAX_TOKENS)
-        out |= {r.token: min(6.0, r.score) for r in kept.select("token", "score").collect()}
+        kept = table.withColumns({"sure": delta - ERRORS * error, "score": delta - error}).where(F.col("sure") >= LEAST).orderBy(F.col("sure").desc(), "token").limit(MAX_TOKENS)
+        out |= {r.token: r.score for r in kept.select("token", "score").collect()}
     return out
 
 
 def score_tokens(words: list[str], scores: dict[str, float]) -> np.ndarray:
     get, cache = scores.get, {}
     for w in set(words):
-        cache[w] = max(get(w, DRIFT), *(get(w[:n] + "-", DRIFT) for n in PREFIXES if len(w) > n), DRIFT)
+        cache[w] = max(get(w, DRIFT), *(get(w[:n] + "-", DRIFT) for n in STEMS if len(w) > n), DRIFT)
     return np.array([cache[w] for w in words])
 
 
@@ -105,44 +115,54 @@ def maximal_segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - le) for s, e, le, r in found]
 
 
-def decay_of(counts: dict[float, int]) -> float:
-    """The positive root of the mean of exp(decay * score) = 1 for the scores of clean tokens by count, with one pseudo-count at the top."""
-    counts = Counter(counts) + Counter({6.0: 1})
-    values, n = np.array(list(counts)), np.array(list(counts.values()), dtype=float)
-    p = n / n.sum()
-    if float(p @ values) >= 0:
-        return 0.1
-    low, high = 1e-3, 5.0
+def extreme_value_fit(lengths: np.ndarray, best: np.ndarray, least: float) -> tuple[float, float]:
+    """(decay, K) of the best passages of clean texts, by maximum likelihood. best: 0 for a text without a passage, which is below `least`."""
+    n, s, seen = np.maximum(lengths, 1.0), np.maximum(best, least), best > 0
+    mass = lambda d: n * np.exp(-d * (s - least))  # noqa: E731  (relative to exp(-d * least), which cancels)
+    slope = lambda d: seen.sum() / d - s[seen].sum() + seen.sum() * float((s * mass(d)).sum() / mass(d).sum())
+    low, high = 1e-3, 20.0
     for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if float(p @ np.exp(mid * values)) < 1 else (low, mid)
-    return low
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    return low, float(seen.sum() / (n * np.exp(-low * s)).sum())
 
 
-def evidence(x: np.ndarray, decay: float) -> float:
-    """-log E summed over significant passages (expected by chance less than once); 0 for none."""
-    n = max(len(x), 1)
-    return sum(max(0.0, decay * s - math.log(K * n)) for _, _, s in maximal_segments(x)) if len(x) else 0.0
+def significance(passages: list[float], n: int, decay: float, K: float) -> float:
+    """How probable passages as good as these together are by chance in n tokens: the least over the r best, by the sum statistic."""
+    out, total = 1.0, 0.0
+    for r, s in enumerate(sorted(passages, reverse=True)[:SUMMED], 1):
+        total += decay * s - math.log(K * max(n, 1))
+        if total <= r:
+            break
+        # P(sum of r normalised scores >= total), and 2^r for the choice of r
+        p = math.exp(min(0.0, -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r))) * (1 if r == 1 else 2**r)
+        out = min(out, -math.expm1(-p))
+    return max(out, 1e-300)
 
 
 class Model:
-    def __init__(self, scores: dict[str, float], decay: float, slope: float, offset: float):
-        self.scores, self.decay, self.slope, self.offset = scores, decay, slope, offset
+    """Token scores, the constants of extreme values, and of the mixture: middle and spread of log(1 - log p) among toxic texts, and their log odds."""
+
+    def __init__(self, scores: dict[str, float], decay: float, K: float, middle: float, spread: float, odds: float):
+        self.scores, self.decay, self.K, self.middle, self.spread, self.odds = scores, decay, K, middle, spread, odds
 
-    def tokens(self, text: str) -> np.ndarray:
-        return score_tokens(_TOKEN.findall(text.lower()), self.scores)
+    def significance(self, text: str | None) -> float:
+        x = score_tokens(tokens_of(text or ""), self.scores)
+        return significance([s for _, _, s in maximal_segments(x)], len(x), self.decay, self.K) if len(x) else 1.0
 
     def score(self, text: str | None) -> float:
         if not self.scores:
             return 0.0
-        x = math.log1p(evidence(self.tokens(text or ""), self.decay))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * x))))
+        x = -math.log(self.significance(text))
+        y = min(math.log1p(x), self.middle)  # a text beyond the middle is no less toxic for it
+        logit = self.odds - (y - self.middle) ** 2 / (2 * self.spread**2) - y - math.log(self.spread * math.sqrt(2 * math.pi)) + x
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, expected number by chance) of the significant passages, in code points."""
         spans = [m.span() for m in _TOKEN.finditer(text.lower())] if len(text.lower()) == len(text) else [m.span() for m in _TOKEN.finditer(text)]
-        x = self.tokens(text)
-        found = [(spans[s][0], spans[e - 1][1], K * len(x) * math.exp(-self.decay * v)) for s, e, v in maximal_segments(x)] if len(spans) == len(x) else []
+        x = score_tokens(tokens_of(text), self.scores)
+        found = [(spans[s][0], spans[e - 1][1], self.K * len(x) * math.exp(-self.decay * v)) for s, e, v in maximal_segments(x)] if len(spans) == len(x) else []
         return [p for p in found if p[2] < 1]
 
 
@@ -157,47 +177,30 @@ def fit(learn: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
             yield pa.record_batch([b.column("text"), b.column("toxic"), *(pa.array([x[i] for x in low], pa.int64()) for i in range(SKETCH))], names=["text", "toxic", *(f"h{i}" for i in range(SKETCH))])
 
     rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(sketch, "text string, toxic int, " + ", ".join(f"h{i} long" for i in range(SKETCH)))
-    for i in range(SKETCH):
-        rest = [f"h{j}" for j in range(SKETCH)]
-        one = rows.groupBy(f"h{i}").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", *[h for h in rest if h != f"h{i}"])).alias("s"))
-        rows = one.select("toxic", f"h{i}", "s.*")
-    rows = materialise(rows.select(F.xxhash64("text").alias("h"), "text", "toxic"), "learn")
+    one = rows.groupBy(*[f"h{i}" for i in range(SKETCH)]).agg(F.max(F.struct("toxic", "text")).alias("s"))
+    rows = materialise(one.select(F.xxhash64("s.text").alias("h"), "s.text", "s.toxic"), "learn")
     apart = fraction_of(F.col("h"), F.lit("calibrate")) < CALIBRATION
     scores = token_scores(rows.where(~apart))
     if not scores:
-        return Model({}, 1.0, 0.0, -30.0)
+        return Model({}, 1.0, 1.0, 1.0, 2.0, 0.0)
     shared = rows.sparkSession.sparkContext.broadcast(scores)
 
-    def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.concatenate([score_tokens(_TOKEN.findall((t.as_py() or "").lower()), shared.value) for t in b.column("text")] or [np.zeros(0)])
-            values, counts = np.unique(np.round(x, 2), return_counts=True)
-            yield pa.record_batch([pa.array(values), pa.array(counts)], names=["value", "n"])
-
-    clean = rows.where(apart & (F.col("toxic") == 0)).select("text").mapInArrow(background, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
-    decay = decay_of({r.value: r.n for r in clean} or {DRIFT: 1000})
-
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(shared.value, decay, 1.0, 0.0)
         for b in batches:
-            x = [math.log1p(evidence(m.tokens(t.as_py() or ""), decay)) for t in b.column("text")]
-            yield pa.record_batch([pa.array(x, pa.float64()), b.column("toxic")], names=["x", "toxic"])
-
-    points = rows.where(apart).select("text", "toxic").mapInArrow(measure, "x double, toxic int").groupBy(F.round("x", 1).alias("x"), "toxic").count().collect()
-    slope, offset = logistic(np.array([r.x for r in points]), np.array([r.toxic for r in points]), np.array([r["count"] for r in points]))
-    return Model(scores, decay, slope, offset)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a small ridge; the slope isn't negative."""
-    w = np.zeros(2)
-    A = np.stack([x, np.ones_like(x)], axis=1) if len(x) else np.zeros((0, 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(A @ w, -30, 30)))
-        g = A.T @ (n * (y - p)) - 0.01 * w
-        H = (A * (n * p * (1 - p))[:, None]).T @ A + 0.01 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(H, g), -2, 2)
-    return max(0.0, float(w[0])), float(w[1])
+            x = [score_tokens(tokens_of(t.as_py() or ""), shared.value) for t in b.column("text")]
+            best = [sorted((s for _, _, s in maximal_segments(y)), reverse=True)[:SUMMED] for y in x]
+            yield pa.record_batch([b.column("toxic"), pa.array([len(y) for y in x], pa.int64()), pa.array(best, pa.list_(pa.float64()))], names=["toxic", "n", "best"])
+
+    points = rows.where(apart).select("text", "toxic").mapInArrow(measure, "toxic int, n long, best array<double>").collect()  # TRAIN_DOCS * CALIBRATION rows at most, about
+    clean, toxic = ([p for p in points if p.toxic == t] for t in (0, 1))
+    # one more clean text, of the usual length, that has the highest score of a token: no significance is beyond what so many clean texts can show
+    lengths = np.array([p.n for p in clean] + [float(np.median([p.n for p in clean] or [100]))])
+    best = np.array([p.best[0] if p.best else 0.0 for p in clean] + [max(scores.values())])
+    decay, K = extreme_value_fit(lengths, best, min(scores.values()))
+    y = np.array([math.log1p(-math.log(significance(p.best, p.n, decay, K))) for p in toxic] or [2.0])
+    middle = max(1.0, float(np.median(y)))
+    spread = max(SPREAD, 1.4826 * float(np.median(np.abs(y - middle))))
+    return Model(scores, decay, K, middle, spread, math.log((len(toxic) + 1) / (len(clean) + 1)))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -73,12 +73,54 @@ def test_drop_keeps_clean_rows_and_columns(spark):
 
 
 def test_passages_are_places_in_the_text():
-    m = T.Model({"scum": 5.0, "idiot": 5.0}, 1.0, 4.0, -4.0)
+    m = T.Model({"scum": 5.0, "idiot": 5.0}, 1.0, 0.1, 3.0, 0.5, -2.0)
     text = "good words here, you idiot scum! and more good words"
     (start, end, chance), = m.passages(text)
     assert text[start:end] == "idiot scum" and chance < 1
 
 
+def test_extreme_value_constants_are_found_again():
+    r = np.random.default_rng(3)
+    n = r.integers(20, 2000, 20_000).astype(float)
+    decay, K = 1.3, 2e-3
+    s = (np.log(K * n) - np.log(-np.log(r.uniform(size=len(n))))) / decay  # best passages by definition
+    least = 1.0
+    got = T.extreme_value_fit(n, np.where(s >= least, s, 0.0), least)
+    assert abs(got[0] / decay - 1) < 0.05 and abs(got[1] / K - 1) < 0.15
+
+
+def test_significance_is_the_chance_of_one_passage_and_grows_with_more():
+    for s, n in ((3.0, 100), (8.0, 1000)):
+        e = 0.01 * n * np.exp(-1.1 * s)
+        assert T.significance([s], n, 1.1, 0.01) == pytest.approx(min(1.0, 1 - np.exp(-e)) if 1.1 * s - np.log(0.01 * n) > 1 else 1.0)
+    one, two = T.significance([8.0], 1000, 1.1, 0.01), T.significance([8.0, 7.0], 1000, 1.1, 0.01)
+    assert two < one < 1 and T.significance([], 50, 1.0, 0.1) == 1.0
+    m = T.Model({"a": 1.0}, 1.1, 0.01, 3.0, 0.5, -2.0)
+    scores = []
+    for p in (1.0, 0.3, 1e-2, 1e-6, 1e-20, 1e-200):
+        m.significance = lambda _, p=p: p
+        scores.append(m.score("x"))
+    assert scores == sorted(scores) and scores[0] < 0.01 and scores[-1] > 0.99
+
+
+def test_near_copies_are_merged_only_if_all_sketches_agree(spark):
+    r = random.Random(1)
+    base = [f"w{r.randrange(10**6):x}" for _ in range(400)]
+    rows = [(" ".join(base), 0), (" ".join(base), 0), (" ".join([*base[:200], *(f"v{r.randrange(10**6):x}" for _ in range(200))]), 1)]
+    seen = []
+    keep = T.token_scores
+    try:
+        T.token_scores = lambda learn: seen.append(learn) or {}
+        T.fit(spark.createDataFrame(rows * 1 + [(" ".join(base), 1)], "text string, toxic int"))
+        whole = seen[0]
+    finally:
+        T.token_scores = keep
+    path = whole.inputFiles()[0].rsplit("/", 1)[0]
+    got = sorted((r.toxic, r.text[:20], len(r.text)) for r in spark.read.parquet(path).collect())
+    # the copies are one text with the toxic label; the half-alike text stays
+    assert [g[0] for g in got] == [1, 1] and len({g[2] for g in got}) == 2
+
+
 def test_odd_rows(spark):
     rows, labels = made(200)
     out = T.score_toxicity(documents(spark, [(i if i is None else 5000 + i, t) for i, t in ODD] + rows), spark.createDataFrame(labels + labels[:9] + [(None, 0, 1), (3, 1, None)], LABELS))
