@@ -25,7 +25,7 @@ def brute_log_prob(word, pieces, table, lattice):
         if i == len(w):
             return np.ones(table.shape[1])
         out = np.zeros(table.shape[1])
-        for j in range(i + 1, min(len(w), i + L.LONGEST_PIECE) + 1):
+        for j in range(i + 1, len(w) + 1):
             k = pieces.get(w[i:j], lattice.unknown if j == i + 1 else None)
             if k is not None:
                 out = out + table[k] * total(j)
@@ -57,6 +57,29 @@ def test_expected_counts_add_up():
     assert abs(sum(counts[i] * n for i, n in length.items()) - 9) < 1e-9
 
 
+def test_long_words_and_long_pieces_count_like_short_ones(monkeypatch):
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "abababababababab"])}
+    lattice = L.Lattice(pieces)
+    table = np.random.default_rng(2).random((lattice.size, 2)) / 4
+    table[lattice.none] = 0
+    words, counts = ["ab" * 9, "ba" * 10 + "x"], [2.0, 5.0]
+    short = lattice.log_probs(words, table), lattice.expected(words, counts, table[:, 0])
+    assert short[1][pieces["abababababababab"]] > 0
+    for w, g in zip(words, short[0], strict=True):
+        assert np.allclose(g, brute_log_prob(w, pieces, table, lattice))
+    monkeypatch.setattr(L, "SHORT", 3)
+    assert np.allclose(short[0], lattice.log_probs(words, table)) and np.allclose(short[1], lattice.expected(words, counts, table[:, 0]))
+
+
+def test_scores_tell_mixed_texts_from_plain_ones(spark):
+    rows = made(200)
+    by = {g: [t for _, t, h in rows if h == g] for g in SYLLABLES}
+    mixed = [(1000 + i, f"{by['en'][i]} {by['de'][i]}", None) for i in range(10)]
+    out = {r.doc_id: r for r in L.identify(documents(spark, rows + mixed)).collect()}
+    plain = [out[i].score for i, _, _ in rows]
+    assert max(out[1000 + i].score for i in range(10)) < min(plain)
+
+
 def test_held_out_accuracy_and_columns(spark):
     rows = made(300)
     out = L.identify(documents(spark, rows, extra=True)).collect()
