@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,8 @@ RADIUS = 2
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_SEGMENTS, SYMBOLS = 5, 0.8, 8, 6
 #: Each text of a bucket is compared with this many first texts of the bucket; where that leaves a bucket open, with all that may be similar.
 LEADERS = 3
+#: Texts of a block of an open bucket, and shingles, about; owners from which on shingles are compared as bits.
+BLOCK, BLOCK_SHINGLES, RARE = 1_000, 1_000_000, 8
 
 
 def shingle_hashes(text: str | None, words: int, lower: bool = True) -> list[int]:
@@ -232,10 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
     side = rows.join(classes.select("whole", F.col("least").alias("doc_id")), ["whole", "doc_id"], "left_semi").select("whole", "shingles").dropDuplicates(["whole"])
     links = materialise(verified(pairs, side, similarity), "links")
     found = components(links)
-    hot = busy.where(F.col("members") > LEADERS + 1).join(found, F.col("whole") == found.node, "left").select("key", "whole", F.coalesce("component", "whole").alias("component"))
-    open_buckets = hot.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    unsettled = hot.join(open_buckets, "key", "left_semi").select("whole", "component").distinct()
-    more = materialise(verified(across(side.join(unsettled, "whole"), similarity), side, similarity), "links")
+    hot = busy.where(F.col("members") > LEADERS + 1).join(found, F.col("whole") == found.node, "left").select("key", "whole", "n", F.coalesce("component", "whole").alias("component"))
+    open_buckets = hot.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.sum("n").alias("size")).where("x <> y")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    more = materialise(across(hot.join(open_buckets.select("key", blocks.alias("blocks")), "key"), side, similarity), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     groups = found.join(classes.select("whole", "least"), found.node == classes.whole).groupBy("component").agg(F.min("least").alias("keep_id"))
@@ -255,23 +258,61 @@ def verified(pairs: DataFrame, side: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def across(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components of sets (whole, component, shingles) that hold all that are similar enough.
-
-    Sets of such a pair share at least one of their n - similarity * n + 1 rarest shingles, so pairs meet at these. At each
-    shingle the heaviest component stays out of one side: a large connected group makes no pairs of its own.
-    """
-    sets = materialise(sets.select("whole", "component", "shingles"), "unsettled")
-    tokens = sets.select("whole", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("seen")), "token")
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct("seen", "token"))), F.lit(1), F.first("n") - F.ceil(similarity * F.first("n") - F.lit(1e-6)).cast("int") + 1)
-    prefix = counted.groupBy("whole", "component").agg(F.first("n").alias("n"), rarest.alias("rarest")).select("whole", "component", "n", F.explode("rarest").alias("r"))
-    posted = materialise(prefix.where("r.seen > 1").select("whole", "component", "n", "r.token"), "prefixes")
-    heavy = posted.groupBy("token", "component").count().groupBy("token").agg(F.max(F.struct("count", "component")).component.alias("heavy"), F.count("*").alias("parts")).where("parts > 1").select("token", "heavy")
-    left = posted.join(heavy, "token").where("component <> heavy").select("token", F.col("whole").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = posted.select("token", F.col("whole").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    met = left.join(right, "token").where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def across(members: DataFrame, side: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar members of open buckets (key, whole, component, blocks).
+
+    A bucket's members are dealt to its blocks, and each two blocks are compared in one task; all pairs of a bucket so are compared, but rows only come
+    out for components that grow together."""
+    block = F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.withColumn("block", block).withColumn("other", other).select("key", "whole", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = grown_together([np.asarray(x) for x in pdf["shingles"]], pdf["component"].to_numpy(), similarity)
+        whole = pdf["whole"].to_numpy()
+        return pd.DataFrame({"a": [whole[i] for i, _ in rows], "b": [whole[j] for _, j in rows]}, dtype=np.int64)
+
+    return dealt.join(side, "whole").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+
+
+def grown_together(sets: list[np.ndarray], component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(i, j) for sets that similarity connects to a set j of another component: as many as are needed to connect all."""
+    m, sizes = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    tokens, owners = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    first = np.nonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))[0]
+    n = np.diff(np.concatenate([first, [len(tokens)]]))
+    common = np.zeros((m, m), dtype=np.int32)
+    for c in range(2, RARE):  # tokens of few owners, pair by pair
+        at = owners[first[n == c][:, None] + np.arange(c)]
+        for i in range(c):
+            for j in range(i + 1, c):
+                np.add.at(common, (at[:, i], at[:, j]), 1)
+    common += common.T
+    many = np.nonzero(n >= RARE)[0]
+    for at in range(0, len(many), 4096):  # the others as bits
+        part = many[at : at + 4096]
+        bits = np.zeros((m, -(-len(part) // 64) * 64), dtype=bool)
+        for column, k in enumerate(part.tolist()):
+            bits[owners[first[k] : first[k] + n[k]], column] = True
+        for word in np.packbits(bits, axis=1).view(np.uint64).T:
+            common += np.bitwise_count(word[:, None] & word[None, :])
+    alike = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(alike, True)
+    _, label = np.unique(component, return_inverse=True)
+    group = label.copy()
+    while True:
+        near = np.where(alike, group[None, :], m).min(axis=1)
+        best = np.full(int(label.max()) + 1, m)
+        np.minimum.at(best, label, near)
+        now = best[label]
+        if np.array_equal(now, group):
+            break
+        group = now
+    start = {int(g): i for i, g in reversed(list(enumerate(label.tolist())))}  # a set of the component that gave the group its number
+    lead = {int(x): i for i, x in reversed(list(enumerate(label.tolist())))}
+    return [(lead[x], start[int(group[lead[x]])]) for x in lead if int(group[lead[x]]) != x]
 
 
 def first_of_bucket(busy: DataFrame, most: int) -> DataFrame:

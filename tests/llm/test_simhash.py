@@ -153,3 +153,27 @@ def test_a_spread_join_equals_a_plain_one(spark, monkeypatch):
     right = spark.range(400).selectExpr("id as k", "id * 2 as y")
     for how in ("inner", "left"):
         assert sorted(map(str, common.spread_join(left, right, "k", how).select("x", "k", "y").collect())) == sorted(map(str, left.join(right, "k", how).select("x", "k", "y").collect()))
+
+
+def test_blocks_connect_what_brute_force_connects(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    base = r.choice(10_000, 150, replace=False)
+    sets = []
+    for _ in range(60):
+        x = base.copy()
+        x[r.choice(150, r.integers(0, 25), replace=False)] = r.integers(20_000, 20_400, 1)
+        sets.append(np.unique(x).astype(np.int32))
+    component = np.array([i // 2 if i < 10 else i for i in range(60)]) * 7 - 3
+    got = S.grown_together(sets, component, 0.8)
+    same = [(i, j) for i in range(60) for j in range(i) if component[i] == component[j]]
+    alike = [(i, j) for i in range(60) for j in range(i) if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)]
+    assert union_find(range(60), same + got) == union_find(range(60), same + alike) and len(got) <= 60
+    # the same groups come out however small the blocks are
+    common, rows = words(1, 165), []
+    for f in range(60):
+        text = f"{common} {words(10_000 + f, 33)}"
+        rows += [(2 * f, text), (2 * f + 1, edited(text, 4, f))]
+    df = documents(spark, rows)
+    want = sorted(map(tuple, S.near_duplicates(df).collect()))
+    monkeypatch.setattr(S, "BLOCK", 9)
+    assert sorted(map(tuple, S.near_duplicates(df).collect())) == want and len(want) > 30
