@@ -10,8 +10,8 @@ of a conversation meet as one row: they are grouped by hash with partial aggrega
 
 Defined results: turns are in the order of turn, role, text, a null turn first; null roles and texts count as empty strings in
 the output but differ from them in hashes; repeated rows are turns of their own; rows whose conv_id is null are dropped; an empty table
-gives an empty result; other columns are ignored. A conversation is rendered in parts of at most CHUNK turns, so that no row
-grows without bound.
+gives an empty result; other columns are ignored. A conversation is one row, rendered by chunks of turns whose texts are then joined; where conversations may be
+too long for a row (Spark's limit is 2 GB), turns_a_row cuts them into parts. It is off by default.
 """
 
 from __future__ import annotations
@@ -64,28 +64,32 @@ def conversation_status(turns: DataFrame) -> DataFrame:
     return status.join(longest, "keep_id", "left").select("conv_id", "n_turns", "keep_id", F.coalesce("maximal", F.lit(False)).alias("maximal"))
 
 
-def format_chats(conversations: DataFrame) -> DataFrame:
-    """The maximal conversations rendered: conv_id, part (from 0, CHUNK turns each), n_turns (of the part), rendered."""
+def format_chats(conversations: DataFrame, turns_a_row: int | None = None) -> DataFrame:
+    """The maximal conversations rendered: conv_id, part (0, or from 0 where turns_a_row cuts), n_turns (of the part), rendered."""
     turns = materialise(ranked_turns(conversations), "turns")
     stay = conversation_status(turns).where("maximal and conv_id = keep_id").select("conv_id")
     segment = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit(AFTER_ROLE), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    kept = turns.join(stay, "conv_id", "left_semi").select("conv_id", F.floor((F.col("rank") - 1) / CHUNK).alias("part"), F.struct("rank", segment.alias("s")).alias("r"))
-    parts = kept.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    return parts.select("conv_id", "part", F.size("rs").cast("long").alias("n_turns"), F.array_join(F.col("rs.s"), "").alias("rendered"))
+    at = F.col("rank") - 1
+    part = F.floor(at / turns_a_row) if turns_a_row else F.lit(0).cast("long")
+    kept = turns.join(stay, "conv_id", "left_semi").select("conv_id", part.alias("part"), F.floor(at / CHUNK).alias("chunk"), F.struct("rank", segment.alias("s")).alias("r"))
+    chunks = kept.groupBy("conv_id", "part", "chunk").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    chunks = chunks.select("conv_id", "part", F.size("rs").cast("long").alias("n"), F.struct("chunk", F.array_join(F.col("rs.s"), "").alias("s")).alias("c"))
+    parts = chunks.groupBy("conv_id", "part").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list("c")).alias("cs"))
+    return parts.select("conv_id", "part", "n_turns", F.array_join(F.col("cs.s"), "").alias("rendered"))
 
 
 ORACLE_SQL = """
 with t as (
-  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x,
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x, coalesce('=' || role, '') || chr(2) || coalesce('=' || text, '') as m,
          row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k
   from conversations where conv_id is not null),
 p as (
-  select *, string_agg(r || chr(2) || x || chr(3), '') over (partition by conv_id order by k rows between unbounded preceding and current row) as prefix,
+  select *, string_agg(m || chr(3), '') over (partition by conv_id order by k rows between unbounded preceding and current row) as prefix,
          count(*) over (partition by conv_id) as n
   from t),
 ends as (select conv_id, prefix, n from p where k = n),
 best as (select min(conv_id) as conv_id from ends where prefix not in (select prefix from p where k < n) group by prefix)
-select p.conv_id, cast(floor((k - 1) / 512) as bigint) as part, count(*) as n_turns,
+select p.conv_id, cast(0 as bigint) as part, count(*) as n_turns,
        string_agg('<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10), '' order by k) as rendered
-from p join best on p.conv_id = best.conv_id group by 1, 2
+from p join best on p.conv_id = best.conv_id group by 1
 """

@@ -21,12 +21,14 @@ BATCH_ROWS = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm.get() if jvm.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='oddsframe-')}"
         spark.sparkContext.setCheckpointDir(found)
         atexit.register(shutil.rmtree, urlparse(found).path, True)
@@ -46,10 +48,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables written so far, once results that read them are stored; how many there were."""
-    n = len(_written)
-    while _written:
+def scratch_mark() -> int:
+    """Where the list of scratch tables ends now."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch tables written since a mark, once results that read them are stored; how many there were."""
+    n = len(_written) - since
+    while len(_written) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n

@@ -3,7 +3,7 @@
 `build_filters` makes one binary fuse filter (three-wise, 16-bit fingerprints) for each bucket of a snapshot's digests;
 the bucket count follows the snapshot, so a filter is bounded in size and none is ever on the driver. `screen` sends each
 incoming digest to the filter of its bucket. A negative is certainly not in the snapshot; a positive goes to the exact
-bucket, a join on the digest, and its normalised bytes are compared with those of the snapshot's text. Duplicates
+bucket, a join on the digest, and the normalised bytes of its group are compared. Duplicates
 within the incoming batch are grouped separately, by digest, before the screen, so a hot group is one row there.
 
 Defined results: a null text counts as empty; texts are equal when identical after each run of ASCII white space is one
@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import ASCII_SPACE, fraction_of, materialise, parts_for
+from oddsframe.llm.common import ASCII_SPACE, fraction_of, materialise, parts_for, spread_join
 
 #: Digests a filter, about; a filter of this size has 0.6 MB.
 BUCKET = 250_000
@@ -30,6 +30,10 @@ def normalised(col: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(col).cast("string"), F.lit("")), ASCII_SPACE, " ")
 
 
+def digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     x = x + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -124,11 +128,11 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, sha) of each row's normalised text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(), 256).alias("sha"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(normalised()).alias("sha"))
 
 
-def _key() -> F.Column:
-    """The first 63 bits of the digest as a long; equal digests have equal keys."""
+def _key() -> Column:
+    """The first 60 bits of the digest as a long; equal digests have equal keys."""
     return F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("key")
 
 
@@ -140,7 +144,7 @@ def dedup_incoming(snapshot: DataFrame, incoming: DataFrame, bucket: int = BUCKE
     """
     by_digest = lambda d: d.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     old, new = materialise(by_digest(snapshot).withColumn("key", _key()), "snapshot"), materialise(by_digest(incoming).withColumn("key", _key()), "incoming")
-    buckets = parts_for(old.count(), bucket)
+    buckets = parts_for(max(old.count(), new.count()), bucket)
     maybe = screen(new, build_filters(old, buckets), buckets)
     hits = materialise(old.select("sha", "least", "n").join(maybe, "sha", "left_semi"), "hits")
     both = new.join(hits.select("sha", F.col("least").alias("old_least"), F.col("n").alias("old_n")), "sha", "left")
@@ -152,34 +156,35 @@ def dedup_incoming(snapshot: DataFrame, incoming: DataFrame, bucket: int = BUCKE
 def exact_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The table is taken as two batches by a hash of doc_id and digest: an immutable snapshot and an incoming batch. Every member of a
-    group is then compared by bytes with the group's kept text; members that differ (a digest collision) would form
-    groups of their own by their bytes.
+    The table is taken as two batches by a hash of doc_id and digest: an immutable snapshot and an incoming batch. The members of every
+    group are then compared by bytes; where they differ (a digest collision) the group falls apart into groups of equal bytes.
     """
     rows = materialise(digests(docs), "digests")
     old = fraction_of(F.col("doc_id"), F.col("sha")) < 0.5
     groups, _ = dedup_incoming(rows.where(old), rows.where(~old), bucket)
     groups = materialise(groups, "groups")
-    differ = materialise(unequal_members(docs, groups), "differ")
-    report = rows.join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
-    if differ.isEmpty():
+    report = spread_join(rows, groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
+    collided = materialise(unequal_groups(docs, groups), "collided")
+    if collided.isEmpty():
         return _report(report)
-    own = differ.groupBy("sha", "text").agg(F.min("doc_id").alias("own_id"), F.count("*").alias("own_size"))
-    moved = differ.join(own, ["sha", "text"]).select("doc_id", "sha", "own_id", "own_size").dropDuplicates(["doc_id", "sha"])
-    gone = differ.groupBy("sha").agg(F.count("*").alias("gone"))
-    mended = report.join(moved, ["doc_id", "sha"], "left").join(gone, "sha", "left")
-    size = F.coalesce("own_size", F.col("group_size") - F.coalesce("gone", F.lit(0)))
-    return _report(mended.select("doc_id", F.coalesce("own_id", "keep_id").alias("keep_id"), size.alias("group_size"), "sha"))
+    texts = materialise(_texts(docs).join(collided, "sha", "left_semi"), "texts")
+    own = texts.groupBy("sha", "text").agg(F.min("doc_id").alias("own_id"), F.count("*").alias("own_size"))
+    apart = texts.join(own, ["sha", "text"]).select("doc_id", F.col("own_id").alias("keep_id"), F.col("own_size").alias("group_size"), "sha")
+    return _report(report.join(collided, "sha", "left_anti").select("doc_id", "keep_id", "group_size", "sha").unionByName(apart))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("text")).withColumn("sha", digest(F.col("text")))
+
 
+def unequal_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sha) of the groups whose members' normalised bytes aren't all the same.
 
-def unequal_members(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(doc_id, sha, text) of members whose normalised bytes differ from their group's kept text."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("text")).withColumn("sha", F.sha2("text", 256))
-    several = groups.where("group_size > 1 and keep_id is not null").select("sha", "keep_id")
-    members = text.join(several, "sha")
-    # both sides read the one exchange of texts by digest
-    kept = members.where("doc_id <=> keep_id").select("sha", F.col("text").alias("kept_text")).dropDuplicates(["sha"])
-    return members.where("not doc_id <=> keep_id").select("doc_id", "sha", "text").join(kept, "sha").where("text <> kept_text").select("doc_id", "sha", "text")
+    Only texts of groups of several members are compared: the least and the greatest must be equal. Copies collapse before the shuffle, so a hot
+    group is a row a task. The list of such groups is a table of its own, which is sent to the texts while it is small."""
+    several = materialise(groups.where("group_size > 1").select("sha"), "several")
+    ends = _texts(docs).join(several, "sha", "left_semi").groupBy("sha").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    return ends.where("low <> high").select("sha")
 
 
 def _report(rows: DataFrame) -> DataFrame:
@@ -188,10 +193,10 @@ def _report(rows: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """docs without the copies of a text of smaller doc_id, and with one row for each doc_id and text that stays."""
-    report = exact_groups(docs, bucket)
-    gone = report.where("not kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
+    report = materialise(exact_groups(docs, bucket), "report")
+    gone = materialise(report.where("not kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct(), "gone")
     again = report.where("kept and doc_id is not null").groupBy("doc_id", F.col("text_sha256").alias("__sha")).count().where("count > 1").drop("count")
-    left = docs.withColumn("__sha", F.sha2(normalised(), 256))
+    left = docs.withColumn("__sha", digest(normalised()))
     same = lambda other: [left.doc_id.cast("long").eqNullSafe(other.doc_id), left["__sha"] == other["__sha"]]
     known = left.join(gone, same(gone), "left_anti")
     again = materialise(again, "again")

@@ -1,8 +1,8 @@
 """URL filtering: explicit rules, and gradient-boosted trees on lexical features for the rest. DataFrame functions only.
 
 The URLs that a rule decides are the labelled ones (block: 1, allow: 0). Their features - length, depth, digit ratio, entropy,
-parameter counts, suffix statistics and the like - are cut into bins; labelled URLs are aggregated to distinct bin vectors with counts, over all
-rows. Each tree of the boosted ensemble is grown level by level from sums of gradients by (leaf, feature, bin), aggregated on
+parameter counts, suffix statistics and the like - are cut into bins at quantiles; labelled URLs are aggregated to distinct bin vectors with counts, over all
+rows. The shares of blocked URLs by suffix and by section are taken out of fold. Each tree of the boosted ensemble is grown level by level from sums of gradients by (leaf, feature, bin), aggregated on
 the executors; the driver sees LEAVES x features x bins sums and chooses the splits. A URL that no rule fits is
 blocked if its predicted probability is over one half.
 
@@ -20,28 +20,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import materialise
+from oddsframe.llm.common import materialise, spread_join
 
 #: The contract's rules: verdict, host with path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Of the ensemble.
-TREES, DEPTH, RATE, RIDGE = 8, 2, 0.4, 1.0
-#: Where features are cut.
-CUTS = {
-    "url_length": [24, 30, 36, 42, 50, 64],
-    "host_length": [14, 18, 22, 26, 32],
-    "path_length": [2, 6, 8, 10, 14, 24],
-    "depth": [1, 2, 3, 4],
-    "labels": [2, 3, 4],
-    "digit_ratio": [0.02, 0.05, 0.08, 0.12, 0.2],
-    "hyphens": [0, 1, 2],
-    "params": [0, 1, 2, 4],
-    "entropy": [3.2, 3.5, 3.7, 3.9, 4.1, 4.3],
-    "host_entropy": [2.6, 2.9, 3.1, 3.3, 3.5],
-    "page_number": [0, 99, 199, 499, 799],
-    "suffix_rate": [0.1, 0.25, 0.4, 0.6, 0.75, 0.9],
-    "section_rate": [0.1, 0.25, 0.4, 0.6, 0.75, 0.9],
-}
+#: Of the ensemble, and folds of the labelled URLs.
+TREES, DEPTH, RATE, RIDGE, FOLDS = 16, 3, 0.4, 1.0, 5
+#: Bins of a feature, at most: it is cut at quantiles of the labelled URLs.
+BINS = 16
+FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "params", "entropy", "host_entropy", "page_number", "suffix_rate", "section_rate")
 
 
 def host_of(url: Column) -> Column:
@@ -85,19 +72,38 @@ def lexical(rows: DataFrame) -> DataFrame:
         "entropy": _entropy(url), "host_entropy": _entropy(F.col("host")),
         "page_number": F.coalesce(F.expr("try_cast(regexp_extract(path, '/([0-9]{1,9})[^/]*$', 1) as int)"), F.lit(-1)),
         "suffix": F.element_at(F.split("host", r"\."), -1),
-        "section": F.regexp_extract("path", "^/([^/]{0,16})", 1),
+        "section": F.regexp_extract("path", "^/([^/]*)", 1),
     })
 
 
-def _bins(rows: DataFrame) -> DataFrame:
+def cuts_of(rows: DataFrame) -> dict[str, list[float]]:
+    """Where each feature is cut: its distinct quantiles but the last, over all rows."""
+    at = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 1000).alias(f) for f in FEATURES]).first()
+    return {f: sorted({round(x, 9) for x in found[f] or []}) for f in FEATURES}
+
+
+def _bins(rows: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """Each feature as its bin: how many cuts it is over."""
-    cut = {f: reduce(lambda x, y: x + y, [(F.col(f) > c).cast("int") for c in cuts]) for f, cuts in CUTS.items()}
+    cut = {f: reduce(lambda x, y: x + y, [(F.col(f) > c).cast("int") for c in of], F.lit(0)) for f, of in cuts.items()}
     return rows.withColumns({f"b_{f}": F.coalesce(c, F.lit(0)) for f, c in cut.items()})
 
 
-def _rates(labelled: DataFrame, key: str) -> DataFrame:
-    """The smoothed share of blocked URLs by key."""
-    return labelled.groupBy(key).agg(((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias(f"{key}_rate"))
+def _counts(labelled: DataFrame, key: str) -> DataFrame:
+    """By key: labelled URLs and blocked ones (n, y), and the same by fold (maps)."""
+    folds = labelled.groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    entries = lambda c: F.map_from_entries(F.collect_list(F.struct("fold", c)))  # noqa: E731  (FOLDS entries)
+    return folds.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.sum("y").alias(f"{key}_y"), entries("n").alias(f"{key}_ns"), entries("y").alias(f"{key}_ys"))
+
+
+def with_rates(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """rows with the smoothed share of blocked URLs by each key. A labelled URL's own fold is left out, so that no label speaks for itself."""
+    for key, table in tables.items():
+        rows = spread_join(rows, table, key, "left")
+        own = lambda c: F.when(F.col("label").isNotNull(), F.coalesce(F.try_element_at(F.col(c), F.col("fold")), F.lit(0))).otherwise(0)
+        n, y = (F.coalesce(F.col(f"{key}_{c}"), F.lit(0)) - F.coalesce(own(f"{key}_{c}s"), F.lit(0)) for c in "ny")
+        rows = rows.withColumn(f"{key}_rate", (y + 1.0) / (n + 2.0)).drop(*[f"{key}_{c}" for c in ("n", "y", "ns", "ys")])
+    return rows
 
 
 def _tree_value(tree, bins: dict[str, Column]) -> Column:
@@ -126,7 +132,7 @@ def _grown(tree, new: dict[int, object], at: int = 1):
 
 def margin_of(model: dict) -> Column:
     """The log-odds of block, from bin columns."""
-    bins = {f: F.col(f"b_{f}") for f in CUTS}
+    bins = {f: F.col(f"b_{f}") for f in FEATURES}
     return reduce(lambda x, y: x + y, [_tree_value(t, bins) for t in model["trees"]], F.lit(float(model["base"])))
 
 
@@ -136,13 +142,13 @@ def fit(vectors: DataFrame) -> dict:
     if not 0 < positive < n:
         return {"base": 5.0 if n and positive else -5.0, "trees": []}
     model = {"base": math.log(positive / (n - positive)), "trees": []}
-    bins = {f: F.col(f"b_{f}") for f in CUTS}
+    bins = {f: F.col(f"b_{f}") for f in FEATURES}
     for _ in range(TREES):
         p = 1 / (1 + F.exp(-margin_of(model)))
         graded = vectors.withColumns({"g": F.col("positive") - F.col("n") * p, "h": F.col("n") * p * (1 - p)})
         tree: object = 0.0
         for _ in range(DEPTH):
-            long = graded.select(_leaf_id(tree, bins).alias("leaf"), "g", "h", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), bins[f].alias("bin")) for f in CUTS])).alias("x"))
+            long = graded.select(_leaf_id(tree, bins).alias("leaf"), "g", "h", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), bins[f].alias("bin")) for f in FEATURES])).alias("x"))
             sums = long.groupBy("leaf", "x.f", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             tree = _grown(tree, {leaf: _split([r for r in sums if r.leaf == leaf]) for leaf in {r.leaf for r in sums}})
         model["trees"].append(tree)
@@ -156,7 +162,7 @@ def _split(sums: list):
     score = lambda g, h: g * g / (h + RIDGE)
     step = lambda g, h: RATE * g / (h + RIDGE)
     best, gain = step(G, H), 1e-6
-    for f in CUTS:
+    for f in FEATURES:
         g = h = 0.0
         for r in sorted((r for r in sums if r.f == f), key=lambda r: r.bin)[:-1]:
             g, h = g + r.g, h + r.h
@@ -165,21 +171,50 @@ def _split(sums: list):
     return best
 
 
+def featured(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """A table of the pages' URLs: host, path, lexical features, the rule, and for those that a rule decides label (1: block) and fold."""
+    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = lexical(rows).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
+    label = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule.verdict") == "block").cast("int"))
+    return materialise(rows.withColumns({"label": label, "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")}), "urls")
+
+
+class Ensemble:
+    """Rates, cuts and trees from the labelled URLs of a featured table."""
+
+    def __init__(self, labelled: DataFrame):
+        self.rates = {k: materialise(_counts(labelled, k), k) for k in ("suffix", "section")}
+        rated = materialise(with_rates(labelled, self.rates), "labelled")
+        self.cuts = cuts_of(rated)
+        vectors = _bins(rated, self.cuts).groupBy(*[f"b_{f}" for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("label").alias("positive"))
+        self.model = fit(materialise(vectors, "vectors"))
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """rows with the probability p of block."""
+        return _bins(with_rates(rows, self.rates), self.cuts).withColumn("p", 1 / (1 + F.exp(-margin_of(self.model))))
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict, score (probability of block; 0 or 1 where a rule decides)."""
-    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = materialise(lexical(rows).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules)), "urls")
-    labelled = rows.where("by_rule is not null").withColumn("label", (F.col("by_rule.verdict") == "block").cast("int"))
-    rates = {k: materialise(_rates(labelled, k), k) for k in ("suffix", "section")}
-    with_rates = lambda d: _bins(reduce(lambda x, k: x.join(rates[k], k, "left"), rates, d).fillna(0.5, [f"{k}_rate" for k in rates]))
-    vectors = with_rates(labelled).groupBy(*[f"b_{f}" for f in CUTS]).agg(F.count("*").alias("n"), F.sum("label").alias("positive"))
-    model = fit(materialise(vectors, "vectors"))
-    scored = with_rates(rows).withColumn("p", 1 / (1 + F.exp(-margin_of(model))))
-    score = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule.verdict") == "block").cast("double")).otherwise(F.col("p"))
+    rows = featured(pages, rules)
+    scored = Ensemble(rows.where("label is not null")).score(rows)
+    score = F.coalesce(F.col("label").cast("double"), F.col("p"))
     verdict = F.coalesce(F.col("by_rule.verdict"), F.when(F.col("p") > 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", F.col("by_rule.rule").alias("rule"), verdict.alias("verdict"), score.alias("score"))
 
 
+def held_out_quality(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """One row: how the ensemble judges the labelled URLs of fold 0 when it is fitted on the others: n, accuracy, log_loss, and base_loss, that of the
+    share of blocked URLs alone."""
+    labelled = featured(pages, rules).where("label is not null")
+    held = labelled.where("fold = 0")
+    scored = Ensemble(labelled.where("fold <> 0")).score(held.withColumn("truth", F.col("label")).withColumn("label", F.lit(None).cast("int")))
+    p = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-9)), F.lit(1e-9))
+    loss = lambda q: -F.avg(F.when(F.col("truth") == 1, F.log(q)).otherwise(F.log(1 - q)))
+    share = labelled.where("fold <> 0").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("share"))
+    return scored.join(F.broadcast(share)).agg(F.count("*").alias("n"), F.avg(((F.col("p") > 0.5).cast("int") == F.col("truth")).cast("double")).alias("accuracy"), loss(p).alias("log_loss"), loss(F.col("share")).alias("base_loss"))
+
+
 def allowed_pages(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """The pages whose URL isn't blocked."""
     return pages.join(judge_urls(pages, rules).where("verdict = 'allow'").select("page_id").distinct(), "page_id", "left_semi").select(*pages.columns)

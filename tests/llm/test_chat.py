@@ -31,8 +31,17 @@ def test_long_conversations_cross_chunks(spark):
     long = [str(i % 7) for i in range(n)]
     rows = conv(1, *long[:-1]) + conv(2, *long) + conv(3, *long[: chat.CHUNK])
     out = formatted(spark, rows)
-    assert sorted(out) == [(2, 0), (2, 1), (2, 2)] and out[2, 2][0] == 5
-    assert "".join(out[2, p][1] for p in range(3)).count("<|im_start|>") == n
+    assert sorted(out) == [(2, 0)] and out[2, 0][0] == n and out[2, 0][1].count("<|im_start|>") == n
+    cut = {r.part: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA), turns_a_row=chat.CHUNK).collect()}
+    assert sorted(cut) == [0, 1, 2] and cut[2].n_turns == 5
+    assert "".join(cut[p].rendered for p in range(3)) == out[2, 0][1]
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rows = conv(1, "x" * 2_000_000, "b") + conv(2, "x" * 2_000_000, "b", "c")
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA + ", chunk long, n_turns long, rendered long")
+    (r,) = chat.format_chats(df).collect()
+    assert (r.conv_id, r.n_turns) == (2, 3) and len(r.rendered) > 2_000_000
 
 
 def test_nulls_repeats_and_empty(spark):

@@ -60,12 +60,19 @@ def test_incoming_hits_are_those_of_the_snapshot(spark):
     assert sizes[95] == 3 and sizes[5] == 1 and sizes[1110] == 2
 
 
-def test_a_digest_collision_is_told_apart_by_bytes(spark):
+def test_a_digest_collision_is_told_apart_by_bytes(spark, monkeypatch):
+    rows = [(i, words(i % 40, 12)) for i in range(150)] + [(500 + i, "hot  copy\t!") for i in range(40)] + ODD
+    monkeypatch.setattr(X, "digest", lambda text: X.F.substring(X.F.sha2(text, 256), 1, 1))  # sixteen digests for all texts
+    df = documents(spark, rows)
+    plain = lambda rows: sorted(r[:4] for r in rows if r[0] is not None)
+    assert X.unequal_groups(df, X.exact_groups(df).selectExpr("text_sha256 as sha", "1000L as group_size").distinct()).count() > 10
+    assert plain(got(X.exact_groups(df))) == plain(brute(rows))
+
+
+def test_only_groups_of_unequal_bytes_are_told(spark):
     docs = documents(spark, [(1, "a"), (2, "a"), (3, "b")])
-    made = docs.selectExpr("sha2('a', 256) as sha", "1L as keep_id", "3L as group_size").limit(1)
-    assert X.unequal_members(docs, made).count() == 0  # equal bytes under the digest
-    wrong = docs.selectExpr("sha2('b', 256) as sha", "3L as keep_id", "2L as group_size").limit(1)
-    assert X.unequal_members(docs, wrong).count() == 0
+    groups = docs.selectExpr("sha2(text, 256) as sha").groupBy("sha").agg(X.F.count("*").alias("group_size"))
+    assert X.unequal_groups(docs, groups).count() == 0
 
 
 def test_rows_repeated_under_one_id_stay_once(spark):

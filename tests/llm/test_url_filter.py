@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from oddsframe.llm import url_filter as U
@@ -41,6 +43,69 @@ def test_trees_learn_the_section_from_rules(spark):
     assert all((out[i].verdict == "block") == (i % 2 == 1) for i in range(300)) and out[250].rule is None
 
 
+def test_rates_leave_a_urls_own_fold_out(spark):
+    rows = [(i, f"http://h{i}.com/{'de' if i % 3 else 'fr'}/{i}") for i in range(60)] + [(100, "http://x.net/de/1")]
+    table = U.featured(spark.createDataFrame(rows, "page_id long, url string"))
+    labelled = table.where("label is not null")
+    out = {r.page_id: r for r in U.with_rates(table, {k: U._counts(labelled, k) for k in ("suffix", "section")}).collect()}
+    for r in out.values():
+        for key in ("suffix", "section"):
+            of = [x.label for x in out.values() if x.label is not None and x[key] == r[key] and (r.label is None or x.fold != r.fold)]
+            assert abs(r[f"{key}_rate"] - (sum(of) + 1) / (len(of) + 2)) < 1e-12
+
+
+def brute_fit(vectors):
+    """The ensemble's margins by plain loops over rows of (bins, n, positive)."""
+    n, y = sum(v[1] for v in vectors), sum(v[2] for v in vectors)
+    margin = [math.log(y / (n - y))] * len(vectors)
+    for _ in range(U.TREES):
+        g = [v[2] - v[1] / (1 + math.exp(-m)) for v, m in zip(vectors, margin)]
+        h = [v[1] * (p := 1 / (1 + math.exp(-m))) * (1 - p) for v, m in zip(vectors, margin)]
+        leaves, step = [list(range(len(vectors)))], [0.0] * len(vectors)
+        for _ in range(U.DEPTH):
+            new = []
+            for leaf in leaves:
+                G, H = sum(g[i] for i in leaf), sum(h[i] for i in leaf)
+                score = lambda a, b: a * a / (b + U.RIDGE)
+                best, gain = None, 1e-6
+                for f in range(len(U.FEATURES)):
+                    for cut in sorted({vectors[i][0][f] for i in leaf})[:-1]:
+                        low = [i for i in leaf if vectors[i][0][f] <= cut]
+                        a, b = sum(g[i] for i in low), sum(h[i] for i in low)
+                        if (x := score(a, b) + score(G - a, H - b) - score(G, H)) > gain:
+                            gain, best = x, (f, cut)
+                parts = [leaf] if best is None else [[i for i in leaf if vectors[i][0][best[0]] <= best[1]], [i for i in leaf if vectors[i][0][best[0]] > best[1]]]
+                for part in parts:
+                    for i in part:
+                        step[i] = U.RATE * sum(g[j] for j in part) / (sum(h[j] for j in part) + U.RIDGE)
+                new += parts
+            leaves = new
+        margin = [m + s for m, s in zip(margin, step)]
+    return margin
+
+
+def test_trees_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(U, "TREES", 3)
+    r = random.Random(3)
+    vectors = [([r.randrange(4) for _ in U.FEATURES], n := r.randint(1, 9), r.randint(0, n)) for _ in range(40)]
+    names = [f"b_{f}" for f in U.FEATURES]
+    df = spark.createDataFrame([(k, *b, n, y) for k, (b, n, y) in enumerate(vectors)], ", ".join(["k int", *[f"{c} int" for c in names], "n long", "positive long"]))
+    got = [x.m for x in df.select("k", U.margin_of(U.fit(df)).alias("m")).orderBy("k").collect()]
+    assert all(abs(a - b) < 1e-6 for a, b in zip(got, brute_fit(vectors), strict=True))
+
+
+def test_held_out_quality_beats_the_base(spark):
+    rows = [(i, f"http://h{i % 9}.{'com' if i % 4 else 'org'}/{'de' if i % 2 else 'fr'}/{i}") for i in range(400)]
+    (q,) = U.held_out_quality(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert q.n > 40 and q.accuracy > 0.95 and q.log_loss < 0.3 < q.base_loss
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://a.net/" + "x/" * 100_000), (2, "http://" + "h" * 200_000), (3, "http://a.com/de/" + "9" * 50_000 + "?" + "a=b&" * 20_000)]
+    out = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(out) == 3 and out[3].verdict == "block" and out[2].host == "h" * 200_000
+
+
 def test_without_labels_and_empty(spark):
     df = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     assert U.judge_urls(df).first().verdict == "allow"
