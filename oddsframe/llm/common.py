@@ -57,11 +57,15 @@ def clear_scratch(spark: SparkSession, since: int = 0) -> int:
     """Delete the scratch tables written since a mark, once results that read them are stored; how many there were."""
     n = len(_written) - since
     while len(_written) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_table(spark, _written.pop())
     return n
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fraction_of(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
