@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from oddsframe.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from oddsframe.llm.common import shared_folder
+from oddsframe.llm.common import clear_scratch, delete_table, scratch_mark, shared_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what a stage returns is written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; what a stage returns is written as Parquet and read again by the next. A stage's scratch tables, and the table
+    it read, go once its own result is stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path, mark = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", scratch_mark()
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        clear_scratch(spark, mark)
+        if before:
+            delete_table(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -1,5 +1,8 @@
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -71,3 +74,15 @@ def test_nothing_outside_imports_the_training_data_operators():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n)) as f:
                     assert "oddsframe.llm" not in f.read(), n
+
+
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_the_rest_works_without_the_training_data_operators(tmp_path, with_pipeline):
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    if not with_pipeline and (copy / "corpus_pipeline.py").exists():
+        (copy / "corpus_pipeline.py").unlink()
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(s) <= set(q) and not any(n == 'pipeline' or n.startswith('op') and n[2].isdigit() for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, check=True, timeout=120, stdout=subprocess.DEVNULL)
