@@ -67,12 +67,12 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Old and new markets together; of one market_id the new row stays."""
-    rows = new.withColumn("__batch", F.lit(1))
+    """Old and new markets together; of one market_id the new row stays, of several new ones the last."""
+    rows = new.withColumns({"__batch": F.lit(1), "__place": F.monotonically_increasing_id()})
     if old is not None:
-        rows = old.drop(*[c for c in DERIVED if c in old.columns]).withColumn("__batch", F.lit(0)).unionByName(rows.drop(*[c for c in DERIVED if c in rows.columns]), allowMissingColumns=True)
-    last = Window.partitionBy("market_id").orderBy(F.col("__batch").desc())
-    return with_derived(rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__batch"))
+        rows = old.drop(*[c for c in DERIVED if c in old.columns]).withColumns({"__batch": F.lit(0), "__place": F.monotonically_increasing_id()}).unionByName(rows.drop(*[c for c in DERIVED if c in rows.columns]), allowMissingColumns=True)
+    last = Window.partitionBy("market_id").orderBy(F.col("__batch").desc(), F.col("__place").desc())
+    return with_derived(rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__batch", "__place"))
 
 
 def select_markets(markets: DataFrame, events: list[str] | None = None, categories: list[str] | None = None, clean_only: bool = False) -> DataFrame:

@@ -25,11 +25,15 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def exists(self, path: str) -> bool:
+        """If there is a table. One that was moved aside by a writer that died before its own took the place is put back."""
         fs, p = self._fs(path)
-        return fs.exists(p)
+        if fs.exists(p):
+            return True
+        aside = sorted(fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*")) or [], key=lambda x: x.getModificationTime())
+        return bool(aside) and fs.rename(aside[-1].getPath(), p)
 
     def replace(self, df: DataFrame, path: str) -> None:
-        """Write beside, then take the place of what is there; readers see the old table or the new one."""
+        """Write beside, then take the place of what is there. Between the two renames there is no table, but the old one beside it: see exists."""
         new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
         df.write.parquet(new)
         fs, p = self._fs(path)
@@ -52,9 +56,10 @@ class Store:
         self.replace(upsert(self.load_markets() if self.exists(path) else None, new), path)
         return self.spark.read.parquet(path)
 
-    def _load(self, kind: str, schema: str, event_ids: Iterable[str] | DataFrame | None) -> DataFrame:
+    def _load(self, kind: str, schema: str, event_ids: Iterable[str] | DataFrame | None, marks: bool = False) -> DataFrame:
         path = f"{self.root}/{kind}"
         df = self.spark.read.schema(schema).parquet(path) if self.exists(path) else self.spark.createDataFrame([], schema)
+        df = df if marks else df.where("ts is not null")
         if event_ids is None:
             return df
         if isinstance(event_ids, DataFrame):
@@ -70,27 +75,29 @@ class Store:
         return outcome0_view(self._load("trades", TRADES, event_ids))
 
     def stored_event_ids(self, kind: str) -> DataFrame:
-        """(event_id) of events that have prices or trades."""
-        return self._load(kind, PRICES if kind == "prices" else TRADES, None).select("event_id").distinct()
+        """(event_id) of events whose prices or trades were fetched, also if there were none: those have a mark, a row without a time."""
+        return self._load(kind, PRICES if kind == "prices" else TRADES, None, marks=True).select("event_id").distinct()
 
     def append(self, kind: str, rows: DataFrame) -> None:
         rows.write.mode("append").partitionBy("event_id").parquet(f"{self.root}/{kind}")
 
-    def download(self, kind: str, todo: DataFrame, fetch: Callable[[pd.DataFrame], pd.DataFrame]) -> dict[str, int]:
+    def download(self, kind: str, todo: DataFrame, fetch: Callable[[pd.DataFrame], pd.DataFrame], workers: int | None = None) -> dict[str, int]:
         """Fetch what isn't stored yet, by event, on the executors; run it again to go on. fetch maps the rows of one event to its prices or
-        trades and may fail: such events are counted and tried again the next time."""
+        trades and may fail: such events are counted and tried again the next time. An event without any rows is done."""
         schema = PRICES if kind == "prices" else TRADES
         left = todo.join(self.stored_event_ids(kind), "event_id", "left_anti")
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            event = pdf["event_id"].iloc[0]
             try:
-                got = fetch(pdf).assign(event_id=pdf["event_id"].iloc[0])
+                got = fetch(pdf).assign(event_id=event)
             except (OSError, ValueError, KeyError):
-                got = pd.DataFrame({c: pd.Series([], dtype=object) for c in names(schema)})
-            return got.reindex(columns=names(schema)) if len(got) else got
+                return pd.DataFrame({c: pd.Series([], dtype=object) for c in names(schema)})
+            return got.reindex(columns=names(schema)) if len(got) else pd.DataFrame({c: pd.Series([event if c == "event_id" else None], dtype=object) for c in names(schema)})
 
         n, before = todo.select("event_id").distinct().count(), left.select("event_id").distinct().count()
-        self.append(kind, left.groupBy("event_id").applyInPandas(run, schema))
+        dealt = left.repartition(workers, "event_id") if workers else left
+        self.append(kind, dealt.groupBy("event_id").applyInPandas(run, schema))
         failed = missing_events(todo, self.stored_event_ids(kind)).count()
         return {"events": n, "fetched": before - failed, "failed": failed, "skipped": n - before}
 

@@ -1,5 +1,6 @@
 import json
-from datetime import datetime, timedelta
+import os
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,84 @@ def test_fetch_bounds(spark):
     m = markets(spark, [{"start_ts": None}, {"market_id": "b", "token0": ""}, {"market_id": "c", "created_ts": None, "start_ts": None}])
     (r,) = M.fetch_bounds(m, timedelta(days=2), F.lit(at(24 * 365)).cast("timestamp")).collect()
     assert r.start == at(240 - 48) and r.end == at(242 + 24)
+
+
+def refused(url):
+    import urllib.error
+
+    raise urllib.error.HTTPError(url, 403, "refused", None, None)
+
+
+def test_event_crawl_by_window_tag_and_state_goes_on_after_a_refusal(tmp_path):
+    asked, slept, failing = [], [], [2]
+
+    def transport(url):
+        asked.append(url)
+        if "after_cursor" in url and failing[0]:
+            failing[0] -= 1
+            refused(url)
+        more = "end_date_min=2026-01-01" in url and "after_cursor" not in url
+        return json.dumps({"events": [{"id": len(asked)}], "next_cursor": "c1" if more else None})
+
+    c = api.Client("events", str(tmp_path), transport, sleep=slept.append)
+    crawl = lambda **o: list(api.iter_events(c, "http://x", date(2026, 1, 1), date(2026, 2, 15), today=date(2026, 2, 10), **o))
+    assert len(crawl(tag_slug="politics")) == 3
+    assert all("tag_slug=politics" in u and "closed=true" in u for u in asked) and len({u for u in asked if "after_cursor=c1" in u}) == 1
+    assert [x for x in slept if x >= 15] == [15.0, 30.0]
+    n = len(asked)
+    assert len(crawl(tag_slug="politics")) == 3 and len(asked) == n + 1  # windows that are over come from the cache
+    crawl(closed=None)
+    assert not any("closed" in u for u in asked[n + 1 :])
+    with pytest.raises(Exception, match="403"):
+        api.Client("prices", transport=refused, sleep=slept.append).get_text("http://x")
+
+
+def test_a_worker_keeps_one_client_and_its_share_of_the_rate():
+    assert api.worker_client("trades", 4) is api.worker_client("trades", 4)
+    assert api.worker_client("trades", 4).gap == pytest.approx(4 * api.MIN_INTERVAL["trades"])
+
+
+def test_snapshots_are_fetched_in_the_windows_around_targets(spark):
+    def steady(url):
+        from urllib.parse import parse_qs, urlparse
+
+        q = parse_qs(urlparse(url).query)
+        if q["market"] == ["bad"]:
+            raise ValueError("no such token")
+        return json.dumps({"history": [{"t": t, "p": 0.3} for t in range(int(q["startTs"][0]), int(q["endTs"][0]), 600)]})
+
+    m = markets(spark, [{"market_id": "a", "token0": "good"}, {"market_id": "b", "token0": "bad"}])
+    end = m.first().end_ts
+    targets = spark.createDataFrame([(i, "1d", end - timedelta(days=d)) for i in "ab" for d in (1, 40)], "market_id string, snapshot string, target_ts timestamp")
+    out = api.fetch_snapshots(m, targets, "http://x", workers=2, transport=steady).collect()
+    assert sorted((r.market_id, r.p, r.target_ts) for r in out) == [("a", 0.3, end - timedelta(days=40)), ("a", 0.3, end - timedelta(days=1))]
+
+
+def test_an_event_without_rows_is_done_and_one_that_fails_is_not(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    todo = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "event_id string, market_id string")
+
+    def fetch(pdf):
+        import pandas as pd
+
+        if pdf["event_id"].iloc[0] == "3":
+            raise ValueError("down")
+        at = [] if pdf["event_id"].iloc[0] == "2" else [pd.Timestamp("2026-01-01", tz="UTC")]
+        return pd.DataFrame({"market_id": ["a"] * len(at), "ts": at, "p": [0.5] * len(at)})
+
+    assert store.download("prices", todo, fetch) == {"events": 3, "fetched": 2, "failed": 1, "skipped": 0}
+    assert store.download("prices", todo, fetch, workers=2) == {"events": 3, "fetched": 0, "failed": 1, "skipped": 2}
+    assert store.load_prices().count() == 1 and sorted(r.event_id for r in store.stored_event_ids("prices").collect()) == ["1", "2"]
+
+
+def test_a_table_that_a_dead_writer_moved_aside_comes_back(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.replace(spark.range(3), f"{tmp_path}/t")
+    os.rename(tmp_path / "t", tmp_path / "t.old-abc")
+    assert store.exists(f"{tmp_path}/t") and spark.read.parquet(f"{tmp_path}/t").count() == 3 and not store.exists(f"{tmp_path}/u")
+
+
+def test_of_equal_ids_in_one_batch_the_last_row_stays(spark):
+    rows = [(f"e{k}", "m", k) for k in range(50)]
+    new = markets(spark, [{"market_id": "m", "event_id": e, "fee_rate": float(k)} for e, _, k in rows]).coalesce(1)
+    assert M.upsert(None, new).collect()[0].fee_rate == 49.0
