@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,16 +96,27 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
 TOGETHER, MOST_HOT = 1_000, 50_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """(__key, __parts) of the keys that spread_join deals to several parts, or None. rows is read twice: it should be a table."""
+    total = rows.count()
+    if total <= TOGETHER:
+        return None
+    most = max(TOGETHER, total // MOST_HOT)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    hot = materialise(counts.select("__key", F.ceil(F.col("__n") / most).cast("int").alias("__parts")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+_COUNT = object()
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot=_COUNT) -> DataFrame:
     """left joined to right, which has one row a key, with the rows of a hot key dealt to parts that each get right's row.
 
     Keys are hot beyond TOGETHER rows, or a MOST_HOT-th part of all rows if that is more: so there are fewer than MOST_HOT of them, and the list of them
-    that is broadcast is bounded. left is read twice: it should be a table."""
-    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > TOGETHER)
-    total = left.count()
-    most = max(TOGETHER, total // MOST_HOT)
-    hot = materialise(counts.where(F.col("__n") > most).select("__key", F.ceil(F.col("__n") / most).cast("int").alias("__parts")), "hot") if total > TOGETHER else None
-    if hot is None or hot.isEmpty():
+    that is broadcast is bounded. hot: what hot_keys said of the same keys, where left isn't a table."""
+    hot = hot_keys(left, key) if hot is _COUNT else hot
+    if hot is None:
         return left.join(right, key, how)
     hot = F.broadcast(hot)
     others = [c for c in left.columns if c != key] or [key]
@@ -113,6 +126,46 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return many.join(each, [key, "__part"], how).drop("__part")
 
 
+#: Bits of a sieve a value, and in all, at most (32 MB).
+SIEVE_BITS, SIEVE_MOST = 16, 28
+
+
+def sieve_of(values: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that is true for each value of the column, and for few others: two bits of a table for each value.
+
+    The table's parts are made on the executors; the whole, 32 MB at most, is broadcast. With more values than it has room for it lets more through."""
+    width = min(SIEVE_MOST, max(16, math.ceil(math.log2(max(1, values.count()) * SIEVE_BITS))))
+    places = lambda v: [F.pmod(F.xxhash64(v, F.lit(k)), F.lit(1 << width)) for k in (1, 2)]
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << 16, dtype=bool)
+        bits[pdf["place"].to_numpy() & 0xFFFF] = True
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    at = values.select(F.explode(F.array(*places(F.col(column)))).alias("place")).distinct().withColumn("part", F.shiftright("place", 16).cast("int"))
+    table = np.zeros((1 << (width - 16), 1 << 13), dtype=np.uint8)
+    for r in at.groupBy("part").applyInPandas(part, "part int, bits binary").toLocalIterator():
+        table[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = values.sparkSession.sparkContext.broadcast(table.ravel())
+
+    @F.pandas_udf("boolean")
+    def passes(one: pd.Series, two: pd.Series) -> pd.Series:
+        bit = lambda p: shared.value[p >> 3] >> (p & 7) & 1
+        return pd.Series(bit(one.to_numpy()) & bit(two.to_numpy()) != 0)
+
+    return lambda v: passes(*places(v))
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str, on: Callable[[DataFrame, DataFrame], Column]) -> DataFrame:
+    """rows without those that match a row of gone (an anti-join). Rows whose value of the column passes no sieve of gone's stay where they are; the others
+    alone, and null ones, are shuffled."""
+    bounded_batches(rows.sparkSession)
+    may = F.coalesce(sieve_of(gone, column)(F.col(column).cast(gone.schema[column].dataType)), F.lit(True)) | F.col(column).isNull()
+    marked = rows.withColumn("__may", may)
+    rest = marked.where("__may").drop("__may")
+    return marked.where("not __may").drop("__may").unionByName(rest.join(gone, on(rest, gone), "left_anti"))
+
+
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

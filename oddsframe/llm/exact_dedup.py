@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import ASCII_SPACE, fraction_of, materialise, parts_for, spread_join
+from oddsframe.llm.common import ASCII_SPACE, bounded_batches, fraction_of, materialise, parts_for, sieve_of, spread_join, without
 
 #: Digests a filter, about; a filter of this size has 0.6 MB.
 BUCKET = 250_000
@@ -164,7 +164,8 @@ def exact_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     groups, _ = dedup_incoming(rows.where(old), rows.where(~old), bucket)
     groups = materialise(groups, "groups")
     report = spread_join(rows, groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
-    collided = materialise(unequal_groups(docs, groups), "collided")
+    members = materialise(report.where("group_size > 1").select("doc_id"), "members")
+    collided = materialise(unequal_groups(docs, members), "collided")
     if collided.isEmpty():
         return _report(report)
     texts = materialise(_texts(docs).join(collided, "sha", "left_semi"), "texts")
@@ -177,13 +178,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("text")).withColumn("sha", digest(F.col("text")))
 
 
-def unequal_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sha) of the groups whose members' normalised bytes aren't all the same.
+def unequal_groups(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(sha) of the groups whose members' normalised bytes aren't all the same. members: (doc_id) of groups of several.
 
-    Only texts of groups of several members are compared: the least and the greatest must be equal. Copies collapse before the shuffle, so a hot
-    group is a row a task. The list of such groups is a table of its own, which is sent to the texts while it is small."""
-    several = materialise(groups.where("group_size > 1").select("sha"), "several")
-    ends = _texts(docs).join(several, "sha", "left_semi").groupBy("sha").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    Of the members' texts, the least and the greatest by digest must be equal. A sieve of the members' ids lets their texts alone through, and copies
+    collapse before the shuffle, so a hot group is a row a task. A text that gets through by chance is a group of its own."""
+    bounded_batches(docs.sparkSession)
+    may = sieve_of(members, "doc_id")(F.col("doc_id").cast("long")) | F.col("doc_id").isNull()
+    ends = _texts(docs.where(may)).groupBy("sha").agg(F.min("text").alias("low"), F.max("text").alias("high"))
     return ends.where("low <> high").select("sha")
 
 
@@ -195,13 +197,11 @@ def drop_exact_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """docs without the copies of a text of smaller doc_id, and with one row for each doc_id and text that stays."""
     report = materialise(exact_groups(docs, bucket), "report")
     gone = materialise(report.where("not kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct(), "gone")
-    again = report.where("kept and doc_id is not null").groupBy("doc_id", F.col("text_sha256").alias("__sha")).count().where("count > 1").drop("count")
-    left = docs.withColumn("__sha", digest(normalised()))
-    same = lambda other: [left.doc_id.cast("long").eqNullSafe(other.doc_id), left["__sha"] == other["__sha"]]
-    known = left.join(gone, same(gone), "left_anti")
-    again = materialise(again, "again")
+    again = materialise(report.where("kept and doc_id is not null").groupBy("doc_id", F.col("text_sha256").alias("__sha")).count().where("count > 1").drop("count"), "again")
+    same = lambda left, right: left.doc_id.cast("long").eqNullSafe(right.doc_id) & (digest(normalised()) == right["__sha"])
+    known = without(docs, gone, "doc_id", same)
     if again.isEmpty():
-        return known.select(*[left[c] for c in docs.columns])
-    once = known.join(again, same(again), "left_anti").select(*[left[c] for c in docs.columns])
-    twice = known.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
-    return once.unionByName(twice)
+        return known
+    once = without(known, again, "doc_id", same)
+    twice = known.withColumn("__own", digest(normalised())).join(again, [known.doc_id.cast("long") == again.doc_id, F.col("__own") == again["__sha"]], "left_semi").dropDuplicates(["doc_id", "__own"]).drop("__own")
+    return once.unionByName(twice.select(*docs.columns))

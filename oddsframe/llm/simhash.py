@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import components, materialise, parts_for, spread_join
+from oddsframe.llm.common import bounded_batches, components, hot_keys, materialise, parts_for, sieve_of, spread_join, without
 
 SEED = 42
 CODE_BITS = 64
@@ -219,12 +219,12 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
     """
     sketches = _sketches(docs.where("doc_id is not null"), words).where(F.size("shingles") > 0)
     rows = materialise(sketches.withColumn("whole", F.xxhash64("shingles")), "sketches")
-    ids = rows.select("doc_id", "whole")
     classes = materialise(rows.groupBy("whole").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first(F.size("shingles")).alias("n")), "classes")
     posted = classes.select("whole", "n", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    busy = materialise(posted.join(shared, "key"), "busy")
-    leaders = first_of_bucket(busy, LEADERS)
+    bucket = Window.partitionBy("key")
+    busy = posted.withColumns({"members": F.count("*").over(bucket), "rank": F.row_number().over(bucket.orderBy("whole"))}).where("members > 1")
+    busy = materialise(busy, "busy")
+    leaders = busy.where(F.col("rank") <= LEADERS).select("key", F.col("whole").alias("leader"), F.col("n").alias("leader_n"))
     pairs = (
         busy.join(leaders, "key")
         .where("whole <> leader")
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
         .select(F.least("whole", "leader").alias("a"), F.greatest("whole", "leader").alias("b"))
         .distinct()
     )
-    side = rows.join(classes.select("whole", F.col("least").alias("doc_id")), ["whole", "doc_id"], "left_semi").select("whole", "shingles").dropDuplicates(["whole"])
+    side = sets_of(rows, busy.select("whole").distinct())
     links = materialise(verified(pairs, side, similarity), "links")
     found = components(links)
     hot = busy.where(F.col("members") > LEADERS + 1).join(found, F.col("whole") == found.node, "left").select("key", "whole", "n", F.coalesce("component", "whole").alias("component"))
@@ -244,16 +244,21 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
     groups = found.join(classes.select("whole", "least"), found.node == classes.whole).groupBy("component").agg(F.min("least").alias("keep_id"))
     of_class = found.join(groups, "component").select(F.col("node").alias("whole"), "keep_id")
     keep = classes.join(of_class, "whole", "left").select("whole", F.coalesce("keep_id", "least").alias("keep_id"))
-    return spread_join(ids, keep, "whole").where("doc_id <> keep_id").select("doc_id", "keep_id")
+    return spread_join(rows.select("doc_id", "whole"), keep, "whole").where("doc_id <> keep_id").select("doc_id", "keep_id")
+
+
+def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A table (whole, shingles) of the classes wanted (whole), and of a few others that a sieve lets through."""
+    bounded_batches(rows.sparkSession)
+    return materialise(rows.where(sieve_of(wanted, "whole")(F.col("whole"))).select("whole", "shingles").dropDuplicates(["whole"]), "sets")
 
 
 def verified(pairs: DataFrame, side: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets in side (whole, shingles) are similar enough. Sets are fetched for the pairs; those of a text in very many pairs go to several tasks."""
     pairs = materialise(pairs, "pairs")
-    used = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
-    sets = side.join(used, "whole", "left_semi")
-    first = spread_join(pairs, sets.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
-    both = spread_join(first, sets.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b")
+    first = spread_join(pairs, side.select(F.col("whole").alias("a"), F.col("shingles").alias("x")), "a")
+    counted = hot_keys(pairs, "b")
+    both = spread_join(first, side.select(F.col("whole").alias("b"), F.col("shingles").alias("y")), "b", hot=counted)
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -315,12 +320,7 @@ def grown_together(sets: list[np.ndarray], component: np.ndarray, similarity: fl
     return [(lead[x], start[int(group[lead[x]])]) for x in lead if int(group[lead[x]]) != x]
 
 
-def first_of_bucket(busy: DataFrame, most: int) -> DataFrame:
-    """The `most` least classes of each bucket: (key, leader, leader_n). The rank limit is applied before the shuffle too."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("whole"))
-    return busy.withColumn("rank", rank).where(F.col("rank") <= most).select("key", F.col("whole").alias("leader"), F.col("n").alias("leader_n"))
-
-
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the near duplicates of a document of smaller doc_id; one document of each group stays."""
-    return docs.join(near_duplicates(docs, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(near_duplicates(docs, **options).select("doc_id").distinct(), "gone")
+    return without(docs, gone, "doc_id", lambda left, right: left.doc_id.cast("long") == right.doc_id)

@@ -65,14 +65,29 @@ def test_a_digest_collision_is_told_apart_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(X, "digest", lambda text: X.F.substring(X.F.sha2(text, 256), 1, 1))  # sixteen digests for all texts
     df = documents(spark, rows)
     plain = lambda rows: sorted(r[:4] for r in rows if r[0] is not None)
-    assert X.unequal_groups(df, X.exact_groups(df).selectExpr("text_sha256 as sha", "1000L as group_size").distinct()).count() > 10
+    assert X.unequal_groups(df, df.select("doc_id")).count() > 10
     assert plain(got(X.exact_groups(df))) == plain(brute(rows))
 
 
 def test_only_groups_of_unequal_bytes_are_told(spark):
     docs = documents(spark, [(1, "a"), (2, "a"), (3, "b")])
-    groups = docs.selectExpr("sha2(text, 256) as sha").groupBy("sha").agg(X.F.count("*").alias("group_size"))
-    assert X.unequal_groups(docs, groups).count() == 0
+    assert X.unequal_groups(docs, docs.select("doc_id")).count() == 0
+
+
+def test_sieves_pass_every_value_and_few_others(spark, monkeypatch):
+    from oddsframe.llm import common
+
+    values = spark.range(0, 30_000, 3).toDF("v")
+    others = spark.range(1, 30_000, 3).toDF("v")
+    test = common.sieve_of(values, "v")
+    assert values.where(test(X.F.col("v"))).count() == 10_000 and others.where(test(X.F.col("v"))).count() < 400
+    monkeypatch.setattr(common, "SIEVE_MOST", 16)  # too small: more get through, none is lost
+    test = common.sieve_of(values, "v")
+    assert values.where(test(X.F.col("v"))).count() == 10_000
+    rows = spark.range(100).selectExpr("if(id = 7, null, id) as v", "id")
+    gone = spark.range(0, 100, 2).toDF("v")
+    left = common.without(rows, gone, "v", lambda a, b: a.v == b.v)
+    assert sorted(r.id for r in left.collect()) == list(range(1, 100, 2))
 
 
 def test_rows_repeated_under_one_id_stay_once(spark):
