@@ -244,12 +244,6 @@ def expected_roi(t: Tables) -> DataFrame:
     return r6(scan.expected_roi(scan.all_cells(t.cells_in), _made_costs(t)).select("category", "band", "snapshot", "side", "exec_price", "exp_roi"), "exec_price", "exp_roi")
 
 
-@query()
-def discover(t: Tables) -> DataFrame:
-    """Assembly, cells, false discovery control and expected return together; held to its parts' oracles and to the tests."""
-    return scan.discover(t.cells_in.withColumn("split", F.lit("discovery")), _made_costs(t), min_events=10, q=0.25)[0]
-
-
 @query(
     f"""select x.market_id, x.ts as target_ts, case when m.winner = 0 then 1 else 0 end as y, round(floor((epoch_us(m.end_ts) - epoch_us(x.ts)) / 60000000) / 60.0, 6) as hours_to_end,
         case when max(m.end_ts) over (partition by m.event_id) < timestamp '2024-01-29' then 'discovery' else 'holdout' end as split, {BAND.format(x='x.p')} as band from mids x join (select *, max(end_ts) over (partition by event_id) as ee from markets) m on m.market_id = x.market_id""",

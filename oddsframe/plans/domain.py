@@ -166,19 +166,12 @@ def obs_so_far(t: Tables) -> DataFrame:
 
 
 @query(
-    """, t as (select station_icao, local_date, e as y from errors where model = 0), k as (select * from t where extract(year from local_date) = 1995),
-    j as (select k.station_icao, k.local_date, t.y, abs(extract(doy from k.local_date) - extract(doy from t.local_date)) as dd from k join t on t.station_icao = k.station_icao and t.local_date <= k.local_date - interval 4 day)
-    select station_icao, local_date, round(avg(y), 6) as clim_mu, round(stddev_samp(y), 6) as clim_sigma from j where dd <= 15 or dd >= 351 group by 1, 2 having count(*) >= 3""",
+    """, j as (select k.station_icao, k.local_date, t.e as y, abs(extract(doy from k.local_date) - extract(doy from t.local_date)) as dd from errors k join errors t on t.station_icao = k.station_icao and t.local_date <= k.local_date - interval 4 day)
+    select station_icao, local_date, round(avg(y), 6) as clim_mu, round(stddev_samp(y), 6) as clim_sigma from j where dd <= 15 or dd >= 351 group by 1, 2 having count(*) >= 20""",
     "errors",
 )
 def clim_baseline(t: Tables) -> DataFrame:
-    truth = t.errors.where("model = 0").select("station_icao", "local_date", F.col("e").alias("y_c"))
-    return r6(model.clim_baseline(truth.where(F.year("local_date") == 1995), truth, 3), "clim_mu", "clim_sigma")
-
-
-@query()
-def clim_baseline_all(t: Tables) -> DataFrame:
-    """All days of all stations by the operator's own least count; clim_baseline and its SQL hold one year of half of them, so rows only."""
+    """All days of all stations, by the operator's own least count."""
     truth = t.errors.select("station_icao", "local_date", F.col("e").alias("y_c"))
     return r6(model.clim_baseline(truth, truth), "clim_mu", "clim_sigma")
 
