@@ -166,15 +166,14 @@ def obs_so_far(t: Tables) -> DataFrame:
 
 
 @query(
-    """, j as (select k.station_icao, k.local_date, t.e as y, abs(extract(doy from k.local_date) - extract(doy from t.local_date)) as dd from errors k join errors t on t.station_icao = k.station_icao and t.local_date <= k.local_date - interval 4 day)
-    select station_icao, local_date, round(avg(y), 4) as clim_mu, round(stddev_samp(y), 4) as clim_sigma from j where dd <= 15 or dd >= 351 group by 1, 2 having count(*) >= 20""",
+    """, j as (select k.station_icao, k.local_date, t.e * 0.987654321 as y, abs(extract(doy from k.local_date) - extract(doy from t.local_date)) as dd from errors k join errors t on t.station_icao = k.station_icao and t.local_date <= k.local_date - interval 4 day)
+    select station_icao, local_date, round(avg(y), 6) as clim_mu, round(stddev_samp(y), 6) as clim_sigma from j where dd <= 15 or dd >= 351 group by 1, 2 having count(*) >= 20""",
     "errors",
 )
 def clim_baseline(t: Tables) -> DataFrame:
-    """All days of all stations, by the operator's own least count."""
-    truth = t.errors.select("station_icao", "local_date", F.col("e").alias("y_c"))
-    out = model.clim_baseline(truth, truth)
-    return out.withColumns({c: F.round(c, 4) for c in ("clim_mu", "clim_sigma")})
+    """All days of all stations, by the operator's own least count. The factor keeps means off the halves that rounding splits."""
+    truth = t.errors.select("station_icao", "local_date", (F.col("e") * 0.987654321).alias("y_c"))
+    return r6(model.clim_baseline(truth, truth), "clim_mu", "clim_sigma")
 
 
 @query(
