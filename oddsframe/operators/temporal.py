@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from oddsframe.functions.exprs import interval, micros, micros_of
 
 
+#: Windows that a chunk of a key's time line is wide in range sums.
+WINDOWS_A_CHUNK = 16
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -52,11 +56,17 @@ def asof_join(
 
 
 def range_sum(probes: DataFrame, points: DataFrame, by: str, probe_time: str, point_time: str, value: str, after: timedelta, until: timedelta) -> DataFrame:
-    """probes with `__sum`: the sum of points' values with time in (t + after, t + until], null where there are none."""
-    cols = probes.columns
-    a = probes.select(F.col(by).alias("__k"), micros(probe_time).alias("__t"), F.lit(None).cast("double").alias("__x"), F.struct(*cols).alias("__l"))
-    b = points.select(F.col(by).alias("__k"), micros(point_time).alias("__t"), F.col(value).cast("double").alias("__x"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"))
-    near = Window.partitionBy("__k").orderBy("__t").rangeBetween(micros_of(after) + 1, micros_of(until))
+    """probes with `__sum`: the sum of points' values with time in (t + after, t + until], null where there are none.
+
+    A key's time line is cut into chunks of many windows, and a point goes to each chunk whose probes it can be near to, seldom more than one: so a hot
+    key is dealt to many tasks."""
+    cols, low, high = probes.columns, micros_of(after), micros_of(until)
+    width = max(WINDOWS_A_CHUNK * (high - low), 1)
+    chunk = lambda t: F.floor(t / width)
+    t, p = micros(probe_time), micros(point_time)
+    a = probes.select(F.col(by).alias("__k"), chunk(t).alias("__c"), t.alias("__t"), F.lit(None).cast("double").alias("__x"), F.struct(*cols).alias("__l"))
+    b = points.where(F.col(point_time).isNotNull()).select(F.col(by).alias("__k"), F.explode(F.sequence(chunk(p - high), chunk(p - low))).alias("__c"), p.alias("__t"), F.col(value).cast("double").alias("__x"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"))
+    near = Window.partitionBy("__k", "__c").orderBy("__t").rangeBetween(low + 1, high)
     return a.unionByName(b).withColumn("__sum", F.sum("__x").over(near)).where("__l is not null").select("__l.*", "__sum")
 
 

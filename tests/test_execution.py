@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from oddsframe.functions.exprs import band, band_labels, taker_fee
 from oddsframe.operators import execution as E
-from tests.frames import at, rows
+from tests.frames import T0, at, rows
 
 TRADES = "market_id string, ts timestamp, side string, outcome_index int, price double, size double"
 
@@ -87,3 +87,21 @@ def test_asof_ties_take_the_last_by_value_and_chunks_agree(spark):
         want.append((x.k, x.u, max(before)[1] if before else None))
     for chunk in (None, timedelta(hours=7)):
         assert rows(asof_join(left, right, ["k"], "u", "t", {"seq": "seq"}, ties=["seq"], chunk=chunk), "k", "u", "seq") == sorted(want, key=str)
+
+
+def test_range_sums_over_chunks_equal_brute_force(spark, monkeypatch):
+    import random
+
+    from oddsframe.operators import temporal
+
+    r = random.Random(4)
+    probes = [("a" if r.random() < 0.8 else "b", T0 + timedelta(minutes=r.randrange(6000))) for _ in range(200)]
+    points = [("a" if r.random() < 0.8 else "b", T0 + timedelta(minutes=r.randrange(6000)), float(r.randrange(9))) for _ in range(500)] + [("a", None, 5.0)]
+    left = spark.createDataFrame([(i, *x) for i, x in enumerate(probes)], "i int, k string, t timestamp")
+    right = spark.createDataFrame(points, "k string, t timestamp, x double")
+    for windows in (1, 16):
+        monkeypatch.setattr(temporal, "WINDOWS_A_CHUNK", windows)
+        out = {x.i: x["__sum"] for x in temporal.range_sum(left, right, "k", "t", "t", "x", timedelta(minutes=-30), timedelta(minutes=60)).collect()}
+        for i, (k, t) in enumerate(probes):
+            near = [x for k2, p, x in points if p is not None and k2 == k and t - timedelta(minutes=30) < p <= t + timedelta(minutes=60)]
+            assert out[i] == (sum(near) if near else None)
