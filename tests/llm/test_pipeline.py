@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -37,6 +39,49 @@ def test_stages_drop_what_was_planted_and_nothing_else(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == keep
 
 
+def test_the_whole_pipeline_equals_brute_force(spark, tmp_path):
+    """What toxicity leaves is taken as given (its accuracy is tested by itself); the rest is done anew by plain loops."""
+    import random
+
+    from oddsframe.llm import decontaminate as D
+
+    r, folder = random.Random(7), str(tmp_path)
+    fixture(spark, folder)
+    items = [(i, words(9000 + i, 15 + i)) for i in range(12)]
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    for k in range(60):  # near copies of all degrees, copies in other white space, benchmark items with edits
+        w = words(k, 120).split()
+        for _ in range(k % 12):
+            w[r.randrange(len(w))] = words(r.randrange(10**6), 1)
+        rows.append((1000 + k, " ".join(w) if k % 3 else "\t\n".join(w)))
+        item = list(items[k % 12][1])
+        for _ in range(k % 5):
+            item[r.randrange(len(item))] = "q"
+        rows.append((2000 + k, f"{words(3000 + k, 50)} {''.join(item)} {words(4000 + k, 50)}"))
+    rows += [(None, "a text without an id"), (5000, None), (5001, ""), (5002, " ")]
+    other = tmp_path / "more"
+    other.mkdir()
+    documents(spark, rows).write.parquet(f"{other}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{other}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{other}/benchmark.parquet")
+    clean = [(x.doc_id, x.text) for x in corpus_pipeline.toxicity_stage(spark, spark.read.parquet(f"{other}/documents.parquet"), str(other)).collect()]
+    assert 400 > len(clean) > 150
+    by_text: dict = {}
+    for i, t in clean:
+        by_text.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append((i, t))
+    unique = [min(g, key=lambda x: (x[0] is None, x[0])) for g in by_text.values()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else None for i, t in unique if i is not None}
+    known = [i for i, x in sets.items() if x]
+    links = [(a, b) for a in known for b in known if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    top = union_find(known, links)
+    left = [(i, t) for i, t in unique if top.get(i, i) == i]
+    patterns = [D._trimmed(D.normalise(t)[0]) for _, t in items]
+    leaks = {i for i, t in left for p in patterns if D.edit_search(p, D.normalise(t or "")[0])[0] <= int(D.EDITS * len(p))}
+    want = sorted(str(i) for i, _ in left if i not in leaks)
+    assert len(links) > 10 and len(leaks) > 20
+    assert sorted(str(x.doc_id) for x in corpus_pipeline.run(spark, str(other)).collect()) == want
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     fixture(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
