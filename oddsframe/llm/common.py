@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,21 +136,21 @@ def sieve_of(values: DataFrame, column: str) -> Callable[[Column], Column]:
     width = min(SIEVE_MOST, max(16, math.ceil(math.log2(max(1, values.count()) * SIEVE_BITS))))
     places = lambda v: [F.pmod(F.xxhash64(v, F.lit(k)), F.lit(1 << width)) for k in (1, 2)]
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+    def part(rows: pa.Table) -> pa.Table:
         bits = np.zeros(1 << 16, dtype=bool)
-        bits[pdf["place"].to_numpy() & 0xFFFF] = True
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        bits[rows["place"].to_numpy() & 0xFFFF] = True
+        return pa.table({"part": rows["part"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     at = values.select(F.explode(F.array(*places(F.col(column)))).alias("place")).distinct().withColumn("part", F.shiftright("place", 16).cast("int"))
     table = np.zeros((1 << (width - 16), 1 << 13), dtype=np.uint8)
-    for r in at.groupBy("part").applyInPandas(part, "part int, bits binary").toLocalIterator():
+    for r in at.groupBy("part").applyInArrow(part, "part int, bits binary").toLocalIterator():
         table[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
     shared = values.sparkSession.sparkContext.broadcast(table.ravel())
 
-    @F.pandas_udf("boolean")
-    def passes(one: pd.Series, two: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def passes(one: pa.Array, two: pa.Array) -> pa.Array:
         bit = lambda p: shared.value[p >> 3] >> (p & 7) & 1
-        return pd.Series(bit(one.to_numpy()) & bit(two.to_numpy()) != 0)
+        return pa.array(bit(one.to_numpy()) & bit(two.to_numpy()) != 0)
 
     return lambda v: passes(*places(v))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,23 +107,23 @@ def fuse_contains(raw: bytes, keys: np.ndarray) -> np.ndarray:
 def build_filters(groups: DataFrame, buckets: int) -> DataFrame:
     """(bucket, cells binary): a filter for each bucket of the digests (column key: long)."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(pdf["key"].to_numpy(dtype=np.int64).view(np.uint64))
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "cells": [fuse_filter(keys)]})
+    def build(rows: pa.Table) -> pa.Table:
+        keys = np.unique(rows["key"].to_numpy().view(np.uint64))
+        return pa.table({"bucket": rows["bucket"][:1], "cells": pa.array([fuse_filter(keys)], pa.binary())})
 
-    return groups.select("key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")).groupBy("bucket").applyInPandas(build, "bucket int, cells binary")
+    return groups.select("key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")).groupBy("bucket").applyInArrow(build, "bucket int, cells binary")
 
 
 def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     """incoming (sha, key) that may be in the snapshot: (sha)."""
 
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
-            return pd.DataFrame({"sha": []}, dtype=object)
-        return left.loc[fuse_contains(right["cells"].iloc[0], left["key"].to_numpy(dtype=np.int64).view(np.uint64)), ["sha"]]
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return left.select(["sha"]).slice(0, 0)
+        return left.select(["sha"]).filter(pa.array(fuse_contains(right["cells"][0].as_py(), left["key"].to_numpy().view(np.uint64))))
 
     dealt = incoming.select("sha", "key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"))
-    return dealt.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "sha string")
+    return dealt.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, "sha string")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,20 +252,23 @@ def evolution(cut: DataFrame, size: int = SIZE, epochs: int = EPOCHS) -> DataFra
     state = problems.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "lens", F.array().cast("array<binary>").alias("people"), F.lit(0).cast("long").alias("crossovers"))
     shards = int(cut.agg(F.max("shard")).first()[0] or 0) + 1
 
-    def live(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                lengths = np.repeat([x["length"] for x in r.lens], [x["n"] for x in r.lens]).astype(np.int64)
-                here = Island(lengths, size, (int(r.shard) * ISLANDS + int(r.island)) * 1000 + int(r.crossovers), [_decoded(p) for p in r.people])
-                here.crossovers = int(r.crossovers)
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                shard, island, lens, people, crossovers = (one.column(c)[0].as_py() for c in ("shard", "island", "lens", "people", "crossovers"))
+                lengths = np.repeat([x["length"] for x in lens], [x["n"] for x in lens]).astype(np.int64)
+                here = Island(lengths, size, (shard * ISLANDS + island) * 1000 + crossovers, [_decoded(p) for p in people])
+                here.crossovers = crossovers
                 here.evolve(GENERATIONS)
                 bins, fill = fitness(here.best, lengths, size)
-                yield pd.DataFrame({"shard": [r.shard], "island": [r.island], "lens": [r.lens], "people": [[_coded(p) for p in here.people]], "crossovers": [here.crossovers], "bins": [-bins], "fill": [fill]})
+                told = [pa.array([[_coded(p) for p in here.people]], pa.list_(pa.binary())), pa.array([here.crossovers], pa.int64()), pa.array([-bins], pa.int32()), pa.array([fill], pa.float64())]
+                yield pa.record_batch([*(one.column(c) for c in ("shard", "island", "lens")), *told], names=["shard", "island", "lens", "people", "crossovers", "bins", "fill"])
 
     for _ in range(epochs):
         # work, not bytes, is to be dealt: a stated number of partitions isn't coalesced
         dealt = state.repartition(min(shards * ISLANDS, MOST_PARTS), "shard", "island")
-        lived = materialise(dealt.mapInPandas(live, _STATE), "islands")
+        lived = materialise(dealt.mapInArrow(live, _STATE), "islands")
         guests = lived.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("people")[0].alias("guest"))
         state = lived.join(guests, ["shard", "island"]).select("shard", "island", "lens", F.array_append("people", F.col("guest")).alias("people"), "crossovers")
     return lived
@@ -280,15 +282,15 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, keep_ids: b
     found = evolution(dealt, size)
     best = found.groupBy("shard").agg(F.min_by(F.col("people")[0], F.struct("bins", -F.col("fill"), "island")).alias("elite"))
 
-    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["length", "uid"])
-        lengths, bins = left["length"].to_numpy(), _decoded(right["elite"].iloc[0])
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("length", "ascending"), ("uid", "ascending")])
+        lengths, bins = left["length"].to_numpy(), _decoded(right["elite"][0].as_py())
         order = np.argsort(bins, kind="stable")
         before = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
         first = np.searchsorted(bins[order], np.arange(int(bins.max()) + 1))
-        offset = np.empty(len(left), dtype=np.int64)
+        offset = np.empty(len(lengths), dtype=np.int64)
         offset[order] = before - before[first][bins[order]]
-        return pd.DataFrame({"uid": left["uid"], "sequence_id": (int(left["shard"].iloc[0]) << 24) + bins, "offset": offset})
+        return pa.table({"uid": left["uid"], "sequence_id": (left["shard"][0].as_py() << 24) + bins, "offset": offset})
 
-    slots = dealt.select("shard", "uid", "length").groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(place, "uid long, sequence_id long, offset long")
+    slots = dealt.select("shard", "uid", "length").groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(place, "uid long, sequence_id long, offset long")
     return cut.join(slots, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -272,12 +271,13 @@ def across(members: DataFrame, side: DataFrame, similarity: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.withColumn("block", block).withColumn("other", other).select("key", "whole", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = grown_together([np.asarray(x) for x in pdf["shingles"]], pdf["component"].to_numpy(), similarity)
-        whole = pdf["whole"].to_numpy()
-        return pd.DataFrame({"a": [whole[i] for i, _ in rows], "b": [whole[j] for _, j in rows]}, dtype=np.int64)
+    def compare(rows: pa.Table) -> pa.Table:
+        sets = [x.values.to_numpy() for x in rows["shingles"]]
+        links = np.array(grown_together(sets, rows["component"].to_numpy(), similarity), dtype=np.int64).reshape(-1, 2)
+        whole = rows["whole"].to_numpy()
+        return pa.table({"a": whole[links[:, 0]], "b": whole[links[:, 1]]})
 
-    return dealt.join(side, "whole").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.join(side, "whole").groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def grown_together(sets: list[np.ndarray], component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
