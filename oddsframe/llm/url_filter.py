@@ -25,7 +25,9 @@ from oddsframe.llm.common import materialise, spread_join
 #: The contract's rules: verdict, host with path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Of the ensemble, and folds of the labelled URLs.
-TREES, DEPTH, RATE, RIDGE, FOLDS = 16, 3, 0.4, 1.0, 5
+TREES, DEPTH, RATE, RIDGE, FOLDS = 10, 3, 0.5, 1.0, 5
+#: Distinct vectors that one task sums up.
+TOGETHER = 200_000
 #: Bins of a feature, at most: it is cut at quantiles of the labelled URLs.
 BINS = 16
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "params", "entropy", "host_entropy", "page_number", "suffix_rate", "section_rate")
@@ -187,7 +189,9 @@ class Ensemble:
         rated = materialise(with_rates(labelled, self.rates), "labelled")
         self.cuts = cuts_of(rated)
         vectors = _bins(rated, self.cuts).groupBy(*[f"b_{f}" for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("label").alias("positive"))
-        self.model = fit(materialise(vectors, "vectors"))
+        vectors = materialise(vectors, "vectors")
+        # few vectors are summed up in one task, without a shuffle a level
+        self.model = fit(vectors.coalesce(1) if vectors.count() <= TOGETHER else vectors)
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows with the probability p of block."""
