@@ -7,11 +7,10 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.functions import exprs as X
 from oddsframe.operators import backtest as B
 from oddsframe.operators import execution as E
 from oddsframe.operators import scan, snapshots, stats
-from oddsframe.plans.core import _ORDERS, _ROI, _SIM, BAND, DAYS, _made_costs, _scored, query, r6
+from oddsframe.plans.core import _ORDERS, _ROI, _SIM, DAYS, _made_costs, _scored, query, r6
 from oddsframe.plans.domain import _OBS, _obs, _stations
 from oddsframe.plans.views import Tables
 from oddsframe.plugins import LogitSharpen, without_outcomes
