@@ -32,8 +32,8 @@ from oddsframe.llm.common import materialise, parts_for
 SIZE, CLOSING_ID = 4096, 1
 #: Pieces a shard, about; islands, packings an island, generations between migrations, and epochs (one migration fewer).
 SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 20_000, 3, 4, 8, 4
-#: Partitions that islands are dealt to, at most; more islands share a task.
-MOST_PARTS = 20_000
+#: Islands a task, about: an epoch of one takes less time than a task's start. Partitions that islands are dealt to, at most.
+TOGETHER, MOST_PARTS = 4, 20_000
 #: Words whose ids a worker keeps.
 CACHE = 300_000
 #: Texts of these characters alone are split here; in them no other rule of the tokenizer's normaliser applies than lower case and white space.
@@ -149,8 +149,10 @@ def best_fit(order: np.ndarray, lengths: np.ndarray, bins: np.ndarray, size: int
     apart = np.ones(len(lengths), dtype=bool)
     apart[order] = False
     out = np.empty(len(lengths), dtype=np.int64)
-    _, out[apart] = np.unique(bins[apart], return_inverse=True)
-    rooms = size - np.bincount(out[apart], weights=lengths[apart]).astype(np.int64) if apart.any() else np.zeros(0, dtype=np.int64)
+    kept = bins[apart]
+    used = np.bincount(kept) > 0
+    out[apart] = (np.cumsum(used) - 1)[kept]
+    rooms = size - np.bincount(kept, weights=lengths[apart]).astype(np.int64)[used]
     free = np.sort((rooms << 24) + np.arange(len(rooms)))[np.count_nonzero(rooms == 0) :].tolist()
     n, found = len(rooms), []
     for x in lengths[order].tolist():
@@ -267,7 +269,7 @@ def evolution(cut: DataFrame, size: int = SIZE, epochs: int = EPOCHS) -> DataFra
 
     for _ in range(epochs):
         # work, not bytes, is to be dealt: a stated number of partitions isn't coalesced
-        dealt = state.repartition(min(shards * ISLANDS, MOST_PARTS), "shard", "island")
+        dealt = state.repartition(min(parts_for(shards * ISLANDS, TOGETHER), MOST_PARTS), "shard", "island")
         lived = materialise(dealt.mapInArrow(live, _STATE), "islands")
         guests = lived.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("people")[0].alias("guest"))
         state = lived.join(guests, ["shard", "island"]).select("shard", "island", "lens", F.array_append("people", F.col("guest")).alias("people"), "crossovers")
