@@ -2,7 +2,7 @@
 
 Words, and stems of their first STEMS letters, get log-odds of toxic against clean labels, smoothed by an informative Dirichlet prior and less one standard
 error. A token of a text is a word in its likeliest form, the word itself or one of its stems; where no form's log-odds are sure it scores DRIFT. (Inflected words are
-new too often for whole words alone; the README has figures.) A linear-time scan (all maximal scoring subsequences) finds every
+new too often for one form alone; the README has figures.) A linear-time scan (all maximal scoring subsequences) finds every
 passage whose score can't be raised by shortening or lengthening it.
 
 Passages are aggregated by extreme-value calibration. Among clean texts the best passage of n tokens follows P(S >= s) = 1 - exp(-K n exp(-decay s)); both
