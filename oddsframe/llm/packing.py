@@ -21,6 +21,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ TOGETHER, MOST_PARTS = 4, 20_000
 CACHE = 300_000
 #: Texts of these characters alone are split here; in them no other rule of the tokenizer's normaliser applies than lower case and white space.
 _PLAIN = re.compile(r"[\t\n\r -~¡¿«»À-ÖØ-öø-ÿŒœ–—‘’“”…€]*")
-_WORD = re.compile(r"[a-zß-öø-ÿœ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
+_WORD = re.compile(r"[a-zß-öø-ÿœ]++|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿœ0-9]++")
 
 
 #: How a file that _WORD serves normalises and splits (fixed values of the public tokenizer).
@@ -100,12 +101,15 @@ class Tokenizer:
         if len(known) > CACHE:
             known.clear()
         split = [_WORD.findall(t.lower()) if self.by_words and _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = list(set(chain.from_iterable(s for s in split if s)) - known.keys())
+        new = [w for w in set(chain.from_iterable(s for s in split if s)) if w not in known]
         for at in range(0, len(new), 2_000):
             self._learn(new[at : at + 2_000])
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         for t, s in zip(texts, split, strict=True):
-            yield (b"".join(map(known.__getitem__, s)) if s is not None else np.array(self.whole(t), dtype="<u4").tobytes()) + closing
+            if s is None:
+                yield np.array(self.whole(t), dtype="<u4").tobytes() + closing
+            else:
+                yield (b"".join(itemgetter(*s)(known)) if len(s) > 1 else known[s[0]] if s else b"") + closing
 
 
 @cache
