@@ -125,6 +125,17 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return many.join(each, [key, "__part"], how).drop("__part")
 
 
+#: Rows, and bytes of keys, of a table that attach broadcasts at most.
+ATTACHED_ROWS, ATTACHED_BYTES = 50_000, 8 << 20
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts, a table of one row a key. facts goes to all tasks if its rows are few and its keys short; else the rows are shuffled,
+    those of a hot key dealt to several parts. A row without facts has null ones."""
+    n, long = facts.agg(F.count("*"), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    return rows.join(F.broadcast(facts), key, "left") if n <= ATTACHED_ROWS and (long or 0) <= ATTACHED_BYTES else spread_join(rows, facts, key, "left")
+
+
 #: Bits of a sieve a value, and in all, at most (32 MB).
 SIEVE_BITS, SIEVE_MOST = 16, 28
 

@@ -40,6 +40,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": _with("labels", "toxicity", "score_toxicity"),
     "op9_packing": _table("documents", "packing", "pack"),
     "op10_secrets": _table("documents", "secrets", "find_secrets"),
+    "op11_vector_codes": _table("embeddings", "vector_codes", "compress"),
+    "op12_golden_records": _table("clients", "survivorship", "golden_records"),
+    "op13_source_mix": _table("documents", "mixing", "mix"),
 }
 
 ORACLES: dict[str, str] = {
@@ -56,6 +59,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oddsframe.llm import chat
+    from oddsframe.llm import chat, mixing, survivorship, vector_codes
 
-    return ORACLES | {"op7_chat_format": chat.ORACLE_SQL}
+    return ORACLES | {"op7_chat_format": chat.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_golden_records": survivorship.ORACLE_SQL, "op13_source_mix": mixing.ORACLE_SQL}
