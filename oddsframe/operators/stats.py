@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsframe.functions.exprs import EPS, divide, log_loss, norm_sf_sql
 
 N_BOOT, SEED = 2000, 7
-#: Resampled blocks held at once, so that memory doesn't follow repetitions x blocks.
-BOOT_CELLS = 4_000_000
+#: Weights of resampled blocks are numbers below this prime; its square fits a long.
+BOOT_PRIME = 2**31 - 1
 
 
 def _cells(clusters: DataFrame, keys: list[str], extra: list[Column] | None = None) -> DataFrame:
@@ -89,38 +88,73 @@ def bonferroni_threshold(alpha: float, n_tests: int) -> float:
     return alpha / max(n_tests, 1)
 
 
+def poisson_steps(modulus: int = BOOT_PRIME) -> list[int]:
+    """Where a number uniform in 0 .. modulus - 1 has to be at least for a Poisson variable of mean 1 to be over 0, over 1 and so on."""
+    out, upto, term, k = [], 0.0, math.exp(-1), 0
+    while not out or out[-1] < modulus - 1:
+        upto += term
+        k += 1
+        term /= k
+        out.append(min(math.ceil(upto * modulus), modulus - 1))
+    return out[:-1]
+
+
+def block_weights(blocks: DataFrame, block: str, n_boot: int, seed: int) -> DataFrame:
+    """Each row of blocks once for each repetition __rep of 0 .. n_boot, with its weight __w: how often the block is drawn, 1 in repetition 0.
+
+    A weight is a Poisson variable of mean 1, from a hash of (seed, block, repetition) alone: the block's digest gives three numbers, the coefficients of a
+    polynomial in the repetition modulo a prime. So weights are independent over blocks and, three by three, over repetitions, don't depend on how rows are dealt,
+    and are whole-number arithmetic that any SQL engine repeats.
+    """
+    seen = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(block).cast("string"), F.lit("null"))).cast("binary"))
+    digits = lambda k: F.conv(F.substring(seen, 8 * k + 1, 8), 16, 10).cast("long") % BOOT_PRIME
+    rows = blocks.withColumns({f"__h{k}": digits(k) for k in range(3)})
+    rows = rows.withColumn("__rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot).cast("long"))))
+    x = ((F.col("__h2") * F.col("__rep") % BOOT_PRIME + F.col("__h1")) * F.col("__rep") + F.col("__h0")) % BOOT_PRIME
+    rows = rows.withColumn("__x", x).drop("__h0", "__h1", "__h2")
+    drawn = sum(((F.col("__x") >= step).cast("long") for step in poisson_steps()), F.lit(0).cast("long"))
+    return rows.withColumn("__w", F.when(F.col("__rep") == 0, F.lit(1).cast("long")).otherwise(drawn)).drop("__x")
+
+
 def block_ci(df: DataFrame, num: str, den: str | None, block: str, group: list[str] | None = None, n_boot: int = N_BOOT, seed: int = SEED, level: float = 0.95) -> DataFrame:
     """(group, point, lo, hi): sum(num) / sum(den), or sum(num), with a percentile interval from resampled blocks.
 
-    Blocks are summed in the JVM; a group's block sums - not its rows - are resampled in one task, repetition by repetition in bounded
-    memory. Fewer than two blocks give no interval. Blocks are sorted, so that the result doesn't depend on how rows are dealt.
+    All in the JVM: rows are summed to blocks, each block gets its weight in every repetition (`block_weights`), and weighted sums are added up by (group,
+    repetition), each task first by itself; so a group may have any number of blocks, and no task holds them. Sums without den are scaled to the number of
+    blocks that there are, as if exactly so many had been drawn. Fewer than two blocks give no interval; repetitions without a value don't count.
     """
     keys = group or []
-    sums = df.groupBy(*keys, block).agg(F.coalesce(F.sum(num), F.lit(0)).cast("double").alias("__a"), (F.coalesce(F.sum(den), F.lit(0)) if den else F.lit(1)).cast("double").alias("__b"))
-    sums = sums.select(*keys, F.col(block).cast("string").alias("__block"), "__a", "__b")
-    if not keys:
-        sums = sums.withColumn("__all", F.lit(0))
     by = keys or ["__all"]
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block")
-        a, b = pdf["__a"].to_numpy(), pdf["__b"].to_numpy()
-        n, top, low = len(a), a.sum(), b.sum() if den else 1.0
-        out = {k: [pdf[k].iloc[0]] for k in by}
-        point = top / low if low else None
-        if n < 2:
-            return pd.DataFrame(out | {"point": [point], "lo": [None], "hi": [None]})
-        rng, boot, step = np.random.default_rng(seed), [], max(1, BOOT_CELLS // n)
-        for at in range(0, n_boot, step):
-            idx = rng.integers(0, n, (min(step, n_boot - at), n))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                boot.append(a[idx].sum(1) / (b[idx].sum(1) if den else 1.0))
-        q = (1 - level) / 2 * 100
-        lo, hi = np.percentile(np.concatenate(boot), [q, 100 - q])
-        return pd.DataFrame(out | {"point": [point], "lo": [float(lo)], "hi": [float(hi)]})
-
-    kinds = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in by)
-    return sums.groupBy(*by).applyInPandas(resample, f"{kinds}, point double, lo double, hi double").drop("__all")
+    rows = df if keys else df.withColumn("__all", F.lit(0))
+    zero = F.lit(0.0)
+    sums = rows.groupBy(*by, F.col(block).alias("__block")).agg(F.coalesce(F.sum(num).cast("double"), zero).alias("__a"), (F.coalesce(F.sum(den).cast("double"), zero) if den else zero).alias("__b"))
+    # blocks are few bytes but much work: dealt to all cores before they are repeated
+    sums = sums.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = lambda c: F.sum(F.col(c) * F.col("__w"))
+    each = block_weights(sums, "__block", n_boot, seed).groupBy(*by, "__rep").agg(total("__a").alias("__a"), total("__b").alias("__b"), F.sum("__w").alias("__w"), F.count("*").alias("__n"))
+    value = divide(F.col("__a"), F.col("__b")) if den else divide(F.col("__a") * F.col("__n"), F.col("__w"))
+    each = each.withColumn("__v", value)
+    tail = (1 - level) / 2
+    drawn = F.when((F.col("__rep") > 0) & (F.col("__n") > 1), F.col("__v"))
+    out = each.groupBy(*by).agg(F.max(F.when(F.col("__rep") == 0, F.col("__v"))).alias("point"), F.percentile(drawn, F.array(F.lit(tail), F.lit(1 - tail))).alias("__ci"))
+    return out.select(*keys, "point", F.col("__ci")[0].alias("lo"), F.col("__ci")[1].alias("hi"))
+
+
+def block_ci_sql(rows: str, num: str, den: str | None, block: str, group: list[str], n_boot: int = N_BOOT, seed: int = SEED, level: float = 0.95) -> str:
+    """A query with the columns of block_ci over a named table, in the SQL of the engine that checks results."""
+    by, tail = "".join(f"{g}, " for g in group), (1 - level) / 2
+    drawn = " + ".join(f"(x >= {step})::bigint" for step in poisson_steps())
+    hashes = ", ".join(f"cast('0x' || substr(seen, {8 * k + 1}, 8) as bigint) % {BOOT_PRIME} as h{k}" for k in range(3))
+    value = "case when sum(b * w) <> 0 then sum(a * w) / sum(b * w) end" if den else "case when sum(w) <> 0 then sum(a * w) * count(*) / sum(w) end"
+    grouped = f"group by {', '.join(group)}" if group else "having count(*) > 0"
+    return f"""
+        select {by}max(case when rep = 0 then v end) as point, quantile_cont(case when rep > 0 and n > 1 then v end, {tail}) as lo, quantile_cont(case when rep > 0 and n > 1 then v end, {1 - tail}) as hi from (
+          select {by}rep, {value} as v, count(*) as n from (
+            select *, case when rep = 0 then 1 else {drawn} end as w from (
+              select *, ((h2 * rep % {BOOT_PRIME} + h1) * rep + h0) % {BOOT_PRIME} as x from (
+                select *, {hashes} from (
+                  select {by}coalesce(cast(sum({num}) as double), 0) as a, {f'coalesce(cast(sum({den}) as double), 0)' if den else '0.0'} as b, md5('{seed}:' || coalesce(cast({block} as varchar), 'null')) as seen
+                  from {rows} group by {by}{block})), (select unnest(range({n_boot + 1})) as rep))) group by {by}rep) {grouped}"""
 
 
 def ratio_ci(df: DataFrame, num: str, den: str, block: str, **options) -> DataFrame:

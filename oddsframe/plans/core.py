@@ -342,31 +342,11 @@ def _scored(t: Tables) -> DataFrame:
     return d.withColumns({"q_market": F.when(F.col("neg_risk"), share).otherwise(F.col("p")), "p_model": F.least(F.greatest(F.col("p") * F.col("p") + 0.1, F.lit(0.01)), F.lit(0.99))})
 
 
-@query()
-def head_to_head(t: Tables) -> DataFrame:
-    """Mean losses by category with a block bootstrap; random, so rows only."""
-    return stats.head_to_head(stats.outcome_losses(_scored(t)).withColumn("block", F.to_date("decision_time")), "category", "block", 400)
-
-
-@query()
-def bootstrap_roi(t: Tables) -> DataFrame:
-    return B.bootstrap(B.simulate(t.panel))
-
-
 @query()
 def sample_markets(t: Tables) -> DataFrame:
     return scan.sample_markets(t.markets.withColumn("token0", F.lit("t")), events_per_category=5, markets_per_event=1).select("market_id", "event_id", "category")
 
 
-@query()
-def holdout_evaluate(t: Tables) -> DataFrame:
-    """All candidates and execution variants in one job; random, so rows only."""
-    rows = t.cells_in.join(t.markets.select("market_id", F.col("end_ts").alias("event_end"), "series_slug", "fee_exponent"), "market_id").withColumns({"target_ts": F.col("event_end"), "event_slug": F.col("series_slug"), "band": X.band("p")})
-    rows = rows.withColumn("target_ts", F.col("target_ts") - F.expr("interval 5 days"))
-    frozen = scan.frozen_frame(t.spark, [{"category": c, "band": b, "snapshot": "ALL", "side": s} for c, b, s in (("ALL", "35-50", "NO"), ("c1", "20-35", "YES"), ("ALL", "0-1", "NO"))])
-    return scan.evaluate(rows, frozen, t.trades, None, 50, DAYS(3), 200)
-
-
 @query(
     """select station_icao, model, local_date, round(avg(e) over w, 9) as bias, round(avg(e * e) over w, 4) as mse from errors
        window w as (partition by station_icao, model order by local_date range between interval 33 day preceding and interval 4 day preceding)""",

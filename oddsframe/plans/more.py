@@ -45,7 +45,7 @@ def summary_by_band(t: Tables) -> DataFrame:
 
 
 _LL = "-ln(least(greatest({x}, 0.0001), 1.0))"
-_LOSSES = f""", n as (select event_id, market_id, category, neg_risk, winner, p, case when neg_risk then p / sum(p) over (partition by event_id, decision_time) else p end as q, least(greatest(p * p + 0.1, 0.01), 0.99) as m from daily where p is not null),
+_LOSSES = f""", n as (select event_id, market_id, category, decision_time, neg_risk, winner, p, case when neg_risk then p / sum(p) over (partition by event_id, decision_time) else p end as q, least(greatest(p * p + 0.1, 0.01), 0.99) as m from daily where p is not null),
     l as (select *, case when neg_risk then {_LL.format(x='q')} when winner = 0 then {_LL.format(x='p')} else {_LL.format(x='1 - p')} end as a, case when neg_risk or winner = 0 then {_LL.format(x='m')} else {_LL.format(x='1 - m')} end as b from n where not neg_risk or winner = 0)"""
 
 
@@ -56,6 +56,29 @@ def head_to_head_means(t: Tables) -> DataFrame:
     return r6(out.select("group", "n", "events", "ll_market", "ll_model", "model_minus_market"), "ll_market", "ll_model", "model_minus_market")
 
 
+@query(
+    f"""{_LOSSES}, d as (select category, cast(decision_time as date) as day, b - a as diff, 1.0 as one from l),
+    g as (select category as "group", count(*) as n, count(distinct event_id) as events, round(avg(a), 6) as ll_market, round(avg(b), 6) as ll_model from l group by 1),
+    i as ({stats.block_ci_sql('d', 'diff', 'one', 'day', ['category'], 400)})
+    select g.*, round(i.point, 6) as model_minus_market, round(i.lo, 6) as ci_lo, round(i.hi, 6) as ci_hi from g join i on i.category = g."group" """,
+    "daily",
+)
+def head_to_head(t: Tables) -> DataFrame:
+    """Mean losses by category with intervals from resampled days."""
+    out = stats.head_to_head(stats.outcome_losses(_scored(t)).withColumn("block", F.to_date("decision_time")), "category", "block", 400)
+    return r6(out, "ll_market", "ll_model", "model_minus_market", "ci_lo", "ci_hi")
+
+
+@query(
+    f""", {_SIM}, i as ({stats.block_ci_sql('trades_', 'pnl', None, 'day', [])}), j as ({stats.block_ci_sql('trades_', 'pnl', 'spend', 'day', [])})
+    select 'pnl' as what, round(point, 4) as point, round(lo, 4) as lo, round(hi, 4) as hi from i union all select 'roi', round(point, 4), round(lo, 4), round(hi, 4) from j""",
+    "panel",
+)
+def bootstrap_roi(t: Tables) -> DataFrame:
+    out = B.bootstrap(B.simulate(t.panel))
+    return out.select("what", *[F.round(c, 4).alias(c) for c in ("point", "lo", "hi")])
+
+
 @query(f", {_SIM} select 'pnl' as what, round(sum(pnl), 4) as point from trades_ union all select 'roi', round(sum(pnl) / sum(spend), 4) from trades_", "panel")
 def bootstrap_points(t: Tables) -> DataFrame:
     return B.bootstrap(B.simulate(t.panel)).select("what", F.round("point", 4).alias("point"))
@@ -182,6 +205,22 @@ def holdout_means(t: Tables) -> DataFrame:
     return r6(out.select("cand", "mid_n", "mid_events", "mid_roi", "mid_roi_wo_top5", "mid_top_series_share"), "mid_roi", "mid_roi_wo_top5", "mid_top_series_share")
 
 
+@query(
+    f""", {_HOLD}, v as (select *, case when fees_enabled then fee_rate * power(mid_price * (1 - mid_price), fee_exponent) else 0 end as fee from k where mid_price between 0.001 and 0.999),
+    u as (select cand, event_id, cast(event_end as date) as day, win - mid_price - fee as pnl, mid_price + fee as spend from v),
+    e as ({stats.block_ci_sql('u', 'pnl', 'spend', 'event_id', ['cand'], 200)}), d as ({stats.block_ci_sql('u', 'pnl', 'spend', 'day', ['cand'], 200)})
+    select cast(f.cand as int) as cand, round(e.point, 6) as mid_roi, round(e.lo, 6) as mid_event_id_lo, round(e.hi, 6) as mid_event_id_hi, round(d.lo, 6) as mid_day_lo, round(d.hi, 6) as mid_day_hi
+    from f left join e on e.cand = f.cand left join d on d.cand = f.cand""",
+    "cells_in", "markets",
+)
+def holdout_evaluate(t: Tables) -> DataFrame:
+    """The evaluation's returns at mid prices with their intervals by event and by day; all candidates and execution variants are one job."""
+    rows, frozen = _holdout(t)
+    out = scan.evaluate(rows, frozen, t.trades, None, 10**9, DAYS(3), 200)
+    names = ["mid_roi", "mid_event_id_lo", "mid_event_id_hi", "mid_day_lo", "mid_day_hi"]
+    return r6(out.select("cand", *names), *names)
+
+
 @query(
     """, s as (select s_suppkey as k, s_suppkey % 3 = 0 as a, s_suppkey % 7 as b from supplier)
     select k, not a and b < 3 as pass from s""",

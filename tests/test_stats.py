@@ -107,6 +107,36 @@ def test_block_bootstrap(spark):
     assert S.ratio_ci(df, "pnl", "spend", "day", group=["day"], n_boot=10).count() == 50
 
 
+def test_intervals_are_those_of_drawn_blocks(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(1, 4, 300), rng.uniform(1, 3, 300)
+    df = spark.createDataFrame([(f"d{i}", float(a[i]), float(b[i])) for i in range(300)], "day string, pnl double, spend double")
+    idx = rng.integers(0, 300, (4000, 300))
+    for got, drawn in ((S.ratio_ci(df, "pnl", "spend", "day").first(), a[idx].sum(1) / b[idx].sum(1)), (S.sum_ci(df, "pnl", "day").first(), a[idx].sum(1))):
+        lo, hi = np.percentile(drawn, [2.5, 97.5])
+        assert got.lo == pytest.approx(lo, abs=0.1 * (hi - lo)) and got.hi == pytest.approx(hi, abs=0.1 * (hi - lo))
+
+
+def test_weights_are_poisson_and_independent(spark):
+    rows = S.block_weights(spark.range(400).withColumnRenamed("id", "b"), "b", 300, 7)
+    assert {r["__w"] for r in rows.where("__rep = 0").collect()} == {1}
+    w = np.array([r["__w"] for r in rows.where("__rep > 0").orderBy("b", "__rep").collect()]).reshape(400, 300)
+    share = [float((w == k).mean()) for k in range(4)]
+    assert share == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.005)
+    off = lambda m: m[~np.eye(len(m), dtype=bool)]
+    for m in (np.corrcoef(w), np.corrcoef(w.T)):  # between blocks, between repetitions
+        assert abs(off(m).mean()) < 0.003 and off(m).std() < 0.08
+
+
+def test_intervals_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, 1.0), (2, None, 2.0, 0.0), (None, "a", None, None)], "day int, g string, x double, y double")
+    plan = S.ratio_ci(df, "x", "y", "day", group=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("Python", "Pandas", "Arrow", "Window", "SinglePartition"))
+    got = {r.g: r for r in S.ratio_ci(df, "x", "y", "day", group=["g"], n_boot=50).collect()}
+    assert got["a"].point == 1.0 and got["a"].lo == 1.0 and got[None].point is None and got[None].lo is None
+    assert S.sum_ci(df.where("false"), "x", "day").count() == 0
+
+
 def test_losses_and_head_to_head(spark):
     data = [("1", 1, True, 0, 0.5, 0.4, 0.8, 1), ("1", 1, True, 1, 0.6, 0.6, 0.2, 1), ("2", 1, False, 0, 0.3, 0.3, 0.6, 2), ("3", 1, False, 1, 0.3, 0.3, 0.1, 3), ("4", 1, None, 0, 0.3, 0.3, 0.1, 3)]
     df = spark.createDataFrame(data, "event_id string, decision_time int, neg_risk boolean, winner int, p double, q_market double, p_model double, block int")
