@@ -8,8 +8,11 @@ their score; other runs whose ratio reaches the threshold of their length are ad
 about the length, and at least the log odds of ordinary runs to credentials in the documents, which short runs seldom outweigh.
 
 Defined results: a null text counts as empty; spans are in code points, end exclusive, ordered by start, then assign, access, hex,
-format; ends of whole matches, not values. Repeated rows come out as they are; an empty table gives an empty result; other columns are ignored. Without
-labelled credentials of a kind it has no automaton, and none at all adds no spans.
+format; ends of whole matches, not values. Repeated rows come out as they are; an empty table gives an empty result; other columns are ignored.
+
+A kind has an automaton from its first labelled value on. With few values nothing speaks against a merge, so their automaton is one of symbol frequencies, which the counts'
+prior keeps apart from 0 and 1. Thresholds come from values that the automaton hasn't seen (by folds) and are lower by their standard error; a single value has none, so there the
+least ratio and the log odds of ordinary runs decide. Without any labelled value nothing is scored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 SHORTEST = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-#: Values a kind and ordinary runs that the formats are learned from, those of least hash among all documents; longer ones are scored, but not learned from.
+#: Parameters of the fit: values a kind and ordinary runs that the formats are learned from, those of least hash among all documents; longer ones are scored, but not learned from.
 VALUES, LONGEST_LEARNED = 400, 256
-#: Of the Hoeffding bound; and log-likelihood ratio a symbol that a candidate needs at least.
-ALPHA, LEAST_RATIO = 0.05, 0.25
-LEAST_VALUES = 20
+#: Of the Hoeffding bound; log-likelihood ratio a symbol that a candidate needs at least; folds for the ratios of values that an automaton hasn't seen.
+ALPHA, LEAST_RATIO, FOLDS = 0.05, 0.25, 5
 #: Lengths from which thresholds are taken apart; decisions on runs that a task remembers.
 LENGTHS, REMEMBERED = (SHORTEST, 10, 15, 20), 200_000
 
@@ -154,8 +156,27 @@ class Background:
         return sum(self.log.get(c, self.rare) for c in s) + len(s) * self.go + self.halt
 
 
-def train(docs: DataFrame) -> tuple[list[Automaton], Background, list[tuple[float, float]]] | None:
-    """Automata, background and threshold from the values of all documents, VALUES a kind, and as many ordinary runs of whole texts."""
+def unseen_ratios(values: list[str], ordinary: Background) -> list[tuple[int, float]]:
+    """(length, ratio a symbol) of each value under the automaton of the other folds, where that makes it at all; none of a single value."""
+    folds = min(FOLDS, len(values))
+    out = []
+    for k in range(folds if folds > 1 else 0):
+        others = [Automaton([v for i, v in enumerate(values) if i % folds != k])]
+        out += [(len(v), x) for v in values[k::folds] if math.isfinite(x := ratio(v, others, ordinary))]
+    return out
+
+
+def thresholds(ratios: list[tuple[int, float]]) -> list[float]:
+    """What a run needs a symbol, by length: the second percentile of unseen values' ratios (of all lengths where a length has none), lower by their standard error; LEAST_RATIO at least."""
+    out = []
+    for low, high in zip(LENGTHS, (*LENGTHS[1:], math.inf), strict=True):
+        seen = [x for m, x in ratios if low <= m < high] or [x for _, x in ratios]
+        out.append(max(LEAST_RATIO, float(np.percentile(seen, 2) - np.std(seen) / math.sqrt(len(seen))) if seen else LEAST_RATIO))
+    return out
+
+
+def train(docs: DataFrame, n_values: int = VALUES, longest: int = LONGEST_LEARNED) -> tuple[list[Automaton], Background, list[tuple[float, float]]] | None:
+    """Automata, background and thresholds from the values of all documents, n_values a kind, and as many ordinary runs of whole texts; none without any value."""
     from pyspark import TaskContext
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +188,8 @@ def train(docs: DataFrame) -> tuple[list[Automaton], Background, list[tuple[floa
             h, values = xxhash.xxh64_intdigest(value, 0), kept[kind]
             if h <= bound.get(kind, h):
                 values[value] = h
-                if len(values) > 4 * VALUES:
-                    best = heapq.nsmallest(VALUES, values.items(), key=lambda x: (x[1], x[0]))
+                if len(values) > 4 * n_values:
+                    best = heapq.nsmallest(n_values, values.items(), key=lambda x: (x[1], x[0]))
                     kept[kind], bound[kind] = dict(best), best[-1][1]
 
         for b in batches:
@@ -179,42 +200,31 @@ def train(docs: DataFrame) -> tuple[list[Automaton], Background, list[tuple[floa
                 for start, kind, end in base:
                     m = ASSIGN.match(text, start) if kind == 0 else None
                     value = m[2] if m else text[start:end]
-                    if len(value) <= LONGEST_LEARNED:
+                    if len(value) <= longest:
                         keep(KINDS[kind], value)
                 runs = [m[0] for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)] if base else CANDIDATE.findall(text)
                 n_ordinary += len(runs)
                 for w in set(runs):
-                    if len(w) <= LONGEST_LEARNED:
+                    if len(w) <= longest:
                         keep("ordinary", w)
-        rows = [(kind, v, f"{h:016x}") for kind, values in kept.items() for v, h in heapq.nsmallest(VALUES, values.items(), key=lambda x: (x[1], x[0]))]
+        rows = [(kind, v, f"{h:016x}") for kind, values in kept.items() for v, h in heapq.nsmallest(n_values, values.items(), key=lambda x: (x[1], x[0]))]
         part = str(TaskContext.get().partitionId())
         cols = list(zip(*rows, ("count ordinary", str(n_ordinary), part), ("count base", str(n_base), part), strict=True))
         yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["kind", "value", "hash"])
 
     found = materialise(docs.select("text").mapInArrow(gather, "kind string, value string, hash string").distinct(), "credentials")
-    rows = [r for kind in (*KINDS[:3], "ordinary") for r in found.where(F.col("kind") == kind).orderBy("hash", "value").limit(VALUES).collect()]
+    rows = [r for kind in (*KINDS[:3], "ordinary") for r in found.where(F.col("kind") == kind).orderBy("hash", "value").limit(n_values).collect()]
     by_kind = defaultdict(list)
     for r in rows:
         by_kind[r.kind].append(classes(r.value))
-    automata, held = [], []
-    for kind in KINDS[:3]:
-        values = by_kind[kind]
-        if len(values) < LEAST_VALUES:
-            continue
-        fold = len(values) // 5
-        automata.append(Automaton(values[fold:]))
-        held += values[:fold]
-    if not automata:
-        return None
     ordinary = Background(by_kind["ordinary"] or ["z" * 12])
+    kinds = [by_kind[k] for k in KINDS[:3] if by_kind[k]]
+    if not kinds:
+        return None
     counts = {r.kind: r.n for r in found.where("kind like 'count %'").groupBy("kind").agg(F.sum(F.col("value").cast("long")).alias("n")).collect()}
     odds = math.log(max(1, counts["count ordinary"]) / max(1, counts["count base"]))
-    ratios = [(len(s), x) for s in held if math.isfinite(x := ratio(s, automata, ordinary))]
-    least = []
-    for low, high in zip(LENGTHS, (*LENGTHS[1:], math.inf), strict=True):
-        of_length = [x for n, x in ratios if low <= n < high]
-        least.append((max(LEAST_RATIO, float(np.percentile(of_length, 2)) if of_length else LEAST_RATIO), odds))
-    return automata, ordinary, least
+    least = thresholds([r for values in kinds for r in unseen_ratios(values, ordinary)])
+    return [Automaton(values) for values in kinds], ordinary, [(x, odds) for x in least]
 
 
 def ratio(symbols: str, automata: list[Automaton], ordinary: Background) -> float:
@@ -260,12 +270,12 @@ def scored_spans(text: str, model, known: dict[str, tuple[float, bool]] | None =
     return sorted(out, key=lambda o: o[:3]), n
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def find_secrets(docs: DataFrame, n_values: int = VALUES, longest: int = LONGEST_LEARNED) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), scores (of the spans: the log-likelihood
-    ratio a symbol, three digits; -inf for what no format makes, empty without automata), n_scored (candidates scored)."""
+    ratio a symbol, three digits; -inf for what no format makes, empty without any labelled value), n_scored (candidates scored)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = rows.sparkSession.sparkContext.broadcast(train(rows))
+    model = rows.sparkSession.sparkContext.broadcast(train(rows, n_values, longest))
     join = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

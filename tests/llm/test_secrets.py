@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from oddsframe.llm import secrets as S
 from tests.llm.helpers import DOCS, ODD, documents, words
 
@@ -149,6 +151,29 @@ def test_learned_format_is_found_without_its_keyword(spark):
     assert not any("format" in out[950 + i] for i in range(20))
 
 
+@pytest.mark.parametrize("n", [1, 5, 19, 20, 60])
+def test_any_number_of_labelled_values_makes_an_automaton(spark, n):
+    r = random.Random(7)
+    code = lambda: "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(32))
+    rows = [(i, f"{words(i, 30)} token={code()} {words(i + 500, 10)}") for i in range(n)] + [(900 + i, f"{words(i, 8)} {code()} {words(i, 4)}") for i in range(20)] + [(950 + i, words(i, 200)) for i in range(20)]
+    out = {x.doc_id: x for x in S.find_secrets(documents(spark, rows)).collect()}
+    assert all(x.n_scored > 0 for x in out.values()) and all(out[i].scores for i in range(n))
+    assert not any("format" in out[950 + i].spans for i in range(20))
+    if n >= 19:
+        assert sum("format" in out[900 + i].spans for i in range(20)) >= 15
+
+
+def test_thresholds_widen_with_few_values():
+    few, many = ([(32, 1.0 + (k % 5) / 10) for k in range(n)] for n in (5, 300))
+    assert all(S.LEAST_RATIO < a < b for a, b in zip(S.thresholds(few), S.thresholds(many), strict=True))
+    assert S.thresholds([]) == [S.LEAST_RATIO] * len(S.LENGTHS)
+
+
+def test_nothing_is_scored_without_values(spark):
+    row = S.find_secrets(documents(spark, [(1, "plain words alone")])).first()
+    assert (row.n_scored, row.scores, row.spans) == (0, "", "")
+
+
 def test_a_kind_rare_among_many_documents_has_its_automaton(spark):
     r = random.Random(3)
     key = lambda: "AKIA" + "".join(r.choice("ABCDEFGH234567") for _ in range(16))
