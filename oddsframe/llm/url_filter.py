@@ -8,8 +8,8 @@ blocked if its predicted probability is over one half.
 
 Defined results: host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path follows up to `?`, `#` or
 the end; both are empty for a null url or one without `://`. Such a URL and any other get a verdict from the method. Without labelled URLs
-of both kinds the ensemble is empty and the verdict is the more frequent label, allow if there is none. Repeated rows come out
-as they are; an empty table gives an empty result; other columns are ignored.
+of both kinds the ensemble is empty and the verdict is the more frequent label, allow if there is none. Trees end early where no split gains LEAST_GAIN, so few labels
+give the share of blocked URLs rather than chance patterns. Repeated rows come out as they are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsframe.llm.common import materialise, spread_join
+from oddsframe.llm.common import materialise, parts_for, spread_join
 
 #: The contract's rules: verdict, host with path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Of the ensemble, and folds of the labelled URLs.
-TREES, DEPTH, RATE, RIDGE, FOLDS = 10, 3, 0.5, 1.0, 5
-#: Distinct vectors that one task sums up.
-TOGETHER = 200_000
+TREES, DEPTH, RATE, RIDGE, FOLDS = 16, 3, 0.4, 1.0, 5
+#: Gain that a split needs: the best of some 200 splits without any meaning gains about as much by chance.
+LEAST_GAIN = 4.0
+#: Distinct vectors a task of the fit.
+VECTORS_A_TASK = 20_000
 #: Bins of a feature, at most: it is cut at quantiles of the labelled URLs.
 BINS = 16
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "params", "entropy", "host_entropy", "page_number", "suffix_rate", "section_rate")
@@ -152,7 +154,12 @@ def fit(vectors: DataFrame) -> dict:
         for _ in range(DEPTH):
             long = graded.select(_leaf_id(tree, bins).alias("leaf"), "g", "h", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), bins[f].alias("bin")) for f in FEATURES])).alias("x"))
             sums = long.groupBy("leaf", "x.f", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            tree = _grown(tree, {leaf: _split([r for r in sums if r.leaf == leaf]) for leaf in {r.leaf for r in sums}})
+            new = {leaf: _split([r for r in sums if r.leaf == leaf]) for leaf in {r.leaf for r in sums}}
+            tree = _grown(tree, new)
+            if not any(isinstance(x, tuple) for x in new.values()):
+                break  # no leaf has a split that gains
+        if not isinstance(tree, tuple):
+            break  # nor would the next tree have one
         model["trees"].append(tree)
     return model
 
@@ -163,7 +170,7 @@ def _split(sums: list):
     G, H = sum(r.g for r in first), sum(r.h for r in first)
     score = lambda g, h: g * g / (h + RIDGE)
     step = lambda g, h: RATE * g / (h + RIDGE)
-    best, gain = step(G, H), 1e-6
+    best, gain = step(G, H), LEAST_GAIN
     for f in FEATURES:
         g = h = 0.0
         for r in sorted((r for r in sums if r.f == f), key=lambda r: r.bin)[:-1]:
@@ -189,9 +196,8 @@ class Ensemble:
         rated = materialise(with_rates(labelled, self.rates), "labelled")
         self.cuts = cuts_of(rated)
         vectors = _bins(rated, self.cuts).groupBy(*[f"b_{f}" for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("label").alias("positive"))
-        vectors = materialise(vectors, "vectors")
-        # few vectors are summed up in one task, without a shuffle a level
-        self.model = fit(vectors.coalesce(1) if vectors.count() <= TOGETHER else vectors)
+        counted = materialise(vectors, "vectors")
+        self.model = fit(counted.coalesce(parts_for(counted.count(), VECTORS_A_TASK)))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows with the probability p of block."""
