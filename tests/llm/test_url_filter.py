@@ -86,6 +86,7 @@ def brute_fit(vectors):
 
 def test_trees_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(U, "TREES", 3)
+    monkeypatch.setattr(U, "LEAST_GAIN", 1e-6)
     r = random.Random(3)
     vectors = [([r.randrange(4) for _ in U.FEATURES], n := r.randint(1, 9), r.randint(0, n)) for _ in range(40)]
     names = [f"b_{f}" for f in U.FEATURES]
@@ -94,6 +95,20 @@ def test_trees_equal_brute_force(spark, monkeypatch):
     assert all(abs(a - b) < 1e-6 for a, b in zip(got, brute_fit(vectors), strict=True))
 
 
+def test_labels_without_meaning_leave_the_share_alone(spark):
+    r = random.Random(5)
+    vectors = [([r.randrange(4) for _ in U.FEATURES], 1, r.randrange(2)) for _ in range(60)]
+    names = [f"b_{f}" for f in U.FEATURES]
+    df = spark.createDataFrame([(*b, n, y) for b, n, y in vectors], ", ".join([*[f"{c} int" for c in names], "n long", "positive long"]))
+    assert len(U.fit(df)["trees"]) <= 2
+
+
+def test_repeated_rows_come_out_as_they_are(spark):
+    rows = [(1, "http://a.com/de/1")] * 3 + [(2, "http://a.org/x")] * 2 + [(3, None)] * 2
+    out = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted(r.page_id for r in out) == [1, 1, 1, 2, 2, 3, 3] and len({tuple(r) for r in out}) == 3
+
+
 def test_held_out_quality_beats_the_base(spark):
     rows = [(i, f"http://h{i % 9}.{'com' if i % 4 else 'org'}/{'de' if i % 2 else 'fr'}/{i}") for i in range(400)]
     (q,) = U.held_out_quality(spark.createDataFrame(rows, "page_id long, url string")).collect()
