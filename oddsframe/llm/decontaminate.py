@@ -321,18 +321,15 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-@cache
-def _places(length: int, band: int) -> np.ndarray:
-    return np.arange(length)[:, None] + np.arange(band + 1)[None, :]
-
-
 def may_be_within(own: np.ndarray, there: np.ndarray, most: int, band: int) -> bool:
     """False only if no part of a window is within `most` edits of a pattern, from the numbers of their runs of Q characters: an edit spoils at most Q of the pattern's runs, and the
     others stand in the window, from their own place to `band` later. Numbers may meet by chance, which only lets more through."""
     runs = len(own) - Q + 1
     if (least := runs - Q * most) <= 0:
         return True
-    near = there[np.minimum(_places(runs, band), len(there) - 1)]
+    if len(there) < runs + band:
+        there = np.concatenate([there, np.full(runs + band - len(there), np.uint64(0xFFFFFFFFFFFFFFFF))])
+    near = np.lib.stride_tricks.as_strided(there, (runs, band + 1), (there.strides[0], there.strides[0]), writeable=False)
     return int((near == own[:runs, None]).any(1).sum()) >= least
 
 
