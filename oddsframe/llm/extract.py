@@ -6,6 +6,9 @@ that don't stay fixed. The host's wrapper tells where the article is (an article
 text outside links) and which texts are fixed, in it or outside: those are the host's own. The page is then read along the wrapper: the texts of
 the main element's slots come out, fixed ones don't, unless they are most of the element (copies of one article).
 
+Menus, notices, adverts, comments and the like are told by tag, role and class names. A class name alone drops a block only where the wrapper has other text: one that holds KEPT_SHARE of the slot
+text outside links, of the page or of the article it is in, stays. A page that is left without any text so is judged by itself.
+
 Wrappers are merged in a tree of partial merges, FAN of them at most in one task, after equal page trees of a host are counted as one: a host that
 holds a third of all pages is dealt to many tasks. A wrapper's size is bounded: an element with more than WIDE kinds of
 children keeps them as a bag, in which the commoner kinds stand as they are and the rarer ones are one kind a tag name, subtrees included.
@@ -32,6 +35,9 @@ from oddsframe.llm.common import bounded_batches, materialise, spread_join
 from oddsframe.llm.url_filter import host_of
 
 FAN, WIDE, PERIOD, DEEP = 256, 48, 4, 60
+#: Share of the text around it from which an element stays in spite of its names; and in spite of names of reader comments.
+KEPT_SHARE = (0.8, 0.9)
+_COMMENT_NAME = re.compile("comment|discuss|disqus|respond|replies")
 #: Pages that a text must be the same on to be a host's own.
 FIXED_PAGES = 3
 #: Bytes of readings that are broadcast, at most.
@@ -56,25 +62,28 @@ _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 
 class Element:
-    __slots__ = ("children", "drop", "inline", "inner", "key", "level", "name")
+    __slots__ = ("children", "drop", "inline", "inner", "key", "level", "name", "named")
 
-    def __init__(self, name: str, key: str, drop: bool, inline: bool = False):
+    def __init__(self, name: str, key: str, drop: bool, inline: bool = False, named: bool = False):
         self.name, self.key, self.drop, self.inline, self.children = name, key, drop, inline, []
+        self.named = named  # dropped for its class names alone
         self.level, self.inner = 0, False  # elements around it in the tree; in an article or main element
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _kind(name: str, raw: str) -> tuple[str, bool, str]:
-    """The key of an element in wrappers, if it is never main text, and its names. A key holds long lists of names by a hash."""
+def _kind(name: str, raw: str) -> tuple[str, bool, bool, str]:
+    """The key of an element in wrappers, if it isn't main text, if only its names say so, and its names. A key holds long lists of names by a hash."""
     a = _attributes(raw)
     names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
     label = ".".join(sorted({x for n in names if (x := re.sub(r"[^a-z-]+", "", n))}))
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    drop = name in _BOILER or hidden or a.get("role", "").lower() in _BOILER_ROLE or any(_BOILER_NAME.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", n)) for n in names)
+    sure = name in _BOILER or hidden or a.get("role", "").lower() in _BOILER_ROLE
+    drop = sure or any(_BOILER_NAME.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", n)) for n in names)
     short = label if len(label) <= 40 else f"{label[:24]}~{xxhash.xxh64_intdigest(label):016x}"
-    return (f"{name}.{short}" if label else name), drop and name not in ("html", "body", "article", "main") or drop and bool(re.search("comment", label)), label
+    drop = drop and name not in ("html", "body", "article", "main") or drop and bool(re.search("comment", label))
+    return (f"{name}.{short}" if label else name), drop, drop and not sure, label
 
 
 def parse(text: str) -> Element:
@@ -148,12 +157,13 @@ def parse(text: str) -> Element:
                 break
             if name == "p":
                 break
-        key, drop, label = _kind(name, m[3])
+        key, drop, named, label = _kind(name, m[3])
         if stack[-1].inner:
             drop = drop and (name != "header" or bool(_BOILER_NAME.search(label)))
         elif name not in ("html", "body", "article", "main"):
-            drop = drop or not _HEADER_NAMES.isdisjoint(label.split("."))
-        e, level = Element(name, key, drop), stack[-1].level
+            top = not _HEADER_NAMES.isdisjoint(label.split("."))
+            drop, named = drop or top, named or top and not drop
+        e, level = Element(name, key, drop, named=drop and named), stack[-1].level
         if drop or level < DEEP or name in ("article", "main") and level < 2 * DEEP and not stack[-1].inner:
             push(e)
         else:
@@ -167,6 +177,10 @@ def parse(text: str) -> Element:
 # a group of elements [ "(", flag, pages, children ]; a bag of kinds without order, the only child then, [ "{", "*", pages, children ]. The key "div.*" stands for the rarer div kinds of a bag.
 
 
+#: Before the key of an element that is dropped for its names, unless it holds nearly all of the text (_kept).
+NAMED = "~"
+
+
 def wrapper_of(e: Element) -> list:
     """The wrapper of one page."""
     children, text, linked, whole = [], 0, 0, []
@@ -185,6 +199,9 @@ def wrapper_of(e: Element) -> list:
             close()
             if not c.drop:
                 children.append(wrapper_of(c))
+            elif c.named:
+                key, *rest = wrapper_of(c)
+                children.append([NAMED + key, *rest])
         elif c[0] == "|":
             close()
         else:
@@ -334,12 +351,60 @@ def _volume(x: list) -> tuple[int, int]:
     return sum(p[0] for p in parts), sum(p[1] for p in parts)
 
 
+def _prose(x: list, fixed: bool) -> int:
+    """Characters outside links in the slots (fixed: in all texts) of what isn't dropped for its names."""
+    if x[0] == "#":
+        return max(0, x[4] - x[5]) if fixed or not is_fixed(x) else 0
+    return sum(_prose(c, fixed) for c in x[3] if not c[0].startswith(NAMED))
+
+
+def _kept(wrapper: list) -> set[str]:
+    """Keys of elements that stay in spite of their names, since the wrapper has nearly all text in them: KEPT_SHARE of the slot text outside links of the page, or of the
+    article around them. What a name says of reader comments needs more against it, since comments can be longer than what they are about."""
+    found: set[str] = set()
+
+    def look(x: list, around: tuple[int, int]) -> None:
+        if x[0] == "#":
+            return
+        if re.match(r"(article|main)(\.|$)", x[0]):
+            around = _prose(x, False), _prose(x, True)
+        for c in x[3]:
+            if c[0].startswith(NAMED):
+                own = _prose(c, False), _prose(c, True)
+                n, rest = (own[0], around[0]) if own[0] + around[0] else (own[1], around[1])
+                if n and n >= KEPT_SHARE[bool(_COMMENT_NAME.search(c[0]))] * (n + rest):
+                    found.add(c[0])
+            look(c, around)
+
+    look(wrapper, (_prose(wrapper, False), _prose(wrapper, True)))
+    return found
+
+
+def _decided(x: list, kept: set[str]) -> list:
+    """The wrapper without what its names drop, and with what stays under its plain key."""
+    if x[0] == "#":
+        return x
+    children = [_decided(c, kept) for c in x[3] if not c[0].startswith(NAMED) or c[0] in kept]
+    return [x[0].removeprefix(NAMED), *x[1:3], children]
+
+
+def revive(e: Element, kept: set[str]) -> None:
+    """The page's elements that stay in spite of their names are no longer dropped."""
+    for c in e.children if kept else ():
+        if isinstance(c, Element):
+            c.drop = c.drop and not (c.named and NAMED + c.key in kept)
+            revive(c, kept)
+
+
 def reading_of(wrapper: list) -> dict:
-    """How to read a host's pages: the path of its main element, and the hashes of the wrapper's fixed texts, which are the host's own.
+    """How to read a host's pages: the path of its main element, the hashes of the wrapper's fixed texts, which are the host's own, and the keys of elements that
+    their names alone don't drop.
 
     Within an article or main element a text is fixed if half of its pages at least have it, outside if FIXED_PAGES do."""
     own: list[str] = []
     mains: list[str] = []
+    kept = _kept(wrapper)
+    wrapper = _decided(wrapper, kept)
 
     def walk(x: list, path: str, least: float, inside: bool) -> None:
         if x[0] == "#":
@@ -357,14 +422,14 @@ def reading_of(wrapper: list) -> dict:
     own = sorted(set(own))
     if mains:
         first = [p for p in mains if re.search(r"/article(\.[^/]*)?$", p)] or mains
-        return {"main": sorted(set(first)), "own": own}
+        return {"main": sorted(set(first)), "own": own, "kept": sorted(kept)}
     path, x = "", wrapper
     while True:  # go down while one child has nearly all text of slots outside links
         parts = [c for c in _flat(x) if c[0] != "#"]
         weight = [max(0, v[0] - v[1]) for v in map(_volume, parts)]
         all_, linked = _volume(x)
         if not parts or max(weight) < 0.8 * max(1, all_ - linked) or parts[weight.index(max(weight))][0].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table", "blockquote", "pre"):
-            return {"main": [path] if path else [], "own": own}
+            return {"main": [path] if path else [], "own": own, "kept": sorted(kept)}
         x = parts[weight.index(max(weight))]
         # the rarer kinds of a bag are those that don't stand in it by name
         path += f"/{x[0]}" + "".join(sorted({f"!{c[0]}" for c in parts if c[0] != x[0] and c[0].partition(".")[0] == x[0][:-2]}) if x[0].endswith(".*") else ())
@@ -440,11 +505,22 @@ def _names_main(e: Element) -> bool:
 
 
 def _own_articles(root: Element) -> dict | None:
-    """A reading from the page alone, if it has an article or main element."""
+    """A reading from the page alone, if it has an article or main element, or one that its names don't drop."""
     found = reading_of(wrapper_of(root))
+    revive(root, set(found["kept"]))
     return found if found["main"] else None
 
 
+def page_text(page: str, reading: dict | None) -> str:
+    """The main text of a page along its host's reading; along its own where it has an article that the host's doesn't know, or nothing is left."""
+    root = parse(page)
+    if reading is not None:
+        revive(root, set(reading["kept"]))
+        alone = not _has(root, [_ways(reading["main"])]) if reading["main"] else _names_main(root)
+        reading = _own_articles(root) if alone else reading
+    return read(root, reading) or read(root, _own_articles(root))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper JSON) of (host, html)."""
 
@@ -501,10 +577,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 if r is not None and r not in known:
                     known[r] = json.loads(r)
                 page = t.as_py()
-                root = parse(page) if page else None
-                main = known[r]["main"] if r is not None else []
-                alone = root is not None and r is not None and (not _has(root, [_ways(main)]) if main else _names_main(root))
-                out.append("" if root is None else read(root, _own_articles(root) if alone else known.get(r)))
+                out.append(page_text(page, known.get(r)) if page else "")
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     # whole pages move only where the readings are too many to send

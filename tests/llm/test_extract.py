@@ -2,7 +2,10 @@ import html
 import random
 import re
 
+import pytest
+
 from oddsframe.llm import extract as X
+from tests.llm.helpers import words
 
 SCHEMA = "page_id long, url string, html string"
 HEAD = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x='</p>';</script></head><body>"
@@ -190,3 +193,29 @@ def test_wrappers_accept_every_page_they_are_made_of():
             out = w if out is None else X.aligned(out, w, False)
         for s in pages:
             assert re.fullmatch(expression(out), "".join(f"{x};" for x in s)), (pages, out)
+
+
+NAMES = ["legal", "notice-board", "social-policy", "share-prices", "rail-travel", "discussion", "login-guide", "widget-store", "alert", "content"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("n", [1, 6])
+def test_a_class_name_alone_drops_no_article(spark, name, n):
+    rows = [(k, f"http://{name}.net/{k}", f"<html><body><div class='menu'><a href='/'>Home</a> Sections of the site</div><div class='{name}'><h1>Title {k}</h1><p>{words(k, 60)}</p><p>{words(k + 50, 60)}</p></div><div class='footer'>All rights</div></body></html>") for k in range(n)]
+    out = {r.page_id: r.text for r in X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"Title {k}\n{words(k, 60)}\n{words(k + 50, 60)}" for k in range(n)}
+
+
+def test_a_section_with_most_of_an_article_stays_and_comments_go(spark):
+    page = lambda k, inner, rest: f"<html><body><article><h1>T{k}</h1>{inner}</article>{rest}</body></html>"
+    long, short = (lambda k: f"<p>{words(k, 90)}</p>"), (lambda k: f"<p>{words(k + 500, 12)}</p>")
+    rows = [(k, "http://a.net/x", page(k, f"<section class='discussion'>{long(k)}</section>", "")) for k in range(4)]
+    rows += [(10 + k, "http://b.net/x", page(k, f"{long(k)}<section class='related'>{short(k)}</section>", f"<div class='comments'>{long(k + 70)}{long(k + 80)}</div>")) for k in range(4)]
+    out = {r.page_id: r.text for r in X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"T{k}\n{words(k, 90)}" for k in range(4)} | {10 + k: f"T{k}\n{words(k, 90)}" for k in range(4)}
+
+
+def test_an_odd_page_of_a_host_is_judged_by_itself(spark):
+    rows = [(k, "http://c.net/x", f"<body><div class='{'legal' if k == 3 else 'content'}'><p>{words(k, 80)}</p></div></body>") for k in range(8)]
+    out = {r.page_id: r.text for r in X.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: words(k, 80) for k in range(8)}
