@@ -1,5 +1,9 @@
 from datetime import timedelta
 
+import random
+
+from oddsframe.operators.execution import window_volume
+from oddsframe.operators.snapshots import price_at
 from oddsframe.streaming import live
 from tests.frames import at
 
@@ -38,3 +42,58 @@ def test_last_price_with_state(spark, tmp_path):
     out = drain(live.last_price(prices, probes), "last")
     got = {(r.market_id, r.decision_time): r.p for r in out}
     assert got == {("a", at(0.5)): 0.4, ("a", at(1)): 0.5, ("b", at(3)): None, ("c", at(1)): None}
+
+
+PX, PR = "event_id string, market_id string, ts timestamp, p double", "market_id string, decision_time timestamp"
+TAPE = "event_id string, market_id string, ts timestamp, side string, outcome_index int, price double, size double, tx string, truncated boolean"
+
+
+def run_once(df, folder, name):
+    """All that is there now, from the checkpoint on; rows go to Parquet."""
+    q = df.writeStream.format("parquet").option("path", str(folder / name)).option("checkpointLocation", str(folder / f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination(180)
+    finally:
+        q.stop()
+    return q
+
+
+def test_last_price_over_restarts_equals_the_batch(spark, tmp_path):
+    r = random.Random(2)
+    quotes = sorted((r.randrange(600), r.choice("ab"), round(r.random(), 3)) for _ in range(120))
+    asks = sorted({(r.randrange(600), r.choice("abc")) for _ in range(60)})
+    for low in range(0, 600, 200):
+        spark.createDataFrame([("1", m, at(t / 60), p) for t, m, p in quotes if low <= t < low + 200], PX).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+        spark.createDataFrame([(m, at(t / 60)) for t, m in asks if low <= t < low + 200], PR).coalesce(1).write.mode("append").parquet(str(tmp_path / "q"))
+        out = live.last_price(live.read_prices(spark, str(tmp_path / "p"), 1), spark.readStream.schema(PR).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "q")), timedelta(minutes=30))
+        run_once(out, tmp_path, "out")
+    # a late price is dropped, a price far ahead moves the watermark past all probes
+    spark.createDataFrame([("1", "a", at(0), 0.999), ("1", "z", at(40), 0.1)], PX).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    run_once(out, tmp_path, "out")
+    last = run_once(out, tmp_path, "out")
+    key = lambda x: (x.market_id, x.decision_time, x.p, x.price_ts)
+    got = sorted(map(key, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    probes, prices = spark.createDataFrame([(m, at(t / 60)) for t, m in asks], PR), spark.createDataFrame([("1", m, at(t / 60), p) for t, m, p in quotes], PX)
+    want = sorted(map(key, price_at(probes, prices, max_stale=timedelta(minutes=30)).collect()), key=str)
+    assert got == want and any(x[2] is None for x in got) and any(x[2] is not None for x in got)
+    progress = [p for p in last.recentProgress if p["stateOperators"]]
+    assert not progress or progress[-1]["stateOperators"][0]["numRowsTotal"] <= 8  # the quiet markets' prices and probes are gone
+
+
+def test_volume_near_probes_equals_the_batch(spark, tmp_path):
+    r = random.Random(3)
+    prints = sorted((r.randrange(600), r.choice("ab"), float(r.randrange(1, 9))) for _ in range(80))
+    asks = sorted({(r.randrange(600), r.choice("abc")) for _ in range(50)})
+    near = lambda: live.volume_near(spark.readStream.schema(PR).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "q")), live.read_trades(spark, str(tmp_path / "t"), 1), timedelta(minutes=20))
+    trade = lambda m, t, n: ("1", m, at(t / 60), "BUY", 0, 0.5, n, "t", False)
+    for low in range(0, 600, 300):
+        spark.createDataFrame([trade(m, t, n) for t, m, n in prints if low <= t < low + 300], TAPE).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+        spark.createDataFrame([(m, at(t / 60)) for t, m in asks if low <= t < low + 300], PR).coalesce(1).write.mode("append").parquet(str(tmp_path / "q"))
+        run_once(near(), tmp_path, "out")
+    spark.createDataFrame([trade("z", 3000, 1.0)], TAPE).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("z", at(50))], PR).coalesce(1).write.mode("append").parquet(str(tmp_path / "q"))
+    run_once(near(), tmp_path, "out")
+    got = {(x.market_id, x.decision_time): (x.vol_window, x.traded_near) for x in spark.read.parquet(str(tmp_path / "out")).where("market_id <> 'z'").collect()}
+    probes, tape = spark.createDataFrame([(m, at(t / 60)) for t, m in asks], PR), spark.createDataFrame([trade(m, t, n) for t, m, n in prints], TAPE)
+    want = {(x.market_id, x.decision_time): (x.vol_window, x.traded_near) for x in window_volume(probes, tape, timedelta(minutes=20)).collect()}
+    assert got == want and {v for _, v in got.values()} == {True, False}
