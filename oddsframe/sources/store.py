@@ -74,34 +74,60 @@ class Store:
         """Taker trades of events in terms of outcome 0."""
         return outcome0_view(self._load("trades", TRADES, event_ids))
 
-    def stored_event_ids(self, kind: str) -> DataFrame:
-        """(event_id) of events whose prices or trades were fetched, also if there were none: those have a mark, a row without a time."""
-        return self._load(kind, PRICES if kind == "prices" else TRADES, None, marks=True).select("event_id").distinct()
+    def partitions(self, kind: str, columns: list[str]) -> DataFrame:
+        """The values of partition columns that a stored table has, as strings, from its folders' names: no data file is read."""
+        fs, pattern = self._fs(f"{self.root}/{kind}" + "".join(f"/{c}=*" for c in columns))
+        unquote = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        names = [x.getPath().toString().rsplit("/", len(columns))[1:] for x in fs.globStatus(pattern) or []]
+        return self.spark.createDataFrame([tuple(unquote(n.partition("=")[2]) for n in row) for row in names], ", ".join(f"{c} string" for c in columns))
+
+    def ledger(self) -> DataFrame:
+        """(kind, event_id, n_rows, ok, at): a row for each attempt to fetch an event, appended after its rows are stored."""
+        path = f"{self.root}/ledger"
+        return self.spark.read.schema(LEDGER).parquet(path) if self.exists(path) else self.spark.createDataFrame([], LEDGER)
 
-    def append(self, kind: str, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy("event_id").parquet(f"{self.root}/{kind}")
+    def stored_event_ids(self, kind: str) -> DataFrame:
+        """(event_id) of events whose prices or trades were fetched, also if there were none, from the ledger; from the folders' names where rows came before it."""
+        done = self.ledger().where(F.col("ok") & (F.col("kind") == kind)).select("event_id").distinct()
+        return done if self.exists(f"{self.root}/ledger") else self.partitions(kind, ["event_id"])
+
+    def append(self, kind: str, rows: DataFrame, replace: bool = False) -> None:
+        """Store rows by event, then enter the events in the ledger; rows with failed set aren't stored, but counted as attempts. replace: what an event had
+        before goes, so that one whose writer died before the entry can be fetched again."""
+        rows = (rows if "failed" in rows.columns else rows.withColumn("failed", F.lit(False))).persist()  # fetched once, used twice
+        writer = rows.where("not failed").drop("failed").write.partitionBy("event_id")
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else writer.mode("append")
+        writer.parquet(f"{self.root}/{kind}")
+        tried = rows.groupBy("event_id").agg(F.count("ts").alias("n_rows"), (~F.bool_or("failed")).alias("ok"))
+        tried.select(F.lit(kind).alias("kind"), "event_id", "n_rows", "ok", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.root}/ledger")
+        rows.unpersist()
 
     def download(self, kind: str, todo: DataFrame, fetch: Callable[[pd.DataFrame], pd.DataFrame], workers: int | None = None) -> dict[str, int]:
         """Fetch what isn't stored yet, by event, on the executors; run it again to go on. fetch maps the rows of one event to its prices or
-        trades and may fail: such events are counted and tried again the next time. An event without any rows is done."""
+        trades and may fail: such events are counted and tried again the next time. An event without any rows is done. Resuming reads the ledger, no prices or trades."""
         schema = PRICES if kind == "prices" else TRADES
         left = todo.join(self.stored_event_ids(kind), "event_id", "left_anti")
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             event = pdf["event_id"].iloc[0]
+            mark = lambda failed: pd.DataFrame({c: pd.Series([event if c == "event_id" else failed if c == "failed" else None], dtype=object) for c in [*names(schema), "failed"]})
             try:
-                got = fetch(pdf).assign(event_id=event)
+                got = fetch(pdf).assign(event_id=event, failed=False)
             except (OSError, ValueError, KeyError):
-                return pd.DataFrame({c: pd.Series([], dtype=object) for c in names(schema)})
-            return got.reindex(columns=names(schema)) if len(got) else pd.DataFrame({c: pd.Series([event if c == "event_id" else None], dtype=object) for c in names(schema)})
+                return mark(True)
+            return got.reindex(columns=[*names(schema), "failed"]) if len(got) else mark(False)
 
         n, before = todo.select("event_id").distinct().count(), left.select("event_id").distinct().count()
         dealt = left.repartition(workers, "event_id") if workers else left
-        self.append(kind, dealt.groupBy("event_id").applyInPandas(run, schema))
+        self.append(kind, dealt.groupBy("event_id").applyInPandas(run, f"{schema}, failed boolean"), replace=True)
         failed = missing_events(todo, self.stored_event_ids(kind)).count()
         return {"events": n, "fetched": before - failed, "failed": failed, "skipped": n - before}
 
 
+#: Columns of the ledger.
+LEDGER = "kind string, event_id string, n_rows long, ok boolean, at timestamp"
+
+
 def missing_events(markets: DataFrame, stored: DataFrame) -> DataFrame:
     """(event_id) of markets that aren't stored."""
     return markets.select("event_id").distinct().join(stored, "event_id", "left_anti")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from oddsframe.functions.exprs import parse_duration
 from oddsframe.operators import backtest
 from oddsframe.schemas import RAW_EVENT
+from oddsframe.sources import api, crawl
 from oddsframe.sources.markets import markets_frame
 from oddsframe.weather import features, model, observations, rules
 
 STATION = "station_icao string, name string, country string, lat double, lon double, elev_m double, tz string"
+#: The first year of reports that is fetched by default.
+FIRST_YEAR = 2021
 ABOUT = ["city", "description", "resolutionSource", "eventDate"]
 
 
@@ -34,8 +37,21 @@ def _ruled(study) -> DataFrame:
     return rules.load(study.store.load_markets(), _table(study, "rules"))
 
 
+#: How the series of the study are named: a city and this.
+SERIES = "-daily-weather"
+
+
 def markets(study) -> None:
-    events = study.spark.read.schema(RAW_EVENT + "".join(f", {c} string" for c in ABOUT)).json(study.args.json)
+    """Events from files, or those of every series of the study from the service, a partition a series."""
+    a, extra = study.args, "".join(f", {c} string" for c in ABOUT)
+    if a.json:
+        events = study.spark.read.schema(RAW_EVENT + extra).json(a.json)
+    else:
+        city = {s["id"]: s["slug"].removesuffix(SERIES) for s in api.list_series(api.Client("events"), study.service()) if (s.get("slug") or "").endswith(SERIES)}
+        study.spark.dataSource.register(crawl.EventCrawl)
+        crawled = study.spark.read.format("market_events").option("base", a.base).option("series", ",".join(city)).option("workers", a.workers).load()
+        names = F.create_map(*[F.lit(x) for kv in city.items() for x in kv]) if city else F.create_map().cast("map<string,string>")
+        events = crawled.select(F.from_json("event", RAW_EVENT + extra).alias("e"), names[F.col("window")].alias("__city")).select("e.*", "__city").withColumn("city", F.coalesce("__city", "city")).drop("__city")
     found, failures = rules.weather_frame(events)
     study.store.save_markets(markets_frame(events.drop(*ABOUT)))
     _keep(study, found, "rules")
@@ -43,7 +59,14 @@ def markets(study) -> None:
 
 
 def stations(study) -> None:
-    _keep(study, study.spark.read.csv(study.args.csv, header=True, schema=STATION), "stations")
+    """From a table with a header, or from the services, for the stations named or those of the rules."""
+    a = study.args
+    if a.csv:
+        _keep(study, study.spark.read.csv(a.csv, header=True, schema=STATION), "stations")
+        return
+    wanted = a.stations or [r[0] for r in _table(study, "rules").select("station_icao").where("station_icao is not null").distinct().collect()]
+    rows = crawl.fetch_stations(api.Client("observations"), study.service(), a.zones, wanted)
+    _keep(study, study.spark.createDataFrame([tuple(r.values()) for r in rows], STATION), "stations")
 
 
 def known_stations(table: DataFrame, wanted: list[str]) -> DataFrame:
@@ -55,9 +78,16 @@ def known_stations(table: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def metar(study) -> None:
-    files = dict(x.split("=", 1) for x in study.args.csv)
-    known_stations(_table(study, "stations"), list(files))
-    raw = reduce(DataFrame.unionByName, [observations.read_raw(study.spark, path, icao) for icao, path in files.items()])
+    """Reports from files, or station-years from the service (those that the store lacks, and the current year)."""
+    a, table = study.args, _table(study, "stations")
+    if a.csv:
+        files = dict(x.split("=", 1) for x in a.csv)
+        known_stations(table, list(files))
+        raw = reduce(DataFrame.unionByName, [observations.read_raw(study.spark, path, icao) for icao, path in files.items()])
+    else:
+        wanted = [r[0] for r in (known_stations(table, a.stations) if a.stations else table).select("station_icao").collect()]
+        print(crawl.download_station_years(study.store, wanted, study.service(), a.start.year if a.start else FIRST_YEAR, workers=a.workers))
+        raw = crawl.load_reports(study.store, wanted)
     _keep(study, observations.decode(raw), "obs")
 
 
