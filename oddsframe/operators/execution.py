@@ -17,7 +17,7 @@ def outcome0_view(trades: DataFrame) -> DataFrame:
     return trades.withColumns({"px0": F.when(first, F.col("price")).otherwise(1 - F.col("price")), "buys0": (F.col("side") == "BUY") == first, "usd": F.col("size") * F.col("price")})
 
 
-def trade_costs(trades: DataFrame, mids: DataFrame, tolerance: timedelta = timedelta(minutes=5), chunk: timedelta | None = None) -> DataFrame:
+def trade_costs(trades: DataFrame, mids: DataFrame, tolerance: timedelta = timedelta(minutes=5), chunk: timedelta | int | None = None) -> DataFrame:
     """Trades that have a mid within the tolerance before them, with mid and signed cost (positive: worse than mid)."""
     px = mids.select("market_id", F.col("ts").alias("__ts"), F.col("p").alias("__p"))
     j = asof_join(trades, px, ["market_id"], "ts", "__ts", {"mid": "__p"}, tolerance=tolerance, ties=["__p"], chunk=chunk).where("mid is not null")

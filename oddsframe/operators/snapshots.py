@@ -53,7 +53,7 @@ def market_rows(events: DataFrame, markets: DataFrame, time_col: str = "decision
     return events.join(markets.select("event_id", "market_id", "created_ts", "known_ts"), "event_id").where(usable(time_col, buffer))
 
 
-def price_at(rows: DataFrame, prices: DataFrame, time_col: str = "decision_time", max_stale: timedelta = MAX_STALE, chunk: timedelta | None = None) -> DataFrame:
+def price_at(rows: DataFrame, prices: DataFrame, time_col: str = "decision_time", max_stale: timedelta = MAX_STALE, chunk: timedelta | int | None = None) -> DataFrame:
     """rows with p and price_ts: the market's last price at or before the time; null if older than max_stale."""
     px = prices.select("market_id", F.col("ts").alias("__ts"), F.col("p").alias("__p"))
     return asof_join(rows, px, ["market_id"], time_col, "__ts", {"price_ts": "__ts", "p": "__p"}, tolerance=max_stale, ties=["__p"], chunk=chunk)

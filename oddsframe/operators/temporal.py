@@ -12,6 +12,22 @@ from oddsframe.functions.exprs import interval, micros, micros_of
 
 #: Windows that a chunk of a key's time line is wide in range sums.
 WINDOWS_A_CHUNK = 16
+#: Quantiles of a hot key's times, among which its cuts are chosen; so many pieces a key has at most.
+QUANTILES = 1_000
+
+
+def pieces(rows: DataFrame, by: list[str], time: str, size: int) -> DataFrame:
+    """rows with __chunk, the place of their piece of their key's time line: 0 for keys of at most `size` rows, else cut at quantiles into pieces of about so many.
+
+    Equal times stay together. Keys are counted, and those over size alone have quantiles; there are fewer of them than rows / size, and as many cuts, which all tasks get. It's all one lazy
+    plan, which reads rows twice more."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > size)
+    grid = F.array(*[F.lit(k / QUANTILES) for k in range(1, QUANTILES)])
+    line = rows.join(F.broadcast(counts.drop("__n")), by, "left_semi").groupBy(*by).agg(F.count("*").alias("__n"), F.percentile_approx(micros(time), grid, 10 * QUANTILES).alias("__q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES) * size / F.col("__n"))).cast("int")
+    cuts = line.select(*by, F.array_distinct(F.filter("__q", lambda _, k: (k + 1) % step == 0)).alias("__cuts"))
+    place = F.size(F.filter("__cuts", lambda c: c < micros(time)))
+    return rows.join(F.broadcast(cuts), by, "left").withColumn("__chunk", F.coalesce(F.when(F.col("__cuts").isNotNull(), place), F.lit(0)).cast("long")).drop("__cuts")
 
 
 def asof_join(
@@ -23,14 +39,14 @@ def asof_join(
     take: dict[str, str],
     tolerance: timedelta | None = None,
     ties: list[str] | None = None,
-    chunk: timedelta | None = None,
+    chunk: timedelta | int | None = None,
 ) -> DataFrame:
     """left with the last row of right at or before its time, by key: columns `take` (new name: right's column).
 
     The sides are dealt and sorted together and the last right row is carried along. Of right rows of equal time the last by
     `ties` counts; a right row counts even if its values are null. A match older than `tolerance` is none.
-    `chunk` cuts a key's time line, so that a hot key is dealt to many tasks; the last row of earlier chunks is
-    carried into each by a join of one row a chunk.
+    `chunk` cuts a key's time line, so that a hot key is dealt to many tasks: a number cuts keys of more rows into pieces of about so many (see pieces), a time span all keys
+    at its multiples. The last row of earlier chunks is carried into each by a join of one row a chunk.
     """
     values = F.struct(*[F.col(c).alias(n) for n, c in take.items()], F.col(right_on).alias("__at"))
     order = F.struct(*[F.col(c) for c in ties]) if ties else F.struct(F.lit(0).alias("none"))
@@ -40,12 +56,12 @@ def asof_join(
     keys = list(by)
     both = a.unionByName(b)
     if chunk is not None:
-        both = both.withColumn("__chunk", F.floor(micros("__t") / micros_of(chunk)))
+        both = pieces(both, keys, "__t", chunk) if isinstance(chunk, int) else both.withColumn("__chunk", F.floor(micros("__t") / micros_of(chunk)))
         keys.append("__chunk")
     line = Window.partitionBy(*keys).orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(line))
     if chunk is not None:
-        ends = b.withColumn("__chunk", F.floor(micros("__t") / micros_of(chunk))).groupBy(*keys).agg(F.max_by("__v", F.struct("__t", "__o")).alias("__end"))
+        ends = both.where("__side = 0").groupBy(*keys).agg(F.max_by("__v", F.struct("__t", "__o")).alias("__end"))
         stops = both.select(*keys).distinct().join(ends, keys, "left")
         earlier = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
         carried = stops.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias("__carried")).where("__carried is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oddsframe.plans import core, domain, more  # noqa: F401  (they register with core)
+from oddsframe.plans import core, domain, more, stored  # noqa: F401  (they register with core)
 
 
 def queries() -> dict:

@@ -71,6 +71,17 @@ def asof_price_at_chunked(t: Tables) -> DataFrame:
     return snapshots.price_at(t.probes, t.mids, max_stale=DAYS(2), chunk=DAYS(3))
 
 
+@query(
+    """select pr.market_id, pr.decision_time, case when pr.decision_time - m.ts > interval 2 day then null else m.ts end as price_ts,
+       case when pr.decision_time - m.ts > interval 2 day then null else m.p end as p
+       from probes pr asof left join mids m on pr.market_id = m.market_id and pr.decision_time >= m.ts""",
+    "probes", "mids",
+)
+def asof_price_at_balanced(t: Tables) -> DataFrame:
+    """The same join with the time lines of keys over forty rows cut at quantiles."""
+    return snapshots.price_at(t.probes, t.mids, max_stale=DAYS(2), chunk=40)
+
+
 def _costs(t: Tables) -> DataFrame:
     return E.trade_costs(t.trades, t.mids, DAYS(2))
 

@@ -186,14 +186,6 @@ def horizon_bins(t: Tables) -> DataFrame:
     return t.events.select("event_id", emos.horizon_bin(h, lh, n).alias("hbin"), model.horizon_group(h, lh).alias("hgroup"))
 
 
-@query()
-def emos_fit(t: Tables) -> DataFrame:
-    """Interval-censored fits by bin on a made training table; iterative, so rows only."""
-    e = t.events.select(F.concat(F.lit("S"), F.col("user_id") % 9).alias("station_icao"), F.to_date("ts").alias("local_date"), F.col("ts").alias("decision_time"), (F.col("value") / 10).alias("ens_mean"), ((F.col("event_id") * 37 % 100) / 50 - 1).alias("noise"), "event_id")
-    rows = e.withColumns({"y_c": F.col("ens_mean") + 0.5 + F.col("noise"), "y_halfwidth": F.lit(0.5), "hbin": F.when(F.col("event_id") % 2 == 0, "pre_24").otherwise("pre_36"), "ec_minus_gfs": F.col("noise") / 3, "ens_sd": F.abs("noise"), "fit_month": F.lit("2024-02-01").cast("date")})
-    return emos.fit_all(rows).select("fit_month", "hbin", F.transform("params", lambda x: F.round(x, 2)).alias("params"), "n_train")
-
-
 @query(
     """select s_suppkey, round(y - floor(y), 6) as fy, round(coalesce(sum(case when land then w * v end) / nullif(sum(case when land then w end), 0), sum(w * v) / sum(w)), 6) as value from (
       select s_suppkey, y, cy, cx, w, cy * 100 + cx as v, (cy + cx) % 2 = 0 as land from (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oddsframe.functions.exprs import band, band_labels, taker_fee
 from oddsframe.operators import execution as E
+from oddsframe.operators.temporal import pieces
 from tests.frames import T0, at, rows
 
 TRADES = "market_id string, ts timestamp, side string, outcome_index int, price double, size double"
@@ -76,7 +77,7 @@ def test_reaction(spark):
 
 
 def test_asof_ties_take_the_last_by_value_and_chunks_agree(spark):
-    from oddsframe.operators.temporal import asof_join
+    from oddsframe.operators.temporal import pieces, asof_join
 
     rng = np.random.default_rng(0)
     right = spark.createDataFrame([(f"m{int(k)}", at(float(h)), int(s)) for k, h, s in zip(rng.integers(0, 3, 300), rng.integers(0, 60, 300), range(300), strict=True)], "k string, t timestamp, seq int")
@@ -85,10 +86,19 @@ def test_asof_ties_take_the_last_by_value_and_chunks_agree(spark):
     for x in left.collect():
         before = [(y.t, y.seq) for y in r if y.k == x.k and y.t <= x.u]
         want.append((x.k, x.u, max(before)[1] if before else None))
-    for chunk in (None, timedelta(hours=7)):
+    for chunk in (None, timedelta(hours=7), 5, 1):
         assert rows(asof_join(left, right, ["k"], "u", "t", {"seq": "seq"}, ties=["seq"], chunk=chunk), "k", "u", "seq") == sorted(want, key=str)
 
 
+def test_a_one_key_tape_is_cut_into_even_pieces(spark):
+    tape = spark.range(20_000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * F.col("id") % 997 * 60 + F.col("id")).alias("t"))
+    rows_ = tape.unionByName(spark.createDataFrame([("cold", T0)] * 50 + [(None, T0)], "k string, t timestamp"))
+    sizes = {(r.k, r.c): r.n for r in pieces(rows_, ["k"], "t", 1_000).groupBy("k", F.col("__chunk").alias("c")).agg(F.count("*").alias("n")).collect()}
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert sum(hot) == 20_000 and 18 <= len(hot) <= 24 and max(hot) <= 1_500
+    assert sizes["cold", 0] == 50 and sizes[None, 0] == 1
+
+
 def test_range_sums_over_chunks_equal_brute_force(spark, monkeypatch):
     import random
 
