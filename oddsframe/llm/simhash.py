@@ -220,12 +220,16 @@ def near_duplicates(docs: DataFrame, words: int = NEAR_WORDS, similarity: float
     rows = materialise(sketches.withColumn("whole", F.xxhash64("shingles")), "sketches")
     classes = materialise(rows.groupBy("whole").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first(F.size("shingles")).alias("n")), "classes")
     posted = classes.select("whole", "n", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    busy = posted.withColumns({"members": F.count("*").over(bucket), "rank": F.row_number().over(bucket.orderBy("whole"))}).where("members > 1")
-    busy = materialise(busy, "busy")
-    leaders = busy.where(F.col("rank") <= LEADERS).select("key", F.col("whole").alias("leader"), F.col("n").alias("leader_n"))
+    counts = materialise(posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "counts")
+    # keys of one class alone stay behind without a shuffle; a hot bucket is dealt to several tasks
+    busy = materialise(spread_join(materialise(posted.where(sieve_of(counts, "key")(F.col("key"))), "posted"), counts, "key"), "busy")
+    # each task passes on its own first ones alone
+    first = busy.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("whole"))).where(F.col("rank") <= LEADERS)
+    heads = materialise(first.groupBy("key").agg(F.collect_list(F.struct(F.col("whole").alias("leader"), F.col("n").alias("leader_n"))).alias("leaders")), "leaders")
     pairs = (
-        busy.join(leaders, "key")
+        spread_join(busy, heads, "key")
+        .select("whole", "n", F.explode("leaders").alias("of"))
+        .select("whole", "n", "of.leader", "of.leader_n")
         .where("whole <> leader")
         .where(F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n"))
         .select(F.least("whole", "leader").alias("a"), F.greatest("whole", "leader").alias("b"))
