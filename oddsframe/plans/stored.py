@@ -58,6 +58,23 @@ def stored_trades(t: Tables) -> DataFrame:
     return r6(store.load_trades().select("market_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "px0", "buys0", "usd"), "px0", "usd")
 
 
+@query(
+    """, b as (select market_id, event_id, fee_rate, 0 as batch from markets where market_id % 2 = 0 or market_id % 3 = 0 union all select market_id, event_id, fee_rate + 1, 1 from markets where market_id % 2 = 1
+               union all select market_id, event_id + 1, fee_rate + 2, 2 from markets where market_id % 50 = 0),
+    l as (select *, row_number() over (partition by market_id order by batch desc) as rn from b) select market_id, event_id, fee_rate, cast(count(*) over (partition by event_id) as int) as markets_in_event from l where rn = 1""",
+    "markets",
+)
+def stored_markets(t: Tables) -> DataFrame:
+    """Markets saved in three batches, of which the last moves some to another event."""
+    store, k = new_store(t.spark), F.col("market_id")
+    ended = {"closed_ts": F.col("end_ts"), "uma_end_ts": F.col("end_ts")}
+    m = t.markets.withColumns(ended | {"n_outcomes": F.lit(2), "closed": F.lit(True), "disputed": F.lit(False), "archived_copy": F.lit(False)}).drop("clean", "known_ts")
+    store.save_markets(m.where((k % 2 == 0) | (k % 3 == 0)))
+    store.save_markets(m.where(k % 2 == 1).withColumn("fee_rate", F.col("fee_rate") + 1))
+    moved = m.where(k % 50 == 0).withColumns({"fee_rate": F.col("fee_rate") + 2, "event_id": F.col("event_id") + 1})
+    return store.save_markets(moved).select("market_id", "event_id", "fee_rate", "markets_in_event")
+
+
 @query(
     """, e as (select cast(floor(market_id / 3) as bigint) as event_id, count(*) as n, max(p) as p from mids group by 1)
     select cast(event_id as varchar) as event_id, event_id % 7 <> 3 as ok, case when event_id % 7 not in (2, 3) then n else 0 end as n_rows, case when event_id % 7 not in (2, 3) then p end as highest from e""",

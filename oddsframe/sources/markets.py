@@ -66,13 +66,19 @@ def with_derived(df: DataFrame) -> DataFrame:
     })
 
 
-def upsert(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Old and new markets together; of one market_id the new row stays, of several new ones the last."""
-    rows = new.withColumns({"__batch": F.lit(1), "__place": F.monotonically_increasing_id()})
+def last_rows(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Old and new markets together, without derived columns; of one market_id the new row stays, of several new ones the last."""
+    place = lambda df, batch: df.drop(*[c for c in DERIVED if c in df.columns]).withColumns({"__batch": F.lit(batch), "__place": F.monotonically_increasing_id()})
+    rows = place(new, 1)
     if old is not None:
-        rows = old.drop(*[c for c in DERIVED if c in old.columns]).withColumns({"__batch": F.lit(0), "__place": F.monotonically_increasing_id()}).unionByName(rows.drop(*[c for c in DERIVED if c in rows.columns]), allowMissingColumns=True)
+        rows = place(old, 0).unionByName(rows, allowMissingColumns=True)
     last = Window.partitionBy("market_id").orderBy(F.col("__batch").desc(), F.col("__place").desc())
-    return with_derived(rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__batch", "__place"))
+    return rows.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__batch", "__place")
+
+
+def upsert(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The last rows of old and new markets, with derived columns."""
+    return with_derived(last_rows(old, new))
 
 
 def select_markets(markets: DataFrame, events: list[str] | None = None, categories: list[str] | None = None, clean_only: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from oddsframe.operators.execution import outcome0_view
 from oddsframe.schemas import PRICES, TRADES, names
-from oddsframe.sources.markets import upsert
+from oddsframe.sources.markets import last_rows, with_derived
+from oddsframe.sources.table import Table
 
 
 class Store:
@@ -25,36 +25,24 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def exists(self, path: str) -> bool:
-        """If there is a table. One that was moved aside by a writer that died before its own took the place is put back."""
         fs, p = self._fs(path)
-        if fs.exists(p):
-            return True
-        aside = sorted(fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*")) or [], key=lambda x: x.getModificationTime())
-        return bool(aside) and fs.rename(aside[-1].getPath(), p)
-
-    def replace(self, df: DataFrame, path: str) -> None:
-        """Write beside, then take the place of what is there. Between the two renames there is no table, but the old one beside it: see exists."""
-        new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-        df.write.parquet(new)
-        fs, p = self._fs(path)
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path
-        if fs.exists(p):
-            fs.rename(p, jpath(old))
-        if not fs.rename(jpath(new), p):
-            raise OSError(f"{new} can't take the place of {path}")
-        fs.delete(jpath(old), True)
+        return fs.exists(p)
+
+    def table(self, name: str) -> Table:
+        """A table of versions; markets are keyed, so that merges rewrite only the buckets they touch."""
+        return Table(self.spark, f"{self.root}/{name}", "market_id" if name == "markets" else None)
 
     def load_markets(self) -> DataFrame:
-        path = f"{self.root}/markets"
-        if not self.exists(path):
-            raise FileNotFoundError(f"no market table at {path}: fetch markets first")
-        return self.spark.read.parquet(path)
+        """All markets. What is derived from an event's markets together is made anew, and only if it is used."""
+        table = self.table("markets")
+        if not table.exists():
+            raise FileNotFoundError(f"no market table at {table.path}: fetch markets first")
+        return with_derived(table.read())
 
     def save_markets(self, new: DataFrame) -> DataFrame:
-        """Upsert by market_id; the stored table."""
-        path = f"{self.root}/markets"
-        self.replace(upsert(self.load_markets() if self.exists(path) else None, new), path)
-        return self.spark.read.parquet(path)
+        """Upsert by market_id; the stored table. Readers see the table before or after, whole, and writers at once lose nothing of each other."""
+        self.table("markets").merge(new, last_rows)
+        return self.load_markets()
 
     def _load(self, kind: str, schema: str, event_ids: Iterable[str] | DataFrame | None, marks: bool = False) -> DataFrame:
         path = f"{self.root}/{kind}"

@@ -1,5 +1,4 @@
 import json
-import os
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -196,13 +195,6 @@ def test_an_event_without_rows_is_done_and_one_that_fails_is_not(spark, tmp_path
     assert store.load_prices().count() == 1 and sorted(r.event_id for r in store.stored_event_ids("prices").collect()) == ["1", "2"]
 
 
-def test_a_table_that_a_dead_writer_moved_aside_comes_back(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    store.replace(spark.range(3), f"{tmp_path}/t")
-    os.rename(tmp_path / "t", tmp_path / "t.old-abc")
-    assert store.exists(f"{tmp_path}/t") and spark.read.parquet(f"{tmp_path}/t").count() == 3 and not store.exists(f"{tmp_path}/u")
-
-
 def test_of_equal_ids_in_one_batch_the_last_row_stays(spark):
     rows = [(f"e{k}", "m", k) for k in range(50)]
     new = markets(spark, [{"market_id": "m", "event_id": e, "fee_rate": float(k)} for e, _, k in rows]).coalesce(1)
