@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from oddsframe.operators.snapshots import MAX_STALE, fetch_windows, price_at
+from oddsframe.sources.pace import Turns, turns
 from oddsframe.sources.store import windows
 
 # Seconds between requests of each kind, page sizes and ceilings, the longest window of a price request.
 MIN_INTERVAL = {"prices": 0.03, "trades": 0.05, "events": 0.35, "observations": 6.0}
 PAGE, MAX_OFFSET, EVENT_PAGE = 500, 10_000, 100
 MAX_WINDOW, SNAPSHOT_WINDOW = timedelta(days=5), timedelta(days=15)
+TOO_MANY = 429
 RETRY_STATUS = {408, 425, 429, 500, 502, 503, 504}
 # Attempts, first pause and longest pause in seconds; a refusal (403) of the event crawl passes after a while.
 PATIENCE, REFUSED = (5, 1.0, 60.0), (8, 15.0, 300.0)
@@ -36,9 +38,11 @@ Transport = Callable[[str], str]
 class Client:
     """GET with a least interval between requests, retries, and an optional cache on disk by a hash of the address.
 
-    share: how many clients ask the service at once; each keeps that many intervals between its own requests."""
+    turns: where all clients of an application ask for their turns. share: how many clients ask the service at once; without turns, or if nobody gives them, each
+    keeps that many intervals between its own requests."""
 
-    def __init__(self, kind: str, cache: str | None = None, transport: Transport | None = None, share: int = 1, timeout: float = 60, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, kind: str, cache: str | None = None, transport: Transport | None = None, share: int = 1, timeout: float = 60, sleep: Callable[[float], None] = time.sleep, turns: Turns | None = None):
+        self.kind, self.turns = kind, turns
         self.gap, self.cache, self.timeout, self.sleep = MIN_INTERVAL[kind] * share, Path(cache) if cache else None, timeout, sleep
         self.patience = dict.fromkeys(RETRY_STATUS, PATIENCE) | ({403: REFUSED} if kind == "events" else {})
         self.transport = transport or self._get
@@ -49,6 +53,10 @@ class Client:
             return r.read().decode()
 
     def _wait(self) -> None:
+        wait = self.turns.ask(self.kind) if self.turns else None
+        if wait is not None:
+            self.sleep(wait)
+            return
         with self._lock:
             now = time.monotonic()
             at = max(now, self._next)
@@ -80,16 +88,19 @@ class Client:
                 tried += 1
                 if tried >= attempts:
                     raise
-                self.sleep(min(longest, first * 2.0 ** (tried - 1)))
+                pause = min(longest, first * 2.0 ** (tried - 1))
+                if self.turns and getattr(e, "code", None) == TOO_MANY:
+                    self.turns.ask(self.kind, hold=pause)
+                self.sleep(pause)
 
     def get_json(self, url: str, params: dict | None = None, cached: bool = True):
         return json.loads(self.get_text(url, params, cached))
 
 
 @cache
-def worker_client(kind: str, share: int, transport: Transport | None = None) -> Client:
+def worker_client(kind: str, share: int, transport: Transport | None = None, turns: Turns | None = None) -> Client:
     """One client a worker process, so that its interval holds over all events that the process fetches."""
-    return Client(kind, transport=transport, share=share)
+    return Client(kind, transport=transport, share=share, turns=turns)
 
 
 def price_history(client: Client, base: str, token: str, start: datetime, end: datetime, fidelity_min: int = 1, window: timedelta = MAX_WINDOW) -> pd.DataFrame:
@@ -166,8 +177,10 @@ def iter_events(client: Client, base: str, since: date, until: date | None = Non
 def fetch_prices(wanted: DataFrame, base: str, fidelity_min: int = 1, workers: int = 8, window: timedelta = MAX_WINDOW, transport: Transport | None = None) -> DataFrame:
     """(market_id, ts, p) of the windows wanted (market_id, token0, start, end), fetched on the executors by `workers` tasks; a market that fails has no rows."""
 
+    given = turns(wanted.sparkSession, MIN_INTERVAL)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = worker_client("prices", workers, transport)
+        client = worker_client("prices", workers, transport, given)
         for pdf in frames:
             for r in pdf.itertuples():
                 try:

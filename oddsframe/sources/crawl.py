@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from oddsframe.schemas import RAW_EVENT
 from oddsframe.sources import api
+from oddsframe.sources.pace import Turns, turns
 from oddsframe.sources.store import Store
 
 # Days of a window, the answer of a throttled service, how often it is asked again and the pause's step in seconds.
@@ -64,7 +65,7 @@ class _Pages:
     def read(self, partition: _Window | _Series | None) -> Iterator[tuple[str, str]]:
         if partition is None:  # what Spark reads where there are no partitions
             return
-        client = api.Client("events", self.options.get("cache"), self.transport, int(self.options.get("workers", "1")))
+        client = api.Client("events", self.options.get("cache"), self.transport, int(self.options.get("workers", "1")), turns=Turns.parse(self.options.get("turns_token")))
         if isinstance(partition, _Series):
             yield from ((partition.series, json.dumps(e)) for e in api.series_events(client, self.options["base"], partition.series))
             return
@@ -105,7 +106,8 @@ class _EventStream(_Pages, DataSourceStreamReader):
 
 
 class EventCrawl(DataSource):
-    """(window, event: JSON) by end date, or with the option series (ids, comma-joined) by series. Options: base, since; until, tag, closed (true, false, any), step_days, cache (a folder on every worker), workers (that share the rate)."""
+    """(window, event: JSON) by end date, or with the option series (ids, comma-joined) by series. Options: base, since; until, tag, closed (true, false, any), step_days, cache (a folder on every worker), turns_token (of pace.turns, for one
+    rate over all tasks; Spark hides it in plans), workers (that share the rate without turns)."""
 
     transport = None
 
@@ -145,7 +147,7 @@ class _YearReader(DataSourceReader):
         """The year's reports, then one row without a time that tells how many lines were dropped for their number of fields; nothing at all if the service doesn't answer."""
         if partition is None:
             return
-        client = api.Client("observations", None, self.transport, int(self.options.get("workers", "1")), sleep=self.sleep)
+        client = api.Client("observations", None, self.transport, int(self.options.get("workers", "1")), sleep=self.sleep, turns=Turns.parse(self.options.get("turns_token")))
         asked = {"station": partition.station, "data": "metar", "year1": partition.year, "month1": 1, "day1": 1, "year2": partition.year + 1, "month2": 1, "day2": 1, "tz": "Etc/UTC", "format": "onlycomma", "report_type": [3, 4]}
         text = THROTTLED
         for k in range(ATTEMPTS):
@@ -155,6 +157,8 @@ class _YearReader(DataSourceReader):
                 return
             if not text.startswith(THROTTLED):
                 break
+            if client.turns:
+                client.turns.ask(client.kind, hold=PAUSE * (k + 1))
             self.sleep(PAUSE * (k + 1))
         else:
             return
@@ -170,7 +174,7 @@ class _YearReader(DataSourceReader):
 
 
 class StationYears(DataSource):
-    """(station_icao, year, valid, metar, dropped) of station-years. Options: base; years as station/year, comma-joined; workers (that share the rate)."""
+    """(station_icao, year, valid, metar, dropped) of station-years. Options: base; years as station/year, comma-joined; turns_token and workers as for the event crawl."""
 
     transport = None
     sleep = staticmethod(time.sleep)
@@ -196,7 +200,7 @@ def download_station_years(store: Store, stations: list[str], base: str, first_y
     todo = [(s, y) for s, y in wanted if y == now or (s, y) not in have]
     if not todo:
         return {"years": len(wanted), "fetched": 0, "failed": 0, "skipped": len(wanted), "dropped": 0}
-    rows = spark.read.format(source.name()).option("base", base).option("workers", workers).option("years", ",".join(f"{s}/{y}" for s, y in todo)).load().persist()
+    rows = spark.read.format(source.name()).option("base", base).option("workers", workers).option("turns_token", str(turns(spark, api.MIN_INTERVAL))).option("years", ",".join(f"{s}/{y}" for s, y in todo)).load().persist()
     rows.write.partitionBy("station_icao", "year").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     told = rows.where("valid is null and dropped is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")).first()
     rows.unpersist()

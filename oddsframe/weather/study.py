@@ -12,6 +12,7 @@ from oddsframe.operators import backtest
 from oddsframe.schemas import RAW_EVENT
 from oddsframe.sources import api, crawl
 from oddsframe.sources.markets import markets_frame
+from oddsframe.sources.pace import turns
 from oddsframe.weather import features, model, observations, rules
 
 STATION = "station_icao string, name string, country string, lat double, lon double, elev_m double, tz string"
@@ -49,7 +50,7 @@ def markets(study) -> None:
     else:
         city = {s["id"]: s["slug"].removesuffix(SERIES) for s in api.list_series(api.Client("events"), study.service()) if (s.get("slug") or "").endswith(SERIES)}
         study.spark.dataSource.register(crawl.EventCrawl)
-        crawled = study.spark.read.format("market_events").option("base", a.base).option("series", ",".join(city)).option("workers", a.workers).load()
+        crawled = study.spark.read.format("market_events").option("base", a.base).option("series", ",".join(city)).option("workers", a.workers).option("turns_token", str(turns(study.spark, api.MIN_INTERVAL))).load()
         names = F.create_map(*[F.lit(x) for kv in city.items() for x in kv]) if city else F.create_map().cast("map<string,string>")
         events = crawled.select(F.from_json("event", RAW_EVENT + extra).alias("e"), names[F.col("window")].alias("__city")).select("e.*", "__city").withColumn("city", F.coalesce("__city", "city")).drop("__city")
     found, failures = rules.weather_frame(events)
