@@ -1,4 +1,4 @@
-"""Stored tables: markets, prices and trades as Parquet, the last two partitioned by event."""
+"""Stored tables: markets, prices and trades as Parquet, the last two in buckets of events."""
 
 from __future__ import annotations
 
@@ -29,8 +29,9 @@ class Store:
         return fs.exists(p)
 
     def table(self, name: str) -> Table:
-        """A table of versions; markets are keyed, so that merges rewrite only the buckets they touch."""
-        return Table(self.spark, f"{self.root}/{name}", "market_id" if name == "markets" else None)
+        """A table of versions; markets are keyed, so that merges rewrite only the buckets they touch, and so are prices and trades, by event. Folders by event of former stores are read too."""
+        key = {"markets": "market_id"} | dict.fromkeys(_ROWS, "event_id")
+        return Table(self.spark, f"{self.root}/{name}", key.get(name), schema=_ROWS.get(name))
 
     def load_markets(self) -> DataFrame:
         """All markets. What is derived from an event's markets together is made anew, and only if it is used."""
@@ -44,26 +45,23 @@ class Store:
         self.table("markets").merge(new, last_rows)
         return self.load_markets()
 
-    def _load(self, kind: str, schema: str, event_ids: Iterable[str] | DataFrame | None, marks: bool = False) -> DataFrame:
-        path = f"{self.root}/{kind}"
-        df = self.spark.read.schema(schema).parquet(path) if self.exists(path) else self.spark.createDataFrame([], schema)
-        df = df if marks else df.where("ts is not null")
-        if event_ids is None:
-            return df
-        if isinstance(event_ids, DataFrame):
-            return df.join(event_ids.select("event_id").distinct(), "event_id", "left_semi")
-        return df.where(F.col("event_id").isin(list(event_ids)))
+    def _load(self, kind: str, event_ids: Iterable[str] | DataFrame | None) -> DataFrame:
+        table = self.table(kind)
+        df = table.read(keys=event_ids) if table.exists() else self.spark.createDataFrame([], _ROWS[kind])
+        return df.where("ts is not null")  # a row without a time marks an event that has none
 
     def load_prices(self, event_ids: Iterable[str] | DataFrame | None = None) -> DataFrame:
-        """Prices of events (all by default); partitions of other events aren't read."""
-        return self._load("prices", PRICES, event_ids)
+        """Prices of events (all by default); buckets that hold other events alone aren't read."""
+        return self._load("prices", event_ids)
 
     def load_trades(self, event_ids: Iterable[str] | DataFrame | None = None) -> DataFrame:
         """Taker trades of events in terms of outcome 0."""
-        return outcome0_view(self._load("trades", TRADES, event_ids))
+        return outcome0_view(self._load("trades", event_ids))
 
     def partitions(self, kind: str, columns: list[str]) -> DataFrame:
-        """The values of partition columns that a stored table has, as strings, from its folders' names: no data file is read."""
+        """The values of partition columns that a stored table has, as strings, from its folders' names: no data file is read. Prices and trades lie in buckets; their events are read."""
+        if kind in _ROWS and self.table(kind).version():
+            return self.table(kind).read().select(*columns).distinct()
         fs, pattern = self._fs(f"{self.root}/{kind}" + "".join(f"/{c}=*" for c in columns))
         unquote = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         names = [x.getPath().toString().rsplit("/", len(columns))[1:] for x in fs.globStatus(pattern) or []]
@@ -80,12 +78,11 @@ class Store:
         return done if self.exists(f"{self.root}/ledger") else self.partitions(kind, ["event_id"])
 
     def append(self, kind: str, rows: DataFrame, replace: bool = False) -> None:
-        """Store rows by event, then enter the events in the ledger; rows with failed set aren't stored, but counted as attempts. replace: what an event had
+        """Store rows in buckets of events, then enter the events in the ledger; rows with failed set aren't stored, but counted as attempts. replace: what an event had
         before goes, so that one whose writer died before the entry can be fetched again."""
+        rows = rows.withColumn("event_id", F.col("event_id").cast("string"))
         rows = (rows if "failed" in rows.columns else rows.withColumn("failed", F.lit(False))).persist()  # fetched once, used twice
-        writer = rows.where("not failed").drop("failed").write.partitionBy("event_id")
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else writer.mode("append")
-        writer.parquet(f"{self.root}/{kind}")
+        self.table(kind).add(rows.where("not failed").drop("failed"), replace)
         tried = rows.groupBy("event_id").agg(F.count("ts").alias("n_rows"), (~F.bool_or("failed")).alias("ok"))
         tried.select(F.lit(kind).alias("kind"), "event_id", "n_rows", "ok", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.root}/ledger")
         rows.unpersist()
@@ -112,6 +109,9 @@ class Store:
         return {"events": n, "fetched": before - failed, "failed": failed, "skipped": n - before}
 
 
+#: Tables of rows by event.
+_ROWS = {"prices": PRICES, "trades": TRADES}
+
 #: Columns of the ledger.
 LEDGER = "kind string, event_id string, n_rows long, ok boolean, at timestamp"
 

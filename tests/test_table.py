@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsframe.sources.markets import last_rows
-from oddsframe.sources.table import Table
+from oddsframe.sources.store import Store
+from oddsframe.sources.table import BUCKETS, Table
 
 
 def table(spark, path, buckets=4):
@@ -151,3 +152,39 @@ def test_a_folder_of_files_becomes_a_table(spark, tmp_path):
     again = Table(spark, f"{tmp_path}/t", "market_id", 16)  # other buckets: all rows are dealt anew
     again.merge(rows(spark, "d", 2), last_rows)
     assert held(again) == {"a": 1, "b": 1, "c": 2, "d": 2} and again.manifest(2)["buckets"] == 16
+
+
+PRICE = "event_id string, market_id string, ts timestamp, p double"
+
+
+def prices(spark, events, p=0.5, tasks=1):
+    made = spark.createDataFrame([(e,) for e in events], "event_id string").repartition(tasks)
+    return made.select("event_id", F.lit("m").alias("market_id"), F.lit("2026-01-01").cast("timestamp").alias("ts"), F.lit(p).alias("p"))
+
+
+def test_files_of_stored_prices_do_not_grow_with_events_or_tasks(spark, tmp_path):
+    store, ids = Store(spark, f"{tmp_path}/s"), [f"{k:03d}" for k in range(400)]
+    spread = [e for e in ids for _ in range(3)]
+    store.append("prices", prices(spark, spread, tasks=7))
+    store.append("prices", prices(spark, ["400", None, ""], 0.7))
+    files = list((tmp_path / "s/prices").rglob("*.parquet"))
+    assert len(files) <= 2 * BUCKETS  # one folder an event, and a file of each task in it, before
+    assert store.load_prices().count() == 1203
+    want = ["007", "400", "nothing"]
+    asked = spark.createDataFrame([(e,) for e in [*want, "007"]], "event_id string")
+    for got in (store.load_prices(want), store.load_prices(asked)):
+        assert got.columns == ["event_id", "market_id", "ts", "p"] and sorted((r.event_id, r.p) for r in got.collect()) == [("007", 0.5)] * 3 + [("400", 0.7)]
+    assert store.load_prices([]).count() == 0
+    assert {r.event_id for r in store.partitions("prices", ["event_id"]).collect()} == {*ids, "400", None, ""}
+
+
+def test_a_store_of_folders_by_event_goes_on_in_buckets(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    prices(spark, ["007", "8", "9/a"], 0.1).write.partitionBy("event_id").parquet(f"{tmp_path}/s/prices")
+    assert sorted(r.event_id for r in store.stored_event_ids("prices").collect()) == ["007", "8", "9/a"]
+    store.append("prices", prices(spark, ["8", "10"], 0.2))
+    held = lambda: sorted((r.event_id, r.p) for r in store.load_prices().collect())
+    assert held() == [("007", 0.1), ("10", 0.2), ("8", 0.1), ("8", 0.2), ("9/a", 0.1)]
+    assert [r.p for r in store.load_prices(["9/a"]).collect()] == [0.1]
+    store.append("prices", prices(spark, ["8", "9/a"], 0.3), replace=True)
+    assert held() == [("007", 0.1), ("10", 0.2), ("8", 0.3), ("9/a", 0.3)]
