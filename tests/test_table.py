@@ -188,3 +188,26 @@ def test_a_store_of_folders_by_event_goes_on_in_buckets(spark, tmp_path):
     assert [r.p for r in store.load_prices(["9/a"]).collect()] == [0.1]
     store.append("prices", prices(spark, ["8", "9/a"], 0.3), replace=True)
     assert held() == [("007", 0.1), ("10", 0.2), ("8", 0.3), ("9/a", 0.3)]
+
+
+def test_files_of_stored_trades_do_not_grow_with_events_or_tasks(spark, tmp_path, monkeypatch):
+    def trades(size):
+        made = spark.range(900).repartition(7).select((F.col("id") % 300).cast("string").alias("event_id"), F.col("id").cast("string").alias("market_id"), F.lit("2026-01-01").cast("timestamp").alias("ts"))
+        return made.withColumns({"side": F.lit("BUY"), "outcome_index": F.lit(1), "price": F.lit(0.25), "size": F.lit(size), "tx": F.lit("x"), "truncated": F.lit(False)})
+
+    store, other = (Store(spark, f"{tmp_path}/s") for _ in range(2))
+    store.append("trades", trades(4.0))
+    plain, raced = Table._commit, []
+
+    def late(self, version, manifest):
+        if not raced:
+            raced.append(1)
+            other.append("trades", trades(8.0))
+        return plain(self, version, manifest)
+
+    monkeypatch.setattr(Table, "_commit", late)  # another writer is first: both writers' rows stay
+    store.append("trades", trades(16.0))
+    assert len(list((tmp_path / "s/trades").rglob("*.parquet"))) <= 4 * BUCKETS
+    got = {(r.px0, r.buys0, r.usd): r["count"] for r in store.load_trades().groupBy("px0", "buys0", "usd").count().collect()}
+    assert got == {(0.75, False, usd): 900 for usd in (1.0, 2.0, 4.0)}
+    assert sorted(r.market_id for r in store.load_trades(["7"]).where("usd = 1").collect()) == ["307", "607", "7"]
