@@ -211,3 +211,41 @@ def test_files_of_stored_trades_do_not_grow_with_events_or_tasks(spark, tmp_path
     got = {(r.px0, r.buys0, r.usd): r["count"] for r in store.load_trades().groupBy("px0", "buys0", "usd").count().collect()}
     assert got == {(0.75, False, usd): 900 for usd in (1.0, 2.0, 4.0)}
     assert sorted(r.market_id for r in store.load_trades(["7"]).where("usd = 1").collect()) == ["307", "607", "7"]
+
+
+def test_files_of_a_download_do_not_grow_with_events(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    store, at = Store(spark, f"{tmp_path}/s"), pd.Timestamp("2026-01-01", tz="UTC")
+    todo = spark.range(300).repartition(7).select(F.col("id").cast("string").alias("event_id"), F.lit("m").alias("market_id"))
+
+    def fetch(p, down=True):
+        def run(pdf):
+            k = int(pdf["event_id"].iloc[0])
+            if down and k % 50 == 3:
+                raise ValueError("no answer")
+            return pd.DataFrame({"market_id": ["m"], "ts": [at], "p": [p]}).iloc[: int(k % 50 != 2)]
+
+        return run
+
+    assert store.download("prices", todo, fetch(0.1)) == {"events": 300, "fetched": 294, "failed": 6, "skipped": 0}
+    assert len(list((tmp_path / "s/prices").rglob("*.parquet"))) <= 2 * BUCKETS
+    before = store.table("prices").manifest(1)["folders"]
+    store.append("prices", prices(spark, ["7", "3"], 0.2), replace=True)  # 7 was there: its bucket alone is written anew
+    after = store.table("prices").manifest(2)["folders"]
+    assert len([b for b in before if not set(before[b]) <= set(after[b])]) == 1
+    assert sorted((r.event_id, r.p) for r in store.load_prices(["3", "7", "8"]).collect()) == [("3", 0.2), ("7", 0.2), ("8", 0.1)] and store.load_prices().count() == 289
+
+    store.table("prices").add(prices(spark, ["53"], 0.3))  # as by a writer that died before its entry
+    plain, raced = Table._commit, []
+
+    def late(self, version, manifest):
+        if not raced:
+            raced.append(1)
+            Store(spark, store.root).append("prices", prices(spark, ["103", "8"], 0.4), replace=True)
+        return plain(self, version, manifest)
+
+    monkeypatch.setattr(Table, "_commit", late)  # and another one stores an event meanwhile: the later one's rows stay, none are doubled
+    store.append("prices", prices(spark, ["53", "103"], 0.5), replace=True)
+    assert sorted((r.event_id, r.p) for r in store.load_prices(["7", "8", "53", "103"]).collect()) == [("103", 0.5), ("53", 0.5), ("7", 0.2), ("8", 0.4)]
+    assert store.load_prices().count() == 291
