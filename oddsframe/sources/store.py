@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,21 +94,66 @@ class Store:
         trades and may fail: such events are counted and tried again the next time. An event without any rows is done. Resuming reads the ledger, no prices or trades."""
         schema = PRICES if kind == "prices" else TRADES
         left = todo.join(self.stored_event_ids(kind), "event_id", "left_anti")
+        asked = todo.select("event_id").distinct().persist()
+        n, before = asked.count(), asked.join(self.stored_event_ids(kind), "event_id", "left_anti").count()
+        dealt = left.repartition(workers, "event_id") if workers else left.repartition("event_id")
+        self.append(kind, dealt.sortWithinPartitions("event_id").mapInPandas(_fetching(fetch, [*names(schema), "failed"]), f"{schema}, failed boolean"), replace=True)
+        failed = missing_events(asked, self.stored_event_ids(kind)).count()
+        asked.unpersist()
+        return {"events": n, "fetched": before - failed, "failed": failed, "skipped": n - before}
+
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            event = pdf["event_id"].iloc[0]
-            mark = lambda failed: pd.DataFrame({c: pd.Series([event if c == "event_id" else failed if c == "failed" else None], dtype=object) for c in [*names(schema), "failed"]})
+#: Rows from which on what was fetched is given on, those of many events at once: a frame an event costs more than the rows that most events have.
+FRAME = 10_000
+
+
+def _events(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each event, from frames that are sorted by it; an event's rows may lie in several."""
+    whole = lambda parts: (parts[0] if len(parts) == 1 else pd.concat(parts)).reset_index(drop=True)
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        ids = pdf["event_id"]
+        cuts = [0, *(np.flatnonzero(np.diff(pd.factorize(ids)[0])) + 1), len(pdf)] if len(pdf) else []
+        for start, end in pairwise(cuts):
+            if held and (start or not pd.Series([held[-1]["event_id"].iloc[-1]]).equals(pd.Series([ids.iloc[0]]))):
+                yield whole(held)
+                held = []
+            held.append(pdf.iloc[start:end])
+    if held:
+        yield whole(held)
+
+
+def _fetching(fetch: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What download maps over rows sorted by event: fetch, event by event. An event that fails or has no rows is marked by one row without a time."""
+
+    def put(got: list[tuple], marks: list[tuple]) -> Iterator[pd.DataFrame]:
+        for _, alike in groupby(got, lambda g: (list(g[1].columns), list(g[1].dtypes))):  # so that putting them together changes no value
+            events, found = zip(*alike, strict=True)
+            ids = np.repeat(np.array(events, dtype=object), [len(f) for f in found])
+            yield pd.concat(found, ignore_index=True).assign(event_id=ids, failed=False).reindex(columns=columns)
+        if marks:
+            known = dict(zip(("event_id", "failed"), zip(*marks, strict=True), strict=True))
+            yield pd.DataFrame({c: pd.Series(known.get(c, [None] * len(marks)), dtype=object) for c in columns})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got, marks, rows = [], [], 0
+        for pdf in _events(frames):
+            event, found, failed = pdf["event_id"].iloc[0], (), False
             try:
-                got = fetch(pdf).assign(event_id=event, failed=False)
+                found = fetch(pdf)
             except (OSError, ValueError, KeyError):
-                return mark(True)
-            return got.reindex(columns=[*names(schema), "failed"]) if len(got) else mark(False)
-
-        n, before = todo.select("event_id").distinct().count(), left.select("event_id").distinct().count()
-        dealt = left.repartition(workers, "event_id") if workers else left
-        self.append(kind, dealt.groupBy("event_id").applyInPandas(run, f"{schema}, failed boolean"), replace=True)
-        failed = missing_events(todo, self.stored_event_ids(kind)).count()
-        return {"events": n, "fetched": before - failed, "failed": failed, "skipped": n - before}
+                failed = True
+            if len(found):
+                got.append((event, found))
+            else:
+                marks.append((event, failed))
+            rows += max(1, len(found))
+            if rows >= FRAME:
+                yield from put(got, marks)
+                got, marks, rows = [], [], 0
+        yield from put(got, marks)
+
+    return run
 
 
 #: Tables of rows by event.

@@ -249,3 +249,46 @@ def test_files_of_a_download_do_not_grow_with_events(spark, tmp_path, monkeypatc
     store.append("prices", prices(spark, ["53", "103"], 0.5), replace=True)
     assert sorted((r.event_id, r.p) for r in store.load_prices(["7", "8", "53", "103"]).collect()) == [("103", 0.5), ("53", 0.5), ("7", 0.2), ("8", 0.4)]
     assert store.load_prices().count() == 291
+
+
+def test_a_download_takes_many_events_at_once_and_each_of_them_whole(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    from oddsframe.sources import store as module
+
+    sizes = {f"{k:03d}": 1 + k % 11 for k in range(299)} | {None: 5}
+    todo = spark.createDataFrame([(e, str(j)) for e, n in sizes.items() for j in range(n)], "event_id string, market_id string").repartition(7)
+
+    def fetch(pdf):
+        event = pdf["event_id"].iloc[0]
+        assert pdf["event_id"].isna().all() if event is None else (pdf["event_id"] == event).all()
+        k = int(event or 1)
+        if k % 50 == 3:
+            raise ValueError("no answer")
+        times = pd.to_datetime(["2026-01-01"] * len(pdf), utc=k % 2 == 0)  # with and without a zone
+        return pd.DataFrame({"p": float(len(pdf)), "ts": times, "market_id": pdf["market_id"], "event_id": "other"} | ({"more": 1} if k % 3 else {})).iloc[: 0 if k % 50 == 2 else len(pdf)]
+
+    plain, plans = Store.append, []
+
+    def append(self, kind, rows, replace=False):
+        plans.append(rows._jdf.queryExecution().toString())
+        return plain(self, kind, rows, replace)
+
+    monkeypatch.setattr(Store, "append", append)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # events lie across batches
+    try:
+        store = Store(spark, f"{tmp_path}/s")
+        assert store.download("prices", todo, fetch, workers=2) == {"events": 300, "fetched": 293, "failed": 7, "skipped": 0}  # rows without an event never count as stored
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in plans[0]  # a call and a frame an event, before
+    stored = [e for e in sizes if int(e or 1) % 50 not in (2, 3)]
+    at = pd.Timestamp("2026-01-01")
+    got = store.load_prices().groupBy("event_id", "p", F.col("ts").cast("string").alias("ts")).count().collect()
+    assert {(r.event_id, r.p, r.ts): r["count"] for r in got} == {(e, float(sizes[e]), f"{at}"): sizes[e] for e in stored}
+    told = [(r.event_id, r.n_rows, r.ok) for r in store.ledger().collect()]
+    assert len(told) == 300 and set(told) == {(e, n if e in stored else 0, int(e or 1) % 50 != 3) for e, n in sizes.items()}
+
+    frames = [pd.DataFrame({"event_id": [f"{k:05d}"] * 3, "market_id": "m"}) for k in range(9_000)]
+    made = [len(f) for f in module._fetching(lambda pdf: pdf.assign(ts=at, p=0.5), ["event_id", "market_id", "ts", "p", "failed"])(pd.concat(frames[k : k + 500]) for k in range(0, 9_000, 500))]
+    assert sum(made) == 27_000 and len(made) == 3
